@@ -5,13 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skyloom.llm.bpe import decode_documents, encode_documents
 from skyloom.llm.common import read_table
 from skyloom.llm.exact_dedup import exact_dedup
 from skyloom.llm.license_scan import scan_licenses
+from skyloom.llm.near_dedup import near_duplicates
+from skyloom.llm.packing import pack_documents
+from skyloom.llm.pii import KINDS, find_pii, span_text
+from skyloom.llm.quality_rules import quality_rules
 from skyloom.llm.url_filter import judge_urls, rule_table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -24,10 +36,45 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), rule_table(spark))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(read_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(*columns)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("byte_bpe_50k.json")
+    coded = decode_documents(encode_documents(read_table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_url_filter": op4_url_filter,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pii": op7_pii,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
