@@ -99,33 +99,31 @@ def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
     plan, opened = [], 0
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
-        spaces = sorted(s for s in room if s >= length)
-        while left and spaces:
-            space = spaces[0]
-            first, n = room[space].pop()
-            if not room[space]:
-                del room[space]
-                spaces.pop(0)
-            took = min(left, n)
-            plan.append((length, rank, took, first, capacity - space))
-            if took < n:
-                room.setdefault(space, []).append((first + took, n - took))
-            if space > length:
-                room.setdefault(space - length, []).append((first, took))
-                if space - length >= length and space - length not in spaces:
-                    spaces = sorted([*spaces, space - length])
-            left, rank = left - took, rank + took
-        if left:
-            each = capacity // length
-            full, rest = divmod(left, each)
-            for first, n, layers in ((opened, full, each), (opened + full, 1, rest)):
-                if n and layers:
+        spaces = sorted((s for s in room if s >= length), reverse=True)
+        while left:
+            if spaces:
+                space = spaces[-1]
+                first, n = room[space].pop()
+                if not room[space]:
+                    del room[space]
+                    spaces.pop()
+            else:  # new sequences, as many as it takes
+                space, first, n = capacity, opened, -(-left // (capacity // length))
+                opened += n
+            each = space // length  # a sequence takes all it can hold before the next one does
+            full = min(n, left // each)
+            rest = left - full * each if full < n else 0
+            for at, many, layers in ((first, full, each), (first + full, 1, rest)):
+                if many and layers:
                     for layer in range(layers):
-                        plan.append((length, rank, n, first, layer * length))
-                        rank += n
-                    if capacity > layers * length:
-                        room.setdefault(capacity - layers * length, []).append((first, n))
-            opened += full + bool(rest)
+                        plan.append((length, rank, many, at, capacity - space + layer * length))
+                        rank += many
+                    if space > layers * length:
+                        room.setdefault(space - layers * length, []).append((at, many))
+            left -= full * each + rest
+            used = full + bool(rest)
+            if used < n:
+                room.setdefault(space, []).append((first + used, n - used))
     return plan
 
 
