@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from skyloom.llm.bpe import decode_documents, encode_documents
 from skyloom.llm.common import read_table
 from skyloom.llm.exact_dedup import exact_dedup
+from skyloom.llm.importance import resample
+from skyloom.llm.language_model import lm_scores
 from skyloom.llm.license_scan import scan_licenses
 from skyloom.llm.near_dedup import near_duplicates
 from skyloom.llm.packing import pack_documents
@@ -28,6 +30,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +56,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(*columns)
@@ -68,11 +78,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_license_scan": op3_license_scan,
     "op4_url_filter": op4_url_filter,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pii": op7_pii,
+    "op8_importance_resampling": op8_importance_resampling,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
 }
