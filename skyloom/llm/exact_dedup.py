@@ -88,15 +88,16 @@ def exact_dedup(
     index = build_index(rows.groupBy("key").agg(F.count("*").alias("n")), capacity)
     shared = index.where(F.col("n") > 1).select("key", "bucket")
 
-    single = rows.join(shared, "key", "left_anti").select(
+    hashed = rows.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"), "carried")
+    single = hashed.join(shared, "key", "left_anti").select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
-        F.sha2("norm", 256).alias("text_sha256"),
+        "text_sha256",
         "carried",
     )
-    suspects = materialize(rows.join(shared, "key").withColumn("rid", F.monotonically_increasing_id()), "dedup-suspects")
+    suspects = materialize(rows.join(shared.hint("merge"), "key").withColumn("rid", F.monotonically_increasing_id()), "dedup-suspects")
     chains = suspects.groupBy("bucket", "key", "norm").agg(
         F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("keep")
     )
