@@ -51,3 +51,10 @@ def ascii_lower(text: Column) -> Column:
 def whole_text(text: str | Column) -> Column:
     """The text as a string, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string")
+
+
+def bounded_sample(rows: DataFrame, key: str, at_most: int) -> DataFrame:
+    """At most `at_most` rows, those with the smallest hash of `key`; thinned first, so that few rows meet in one task."""
+    share = min(1.0, 1.5 * at_most / max(1, rows.count()))
+    thinned = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    return thinned.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(at_most)

@@ -1,8 +1,9 @@
 """Quality selection by importance resampling with hashed n-gram models.
 
 Every document is a bag of hashed words and word pairs. Two generative models are counted
-over all documents: the target model over those labelled good, the raw model over all.
-A document's log importance is the log ratio of the two models over its whole text. Adding
+over whole documents: the target model over those labelled good and not toxic (at most
+`MAX_TARGET`, those with the smallest hash of doc_id), the raw model over all. A document's log importance is the log ratio of the two models over its whole
+text, its own counts taken out of both, so labelled documents have no advantage. Adding
 Gumbel noise, fixed by a hash of id and text, and keeping the k largest samples k documents
 without replacement in proportion to their importance. k is `keep_share` of the documents,
 by default the share of good ones among the labelled.
@@ -22,9 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import materialize, whole_text
+from skyloom.llm.common import bounded_sample, materialize, whole_text
 
 FEATURES = 1 << 16
+MAX_TARGET = 20_000
 SMOOTHING = 1.0
 MEMO_WORDS = 300_000
 CUT_BINS, CUT_ROWS = 1024, 4096
@@ -66,13 +68,25 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(work, "feature long, n_target long, n_raw long").groupBy("feature").agg(F.sum("n_target").alias("n_target"), F.sum("n_raw").alias("n_raw"))
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
-    """Per feature log(target / raw); at most FEATURES rows reach the driver."""
+def model_counts(counts: DataFrame) -> np.ndarray:
+    """Target and raw counts per feature; at most FEATURES rows reach the driver."""
     n = np.zeros((2, FEATURES))
     for r in counts.collect():
         n[:, r["feature"]] = r["n_target"], r["n_raw"]
-    p = (n + SMOOTHING) / (n.sum(1, keepdims=True) + SMOOTHING * FEATURES)
-    return np.log(p[0] / p[1]) if n[0].any() else np.zeros(FEATURES)
+    return n
+
+
+def log_ratio(found: np.ndarray, labelled: bool, n: np.ndarray, totals: np.ndarray) -> float:
+    """log(target / raw) over a document's features, both models counted without the document."""
+    if not len(found) or not totals[0]:
+        return 0.0
+    used, own = np.unique(found, return_counts=True)
+    size = float(len(found))
+    space = SMOOTHING * FEATURES
+    target = np.maximum(n[0, used] - own * labelled, 0) + SMOOTHING
+    raw = np.maximum(n[1, used] - own, 0) + SMOOTHING
+    shift = np.log(max(totals[1] - size, 0) + space) - np.log(max(totals[0] - size * labelled, 0) + space)
+    return float(own @ (np.log(target) - np.log(raw)) + size * shift)
 
 
 def top_k(rows: DataFrame, k: int, key: str, tie: str) -> DataFrame:
@@ -108,28 +122,29 @@ def top_k(rows: DataFrame, k: int, key: str, tie: str) -> DataFrame:
 def resample(docs: DataFrame, labels: DataFrame, *, keep_share: float | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """Per input row: doc_id, n_features, log_ratio, gumbel_key, kept."""
     spark = docs.sparkSession
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).dropna()
-    marks = materialize(marks.groupBy("doc_id").agg(F.max("good").alias("good")), "importance-labels")
+    fine = F.col("quality") == 1
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), fine.alias("fine"), (fine & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).dropna()
+    marks = materialize(marks.groupBy("doc_id").agg(F.max("fine").alias("fine"), F.max("good").alias("good")), "importance-labels")
     if keep_share is None:
-        keep_share = marks.agg(F.avg(F.col("good").cast("double"))).first()[0]
+        keep_share = marks.agg(F.avg(F.col("fine").cast("double"))).first()[0]
         keep_share = 1.0 if keep_share is None else keep_share
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    ids = marks.where("good").select("doc_id")
-    good = texts.join(ids, "doc_id", "left_semi").withColumn("target", F.lit(True)).select("text", "target")
-    raw = texts.withColumn("target", F.lit(False)).select("text", "target")
-    target_counts = feature_counts(good).select("feature", F.col("n_raw").alias("n_target"), F.lit(0).cast("long").alias("n_raw"))
-    raw_counts = feature_counts(raw).select("feature", F.lit(0).cast("long").alias("n_target"), "n_raw")
-    merged = target_counts.union(raw_counts).groupBy("feature").agg(F.sum("n_target").alias("n_target"), F.sum("n_raw").alias("n_raw"))
-    weights = spark.sparkContext.broadcast(log_ratios(merged))
+    target = bounded_sample(marks.where("good").select("doc_id"), "doc_id", MAX_TARGET).withColumn("labelled", F.lit(True))
+    target = F.broadcast(materialize(target, "importance-target"))
+    texts = texts.join(target, "doc_id", "left").withColumn("target", F.coalesce("labelled", F.lit(False))).drop("labelled")
+    counts = model_counts(feature_counts(texts.select("text", "target")))
+    sent = spark.sparkContext.broadcast(counts)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = weights.value
+        n = sent.value
+        totals = n.sum(1)
         for frame in frames:
             found = [features(t) for t in frame["text"]]
-            yield frame[["rid", "doc_id", "noise"]].assign(n_features=[len(x) for x in found], log_ratio=[float(w[x].sum()) for x in found])
+            ratios = [log_ratio(x, bool(y), n, totals) for x, y in zip(found, frame["target"])]
+            yield frame[["rid", "doc_id", "noise"]].assign(n_features=[len(x) for x in found], log_ratio=ratios)
 
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    rows = texts.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), (-F.log(-F.log(uniform))).alias("noise"), "text")
+    rows = texts.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), (-F.log(-F.log(uniform))).alias("noise"), "text", "target")
     scored = rows.mapInPandas(work, "rid long, doc_id string, noise double, n_features long, log_ratio double")
     scored = scored.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "n_features", "log_ratio", (F.col("log_ratio") + F.col("noise")).alias("gumbel_key"))
     scored = materialize(scored, "importance-scored")

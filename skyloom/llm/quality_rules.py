@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import DOC_COLUMNS, whole_text
+from skyloom.llm.common import DOC_COLUMNS, bounded_sample, whole_text
 
 MAX_LABELLED = 20_000
 MIN_WORDS = 50
@@ -181,10 +181,7 @@ def verdict(rules: list[list[Condition]]) -> Column:
 def labelled_rows(docs: DataFrame, labels: DataFrame, *, label: str = "quality", at_most: int = MAX_LABELLED) -> pd.DataFrame:
     """Statistics of at most `at_most` labelled documents."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label)).dropna()
-    y = y.groupBy("doc_id").agg(F.max(label).alias(label))
-    share = min(1.0, 1.5 * at_most / max(1, y.count()))  # thinned by hash first, so that few rows meet in one task
-    y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most)
+    y = bounded_sample(y.groupBy("doc_id").agg(F.max(label).alias(label)), "doc_id", at_most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id")
     stats = text_statistics(texts, payload=(label,))
     return stats.where("not base_failed").select(label, *FEATURES).toPandas()
