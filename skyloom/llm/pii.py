@@ -147,31 +147,26 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, text_col
     pairs = near.select("entity", "context", F.explode(F.array_distinct("terms")).alias("term"))
     # copies collapse before the distinct contexts are counted
     support = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    support = materialize(support.where(F.col("contexts") >= min_contexts), "pii-support")
-    candidates = support.select("term").distinct()
-    if support.count() <= BROADCAST_ROWS:
-        support, candidates = F.broadcast(support), F.broadcast(candidates)
-    together = (
+    support = support.where(F.col("contexts") >= min_contexts).select("entity", "term")
+    by_document = (
         found.select(F.monotonically_increasing_id().alias("rid"), F.explode("mentions").alias("m"))
         .select("rid", F.col("m.entity").alias("entity"), F.explode(F.array_distinct(F.transform("m.terms", lambda x: x["term"]))).alias("term"))
-        .join(support, ["entity", "term"], "left_semi")
         .distinct()
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("n_both"))
     )
+    together = by_document.groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(support, ["entity", "term"], "left_semi")
+    near_any = by_document.select("rid", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    entities = by_document.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    content = F.greatest(F.lit(1e-9), F.log(F.lit(float(max(2, n_docs))) / F.col("n_entity")))
+    disclosure = lambda n: 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / F.col(n))) / content
+    # a term is in at least as many documents as it is near any entity in, so this bound loses no pair
+    pairs = together.join(near_any, "term").join(entities, "entity").where(disclosure("n_near") >= threshold)
+    pairs = materialize(pairs.select("entity", "term", "n_both", "n_entity"), "pii-pairs")
+    candidates = materialize(pairs.select("term").distinct(), "pii-candidates")
+    if candidates.count() <= BROADCAST_ROWS:
+        candidates = F.broadcast(candidates)
     words = F.array_distinct(F.regexp_extract_all(F.translate(whole_text(text_col), UPPER, LOWER), F.lit(TERM), F.lit(0)))
     frequency = docs.select(F.explode(words).alias("term")).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    entities = (
-        found.where(F.size("mentions") > 0).select(F.explode(F.array_distinct(F.transform("mentions", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    )
-    content = F.greatest(F.lit(1e-9), F.log(F.lit(float(max(2, n_docs))) / F.col("n_entity")))
-    return (
-        together.join(frequency, "term")
-        .join(entities, "entity")
-        .withColumn("disclosure", 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / content)
-        .where(F.col("disclosure") >= threshold)
-        .select("entity", "term", "disclosure")
-    )
+    return pairs.join(frequency, "term").withColumn("disclosure", disclosure("n_term")).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
 def find_pii(
