@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, col, noise_factor
 from skyloom.operators.filters import rest_window, valid_sample
+from skyloom.sources.scratch import materialize
 
 MAD_TO_SIGMA = 1.4826
 
@@ -339,6 +340,7 @@ def robust_polyfit(rows: DataFrame, order: int, clip: float = 3.0, rounds: int =
     keys = list(keys)
     r = rows.select(*keys, clean(x).alias("x"), clean(y).alias("y")).where("x is not null and y is not null")
     centred = r.join(r.groupBy(*keys).agg(F.avg("x").alias("x_mean")), keys).withColumn("u", F.col("x") - F.col("x_mean")).withColumn("kept", F.lit(True))
+    centred = materialize(centred, "polyfit")
 
     def fit(df: DataFrame) -> DataFrame:
         f = power_sums(df.where("kept"), order, keys, "u", "y")
@@ -351,7 +353,7 @@ def robust_polyfit(rows: DataFrame, order: int, clip: float = 3.0, rounds: int =
         near = F.abs(F.col("d") - F.col("mid")) <= clip * F.col("scale")
         going = (F.col("scale") > 0) & (F.col("n_kept") > order + 2)
         d = d.join(stats, keys).withColumn("kept", F.when(going, near).otherwise(F.col("kept")))
-        centred = d.select(*keys, "x", "y", "x_mean", "u", "kept")
+        centred = materialize(d.select(*keys, "x", "y", "x_mean", "u", "kept"), "polyfit")  # else the plan triples each round
     final = fit(centred)
     scales = mad_scale(centred.join(final.drop("n"), keys).withColumn("d", F.col("y") - value).where("kept"), keys, "d").select(*keys, "scale")
     means = centred.groupBy(*keys).agg(F.first("x_mean").alias("x_mean"), F.min(F.when(F.col("kept"), F.col("x"))).alias("support_min"), F.max(F.when(F.col("kept"), F.col("x"))).alias("support_max"))
