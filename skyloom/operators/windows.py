@@ -140,7 +140,7 @@ def parabolic_peak(before, at, after) -> Column:
     a, b, c = clean(before), clean(at), clean(after)
     d = a - 2 * b + c
     off = F.when(F.abs(d) > 1e-30, 0.5 * (a - c) / d)
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), off)), F.lit(0.0))
+    return F.when(off.isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), off)))
 
 
 def position_bins(pixels: DataFrame, n: int, keys: Sequence[str] = ("target_id", "slice_id"), pos="pos") -> DataFrame:

@@ -88,7 +88,7 @@ SHIFT = f"""WITH {IMG}, s AS (SELECT median(value) AS ma, median(value2) AS mb F
     p AS (SELECT ly, lx, sum(a.v * b.v) AS s, count(*) AS n FROM l, b JOIN a ON a.y = b.y + ly AND a.x = b.x + lx GROUP BY 1, 2),
     c AS (SELECT ly, lx, s / n AS c, n FROM p WHERE n > greatest(9, 0.1 * (SELECT n FROM p WHERE ly = 0 AND lx = 0))),
     e AS (SELECT *, lag(c) OVER (PARTITION BY lx ORDER BY ly) AS y0, lead(c) OVER (PARTITION BY lx ORDER BY ly) AS y1, lag(c) OVER (PARTITION BY ly ORDER BY lx) AS x0, lead(c) OVER (PARTITION BY ly ORDER BY lx) AS x1 FROM c)
-    SELECT ly, lx, round(ly + coalesce(greatest(-1.0, least(1.0, 0.5 * (y0 - y1) / (y0 - 2 * c + y1))), 0), 5) AS dy, round(lx + coalesce(greatest(-1.0, least(1.0, 0.5 * (x0 - x1) / (x0 - 2 * c + x1))), 0), 5) AS dx,
+    SELECT ly, lx, round(ly + CASE WHEN y0 IS NULL OR y1 IS NULL OR y0 - 2 * c + y1 = 0 THEN 0 ELSE greatest(-1.0, least(1.0, 0.5 * (y0 - y1) / (y0 - 2 * c + y1))) END, 5) AS dy, round(lx + CASE WHEN x0 IS NULL OR x1 IS NULL OR x0 - 2 * c + x1 = 0 THEN 0 ELSE greatest(-1.0, least(1.0, 0.5 * (x0 - x1) / (x0 - 2 * c + x1))) END, 5) AS dx,
         round(c, 6) AS correlation, n FROM e ORDER BY c DESC, ly, lx LIMIT 1"""
 
 

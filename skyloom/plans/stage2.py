@@ -14,13 +14,13 @@ from skyloom.sources import registry as R
 from skyloom.sources import views as V
 from skyloom.sources.views import r6
 
-SPEC = """spec AS (SELECT label AS bin_id, vec_id AS spaxel, pos AS chan, 4800.0 + 10.0 * pos AS wave, CAST(embedding[pos + 1] AS DOUBLE) AS flux,
+SPEC = """spec AS (SELECT label AS bin_id, vec_id AS spaxel, pos AS chan, CAST(4800.0 + 10.0 * pos AS DOUBLE) AS wave, CAST(embedding[pos + 1] AS DOUBLE) AS flux,
     CAST(0.01 + 0.002 * ((vec_id * 7 + pos * 3) % 11) AS DOUBLE) AS var, (vec_id + pos) % 13 <> 0 AS good FROM embeddings, range(0, 64) r(pos))"""
 LINE = """line AS (SELECT l_suppkey AS bin_id, l_partkey AS spaxel, l_partkey // 50 AS y, l_partkey % 50 AS x,
     (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS chan, l_extendedprice * (1 - l_discount) - 30000 AS flux, l_quantity AS var,
     l_returnflag = 'R' AS mask, l_tax > 0 AS exposed, l_linenumber AS linenumber, round(l_discount, 2) AS discount, l_returnflag AS flag FROM lineitem)"""
 GRID = """grid AS (SELECT l_returnflag AS bin_id, CAST(l_linenumber - 1 AS INT) AS ia, CAST(round(100 * l_discount) AS INT) AS ib, CAST(round(100 * l_tax) AS INT) AS jf,
-    round(avg(l_extendedprice) / 1000, 6) AS chi2 FROM lineitem GROUP BY ALL)"""
+    round(avg(l_extendedprice) / 997.13::DOUBLE, 10) AS chi2 FROM lineitem GROUP BY ALL)"""
 EVT = """evt AS (SELECT event_type AS arm, user_id AS spaxel, event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9 AS t, value,
     CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9 / 24) AS INT) AS day FROM events)"""
 COADD = SPEC + """, m AS (SELECT DISTINCT bin_id, spaxel FROM spec), sizes AS (SELECT bin_id, count(*) AS n_members FROM m GROUP BY 1),
@@ -123,7 +123,7 @@ def q_window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("window_id", r6("center").alias("center"), "n_native", "n_evaluable", "n_positive", r6("positive_fraction").alias("positive_fraction"), r6("median_sn").alias("median_sn"), r6("p10_sn").alias("p10_sn"), r6("extreme_fraction").alias("extreme_fraction"))
 
 
-WINDOW_SCAN = f"""WITH {COADD}, win AS (SELECT i AS window_id, 4875.0 + 30.0 * i AS center FROM range(0, 17) r(i)),
+WINDOW_SCAN = f"""WITH {COADD}, win AS (SELECT i AS window_id, CAST(4875.0 + 30.0 * i AS DOUBLE) AS center FROM range(0, 17) r(i)),
     b AS (SELECT window_id, center, bin_id, count(*) AS n_good, median(flux) / median(unc) AS signed, median(flux) > 0 AS positive
         FROM win JOIN coadd ON wave BETWEEN center - 75 AND center + 75 WHERE good AND unc > 0 GROUP BY 1, 2, 3),
     nat AS (SELECT window_id, count(DISTINCT chan) AS n_native FROM win JOIN coadd ON wave BETWEEN center - 75 AND center + 75 GROUP BY 1)
@@ -219,12 +219,12 @@ BEST = f"""WITH {GRID}, b AS (SELECT bin_id, arg_min((ia, ib, jf), (chi2, ia, ib
 
 
 def q_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.mass_cell_counts(P.likelihood_weights(V.surfaces(spark, sf_dir), ("bin_id",)), (0.5, 0.9, 1.0), ("bin_id",))
+    return S.mass_cell_counts(P.likelihood_weights(V.surfaces(spark, sf_dir), ("bin_id",)), (0.5, 0.9, 0.99), ("bin_id",))
 
 
 WEIGHTED = GRID + """, d AS (SELECT *, chi2 - min(chi2) OVER (PARTITION BY bin_id) AS delta FROM grid), wt AS (SELECT *, exp(-0.5 * delta) AS w, exp(-0.5 * delta) / sum(exp(-0.5 * delta)) OVER (PARTITION BY bin_id) AS p FROM d)"""
 MASS = f"""WITH {WEIGHTED}, c AS (SELECT bin_id, round(sum(p) OVER (PARTITION BY bin_id ORDER BY w DESC, ia, ib, jf ROWS UNBOUNDED PRECEDING), 12) AS cum FROM wt)
-    SELECT bin_id, least(count(*), 1 + count(*) FILTER (cum < 0.5)) AS n_0_5, least(count(*), 1 + count(*) FILTER (cum < 0.9)) AS n_0_9, least(count(*), 1 + count(*) FILTER (cum < 1.0)) AS n_1_0 FROM c GROUP BY 1"""
+    SELECT bin_id, least(count(*), 1 + count(*) FILTER (cum < 0.5)) AS n_0_5, least(count(*), 1 + count(*) FILTER (cum < 0.9)) AS n_0_9, least(count(*), 1 + count(*) FILTER (cum < 0.99)) AS n_0_99 FROM c GROUP BY 1"""
 
 
 def q_ess(spark: SparkSession, sf_dir: str) -> DataFrame:

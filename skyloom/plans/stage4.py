@@ -32,19 +32,19 @@ COMPANIONS = f"""WITH {SPEC} SELECT bin_id, count(*) AS n, count(*) FILTER (var
 def second_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = V.table(spark, sf_dir, "lineitem")
     keys = [F.col("l_returnflag").alias("bin_id"), (F.col("l_linenumber") - 1).cast("int").alias("ia"), F.round(100 * F.col("l_discount")).cast("int").alias("ib"), F.round(100 * F.col("l_tax")).cast("int").alias("jf")]
-    return t.groupBy(*keys).agg(F.round(F.avg("l_quantity"), 6).alias("chi2"))
+    return t.groupBy(*keys).agg(F.round(F.avg("l_quantity") / 0.99713, 10).alias("chi2"))
 
 
-SURFACE2 = """grid2 AS (SELECT l_returnflag AS bin_id, CAST(l_linenumber - 1 AS INT) AS ia, CAST(round(100 * l_discount) AS INT) AS ib, CAST(round(100 * l_tax) AS INT) AS jf, round(avg(l_quantity), 6) AS chi2 FROM lineitem GROUP BY ALL)"""
+SURFACE2 = """grid2 AS (SELECT l_returnflag AS bin_id, CAST(l_linenumber - 1 AS INT) AS ia, CAST(round(100 * l_discount) AS INT) AS ib, CAST(round(100 * l_tax) AS INT) AS jf, round(avg(l_quantity) / 0.99713::DOUBLE, 10) AS chi2 FROM lineitem GROUP BY ALL)"""
 
 
 def q_joint_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.joint_minimum(V.surfaces(spark, sf_dir), second_surface(spark, sf_dir), ("bin_id",))
-    return found.select("bin_id", "ia", "ib", "jf", r6("j", 5).alias("j"), "is_best")
+    return found.select("bin_id", "ia", "ib", "jf", r6("j").alias("j"), "is_best")
 
 
 JOINT = f"""WITH {GRID}, {SURFACE2}, a AS (SELECT *, chi2 - min(chi2) OVER (PARTITION BY bin_id) AS d FROM grid), b AS (SELECT *, chi2 - min(chi2) OVER (PARTITION BY bin_id) AS d FROM grid2),
-    j AS (SELECT bin_id, ia, ib, jf, a.d + b.d AS j FROM a JOIN b USING (bin_id, ia, ib, jf)) SELECT bin_id, ia, ib, jf, round(j, 5) AS j, row_number() OVER (PARTITION BY bin_id ORDER BY j, ia, ib, jf) = 1 AS is_best FROM j"""
+    j AS (SELECT bin_id, ia, ib, jf, a.d + b.d AS j FROM a JOIN b USING (bin_id, ia, ib, jf)) SELECT bin_id, ia, ib, jf, round(j, 6) AS j, row_number() OVER (PARTITION BY bin_id ORDER BY j, ia, ib, jf) = 1 AS is_best FROM j"""
 
 
 def q_basin_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

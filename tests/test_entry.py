@@ -6,6 +6,7 @@ import os
 import shutil
 import subprocess
 import sys
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -22,7 +23,7 @@ OWN = sorted(k for k in entry.queries() if k.startswith("q_"))
 def value(v):
     if v is None or v != v:
         return "NULL"
-    return f"{v:.6g}" if isinstance(v, float) else str(v)
+    return f"{v:.9g}" if isinstance(v, (float, Decimal)) else str(v)
 
 
 def rows(names, found):
