@@ -30,6 +30,7 @@ SLICE_ROWS = 1_000
 #: Fixed value: how byte-level vocabularies of this kind part a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 NO_RANK = 1 << 60
+PAIR = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -47,46 +48,49 @@ class ByteBpe:
         model = spec["model"]
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
-        vocab = model["vocab"]
+        vocab, ending = model["vocab"], model.get("end_of_word_suffix") or ""
         self.first = [vocab[c] for c in letters]
-        self.pair_rank: dict[tuple[int, int], int] = {}
+        self.last = [vocab[c + ending] for c in letters]  # a word's last byte
+        self.pair_rank: dict[int, int] = {}  # left id * PAIR + right id
         self.merged: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.pair_rank[vocab[a], vocab[b]] = rank
+            self.pair_rank[vocab[a] * PAIR + vocab[b]] = rank
             self.merged.append(vocab[a + b])
         specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = specials
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
         self.piece = [b""] * (max([*vocab.values(), *specials.values()]) + 1)
         for token, i in vocab.items():
-            self.piece[i] = bytes(byte_of[c] for c in token)
+            self.piece[i] = bytes(byte_of[c] for c in (token.removesuffix(ending) if ending else token))
         for token, i in specials.items():
             self.piece[i] = token.encode()
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def merge_short(self, word: bytes) -> list[int]:
         bounds = list(range(len(word) + 1))
-        ids = [self.first[b] for b in word]
-        get = self.pair_rank.get
-        ranks = [get(p, NO_RANK) for p in zip(ids, ids[1:])]
-        while ranks and (low := min(ranks)) != NO_RANK:
+        ids = [*[self.first[b] for b in word[:-1]], self.last[word[-1]]]
+        get, merged = self.pair_rank.get, self.merged
+        ranks = [get(a * PAIR + b, NO_RANK) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == NO_RANK:
+                break
             i = ranks.index(low)
             del bounds[i + 1], ids[i + 1], ranks[i]
-            ids[i] = self.merged[low]
+            here = ids[i] = merged[low]
             if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), NO_RANK)
+                ranks[i - 1] = get(ids[i - 1] * PAIR + here, NO_RANK)
             if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), NO_RANK)
-        assert len(bounds) == len(ids) + 1
+                ranks[i] = get(here * PAIR + ids[i + 1], NO_RANK)
         return ids
 
     def merge_long(self, word: bytes) -> list[int]:
         n = len(word)
-        ids = [self.first[b] for b in word]
+        ids = [*[self.first[b] for b in word[:-1]], self.last[word[-1]]]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         get = self.pair_rank.get
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]), NO_RANK)) != NO_RANK]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] * PAIR + ids[i + 1], NO_RANK)) != NO_RANK]
         heapq.heapify(heap)
         while heap:
             rank, i, left, right = heapq.heappop(heap)
@@ -98,17 +102,20 @@ class ByteBpe:
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := get((ids[a], ids[b]), NO_RANK)) != NO_RANK:
+                if a >= 0 and b < n and (r := get(ids[a] * PAIR + ids[b], NO_RANK)) != NO_RANK:
                     heapq.heappush(heap, (r, a, ids[a], ids[b]))
         return [i for i in ids if i >= 0]
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
+    def merged_ids(self, word: str) -> list[int]:
         raw = word.encode()
-        if len(raw) > LONG_WORD:
-            return tuple(self.merge_long(raw))
+        return self.merge_long(raw) if len(raw) > LONG_WORD else self.merge_short(raw)
+
+    def word_ids(self, word: str) -> tuple[int, ...]:
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
-        ids = self.memo[word] = tuple(self.merge_short(raw))
+        ids = tuple(self.merged_ids(word))
+        if len(word) <= LONG_WORD:
+            self.memo[word] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:

@@ -16,14 +16,18 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import category, is_normalized
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.llm.bpe import ByteBpe
 from skyloom.llm.common import materialize, whole_text
 
 CAPACITY = 4096
@@ -32,11 +36,18 @@ MEMO_WORDS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Fixed value: how the vocabulary of this kind parts normalised text into pieces.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Letters whose lower case depends on their neighbours or is more than one letter.
+UNSAFE = ("\u0130", "\u03a3")
+
+
 class WordIds:
-    """Ids of white-space separated words by a tokenizers file; words recur, so their ids are kept.
+    """Ids of whole texts by a tokenizers file, piece by piece; pieces recur, so their ids are kept.
 
-    The vocabulary's word splitting never crosses white space and drops it, so a text's
-    ids are those of its words in a row.
+    The vocabulary composes, lower-cases and parts a text before it merges letters, and no
+    merge crosses pieces. Texts where composing or lower-casing could move the borders, or
+    that name a special token, go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -45,24 +56,51 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        words = text.encode().split()
-        memo = self.memo
-        new = [w for w in set(words) if w not in memo]
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.safe: set[str] = set()
+        self.bpe = ByteBpe(path)
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def plain(self, text: str, low: str) -> bool:
+        if text.isascii():
+            return not ("<" in text and any(s in text for s in self.specials))
+        new = set(text) - self.safe
         if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            memo.update(zip(new, [tuple(e.ids) for e in found]))
-        out: list[int] = []
-        add = out.extend
-        for w in words:
-            add(memo[w])
+            # letters that this Python does not know may be classed otherwise by the library
+            self.safe |= {c for c in new if c not in UNSAFE and category(c) != "Cn"}
+            if new - self.safe:
+                return False
+        if "<" in text and any(s in text for s in self.specials):
+            return False
+        return is_normalized("NFC", text) and is_normalized("NFC", low)
+
+    def word(self, raw: bytes) -> bytes:
+        """Ids of one white-space separated word; words and their pieces are both kept."""
+        out = b""
+        for piece in PIECE.findall(raw.decode()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = array("I", self.bpe.merged_ids(piece)).tobytes()
+                if len(self.pieces) >= MEMO_WORDS:
+                    self.pieces.clear()
+                if len(ids) <= 256:
+                    self.pieces[piece] = ids
+            out += ids
+        if len(self.words) >= MEMO_WORDS:
+            self.words.clear()
+        if len(out) <= 256:
+            self.words[raw] = out
         return out
 
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers. Words are parted at ASCII white space, which no piece holds."""
+        low = text.lower()
+        if not self.plain(text, low):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        get, new = self.words.get, self.word
+        return b"".join([get(w) or new(w) for w in low.encode().split()])
+
 
 @lru_cache(maxsize=2)
 def load_words(path: str) -> WordIds:
@@ -76,14 +114,14 @@ def cut_documents(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", t
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = load_words(vocab_path)
+        words, end = load_words(vocab_path), np.uint32(end_id).astype("<u4").tobytes()
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                ids = np.array([*words.encode(text), end_id], "<u4")
-                for n, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((doc_id, n, start, len(part), zlib.crc32(part.tobytes())))
+                ids = words.encode(text) + end
+                for n, start in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * start : 4 * (start + capacity)]
+                    rows.append((doc_id, n, start, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInPandas(work, PIECES)

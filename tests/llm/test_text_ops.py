@@ -65,9 +65,10 @@ def test_bpe_empty_table(no_docs):
 def test_word_ids_equal_the_library(texts):
     mine, lib = packing.WordIds(tokenizer_file("word_bpe_49k.json")), library("word_bpe_49k.json")
     odd = ["don't <|endoftext|>x\u00a0Y \u0130 \u03a3\u03a3 e\u0301 \u0301 a", "", " ", "ÀÉ\u2003ß1234"]
+    odd += [f"A{chr(c)}b {chr(c)} 1'S" for c in [*range(1, 0x3000), *range(0xFE00, 0xFFF0)]]
     some = [*texts.values()] + odd
     for text, e in zip(some, lib.encode_batch(some, add_special_tokens=False)):
-        assert mine.encode(text) == e.ids, ascii(text[:80])
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == e.ids, ascii(text[:80])
 
 
 @pytest.mark.parametrize("which", ["documents", "odd_docs"])
