@@ -5,9 +5,11 @@
    representatives go on.
 2. One permutation: the hash space is cut into bins and each keeps its least hash. An empty
    bin borrows from a filled one, chosen by its own fixed order of bins (densification).
-   Bands of `BAND_ROWS` bins are the buckets.
+   Bands of `BAND_ROWS` bins are the buckets. A pair at the threshold shares one but for a
+   probability of 4e-6.
 3. A bucket emits a star: one centre joined to each other member, so its candidate pairs
-   grow with its size and not with the square. Candidates are confirmed on full sets.
+   grow with its size and not with the square. Those whose sketches lie `ERRORS` standard
+   errors below the threshold (3e-7 of pairs at it) are passed over, the others are confirmed on full sets.
 4. Confirmed links are contracted to components. Buckets that still span components send
    stars from other centres, until no bucket has two components or its remaining members
    have all been compared (`links`).
@@ -32,7 +34,10 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import DOC_COLUMNS, materialize, whole_text
 
 WORDS, PERCENT = 5, 75
-BINS, BAND_ROWS = 128, 4
+BINS, BAND_ROWS = 384, 6
+#: Bins kept, as one byte each, to tell hopeless candidates before their texts are fetched, and
+#: the distance in standard errors from the threshold at which a candidate is hopeless.
+SKETCH, ERRORS = 128, 5.0
 #: Centres of each bucket, round by round; buckets of a few members are compared in full by then.
 CENTRES = (1, 4, 16, 16, 16, 16)
 MEMO_WORDS = 400_000
@@ -84,8 +89,7 @@ def borrowing(bins: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
-    shift = np.uint64(64 - int(bins).bit_length() + 1)
-    at = (shingles >> shift).astype("int64")
+    at = ((shingles >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype("int64")
     filled, first = np.unique(at, return_index=True)  # sorted hashes: the first of a bin is its least
     out = np.empty(bins, "uint64")
     out[filled] = shingles[first]
@@ -96,8 +100,8 @@ def signature(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def band_buckets(shingles: np.ndarray, bins: int = BINS, rows: int = BAND_ROWS) -> np.ndarray:
-    sig = signature(shingles, bins).reshape(-1, rows)
+def band_buckets(sig: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
+    sig = sig.reshape(-1, rows)
     out = np.arange(1, len(sig) + 1, dtype="uint64") * ODD
     for k in range(rows):
         out = mix(out * ODD + sig[:, k])
@@ -105,20 +109,22 @@ def band_buckets(shingles: np.ndarray, bins: int = BINS, rows: int = BAND_ROWS)
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
-    """Per input row: doc_id, text_key, n_shingles, set_id (equal for equal sets; null for empty ones), buckets."""
+    """Per input row: doc_id, text_key, n_shingles, set_id (equal for equal sets; null for empty ones), buckets, sketch."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [shingle_set(t, width) for t in frame["text"]]
+            signatures = [signature(s) if len(s) else None for s in sets]
             yield frame[["doc_id", "text_key"]].assign(
                 n_shingles=[len(s) for s in sets],
                 set_id=[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                buckets=[band_buckets(s) if len(s) else None for s in sets],
+                buckets=[None if s is None else band_buckets(s) for s in signatures],
+                sketch=[None if s is None else s[:: BINS // SKETCH].astype("uint8").view("int8") for s in signatures],
             )
 
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    found = rows.mapInPandas(work, "doc_id string, text_key long, n_shingles long, set_id binary, buckets array<long>")
+    found = rows.mapInPandas(work, "doc_id string, text_key long, n_shingles long, set_id binary, buckets array<long>, sketch array<tinyint>")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -172,11 +178,17 @@ def stars(members: DataFrame, labels: DataFrame | None, centres: int, salt: int,
     open_buckets = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rows = rows.join(open_buckets, "bucket")
     pick = F.pmod(F.xxhash64("node", "bucket", F.lit(salt)), F.lit(centres))
-    middle = rows.groupBy("bucket", pick.alias("pick")).agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)), "node", "n", "component")).alias("c"))
-    middle = middle.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.component").alias("centre_component"))
+    middle = rows.groupBy("bucket", pick.alias("pick")).agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)), "node", "n", "component", "sketch")).alias("c"))
+    middle = middle.select(
+        "bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.component").alias("centre_component"), F.col("c.sketch").alias("centre_sketch")
+    )
+    goal = percent / 100
+    agree = F.aggregate(F.zip_with("sketch", "centre_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, b: a + b) / SKETCH
+    samples = F.least(F.lit(float(SKETCH)), F.least("n", "centre_n") / 2)  # small sets fill few bins of their own
+    hopeless = agree < goal - ERRORS * F.sqrt(goal * (1 - goal) / samples)
     return (
         rows.join(middle, "bucket")
-        .where((F.col("component") != F.col("centre_component")) & (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")))
+        .where((F.col("component") != F.col("centre_component")) & (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")) & ~hopeless)
         .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
         .distinct()
     )
@@ -212,7 +224,9 @@ def near_duplicates(
     placed = heads.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     members = materialize(placed.join(shared, "bucket").select("bucket", "node", "n").distinct(), "near-members")
-    nodes = members.select(F.col("node")).distinct()
+    nodes = materialize(members.select("node").distinct(), "near-nodes")
+    sketches = heads.select("node", "sketch").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+    members = materialize(members.join(sketches, "node"), "near-sketched")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), whole_text(text_col).alias("text")).join(nodes.hint("merge"), "node", "left_semi")
     labels = links(members, materialize(texts, "near-texts"), width=width, percent=percent)
     of_set = materialize(
