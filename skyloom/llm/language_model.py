@@ -35,7 +35,8 @@ from skyloom.llm.common import materialize, whole_text
 HEAD_WORDS = 60_000
 CLASSES, CLASS_WORDS = 32, 64
 MODEL_WORDS = CLASSES * CLASS_WORDS  # id 0 stands for all rarer words
-HIDDEN, WINDOW, STREAMS = 16, 16, 256
+HIDDEN, WINDOW, STREAMS = 16, 16, 512
+UPDATES = 100  # windows of a pass, where there are tokens enough
 ROUNDS, RATE = 3, 0.02
 BLOCK, FAN = 1 << 14, 32
 END = b""  # no word is empty
@@ -114,19 +115,25 @@ def softmax(logits: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return picked - np.log(total), logits, total
 
 
-def by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def columns(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take(x, at, axis=1, mode="clip")
+
+
+def by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order that puts the tokens of a class side by side, and each class' slice of it."""
     kinds = (targets // CLASS_WORDS).astype("int16")
     order = np.argsort(kinds, kind="stable")
     bounds = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if bounds[c] < bounds[c + 1]:
-            yield c, order[bounds[c] : bounds[c + 1]]
+    return order, [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
 
 
 def log_probability(p: dict[str, np.ndarray], h: np.ndarray, targets: np.ndarray) -> np.ndarray:
     out = softmax(p["class_w"] @ h + p["class_b"], targets // CLASS_WORDS)[0]
-    for c, cols in by_class(targets):
-        out[cols] += softmax(p["word_w"][c] @ h[:, cols] + p["word_b"][c], targets[cols] % CLASS_WORDS)[0]
+    order, slices = by_class(targets)
+    sorted_h, words, logs = columns(h, order), targets[order] % CLASS_WORDS, np.empty(len(targets), out.dtype)
+    for c, at in slices:
+        logs[at] = softmax(p["word_w"][c] @ sorted_h[:, at] + p["word_b"][c], words[at])[0]
+    out[order] += logs
     return out
 
 
@@ -144,7 +151,7 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     """
     steps, streams = inputs.shape
     k, ids = HIDDEN, inputs.ravel()
-    x = (p["x"][:, ids] + p["b"]).reshape(3 * k, steps, streams)
+    x = columns(p["x"] + p["b"], ids).reshape(3 * k, steps, streams)
     saved, states = [], np.empty((k, steps, streams), "float32")
     for t in range(steps):
         before = h * fresh[t]
@@ -156,12 +163,17 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     d, loss = output_gradient(p["class_w"] @ flat + p["class_b"], goal // CLASS_WORDS, m)
     g = {"class_w": d @ flat.T, "class_b": d.sum(1, keepdims=True), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
     dh_out = p["class_w"].T @ d
-    for c, cols in by_class(goal):
-        hc = flat[:, cols]
-        d, more = output_gradient(p["word_w"][c] @ hc + p["word_b"][c], goal[cols] % CLASS_WORDS, m)
+    order, slices = by_class(goal)
+    sorted_h, words, dh_words = columns(flat, order), goal[order] % CLASS_WORDS, np.empty_like(flat)
+    for c, at in slices:
+        hc = sorted_h[:, at]
+        d, more = output_gradient(p["word_w"][c] @ hc + p["word_b"][c], words[at], m)
         loss += more
         g["word_w"][c], g["word_b"][c] = d @ hc.T, d.sum(1, keepdims=True)
-        dh_out[:, cols] += p["word_w"][c].T @ d
+        dh_words[:, at] = p["word_w"][c].T @ d
+    back = np.empty_like(order)
+    back[order] = np.arange(m)
+    dh_out += columns(dh_words, back)
     dh_out = dh_out.reshape(k, steps, streams)
     dx, du, dh = np.empty_like(x), np.zeros_like(p["u"]), np.zeros((k, streams), "float32")
     for t in range(steps - 1, -1, -1):
@@ -183,10 +195,8 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         dh = (keep + p["u"].T @ da) * fresh[t]
     dx = dx.reshape(3 * k, -1)
     g["u"], g["b"] = du, dx.sum(1, keepdims=True)
-    order = np.argsort(ids, kind="stable")
-    ordered = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    g["x"] = (ordered[first], np.add.reduceat(dx[:, order], first, axis=1))
+    used = np.flatnonzero(np.bincount(ids, minlength=MODEL_WORDS))
+    g["x"] = (used, np.stack([np.bincount(ids, row, MODEL_WORDS)[used] for row in dx]).astype("float32"))
     return g, h, loss
 
 
@@ -203,7 +213,7 @@ class Learner:
         for name, d in g.items():
             if name == "x":  # only the columns of words that occurred
                 cols, d = d
-                s = self.s["x"][:, cols] + d * d
+                s = columns(self.s["x"], cols) + d * d
                 self.s["x"][:, cols] = s
                 self.p["x"][:, cols] -= 2 * self.rate * d / (np.sqrt(s) + 1e-6)
                 continue
@@ -220,7 +230,7 @@ def train(p: dict[str, np.ndarray], documents: list[np.ndarray], rate: float = R
     """One pass over all documents (ids of the model's words, the end token last); per-token loss."""
     text = np.concatenate(documents)
     end = documents[0][-1]
-    streams = int(min(STREAMS, max(8, len(text) // (WINDOW * 200))))
+    streams = int(min(STREAMS, max(8, len(text) // (WINDOW * UPDATES))))
     steps = -(-len(text) // streams)
     text = np.resize(text, steps * streams).reshape(streams, steps).T.copy()  # the last stream is filled up from the start
     inputs = np.concatenate([np.roll(text[-1:], 1, axis=1), text[:-1]])  # a stream goes on where the one before ended
@@ -233,8 +243,17 @@ def train(p: dict[str, np.ndarray], documents: list[np.ndarray], rate: float = R
     return p, loss / text.size
 
 
-def score_documents(p: dict[str, np.ndarray], documents: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each whole document, side by side from the longest on."""
+def score_documents(p: dict[str, np.ndarray], documents: list[np.ndarray], side_by_side: int = 1024) -> np.ndarray:
+    """Natural log probability of each whole document; documents of like length run side by side."""
+    out = np.zeros(len(documents))
+    order = np.argsort([-len(d) for d in documents], kind="stable")
+    for at in range(0, len(order), side_by_side):
+        some = order[at : at + side_by_side]
+        out[some] = score_together(p, [documents[i] for i in some])
+    return out
+
+
+def score_together(p: dict[str, np.ndarray], documents: list[np.ndarray]) -> np.ndarray:
     sizes = np.array([len(d) for d in documents])
     order = np.argsort(-sizes, kind="stable")
     out, sizes = np.zeros(len(documents)), sizes[order]
@@ -247,7 +266,7 @@ def score_documents(p: dict[str, np.ndarray], documents: list[np.ndarray]) -> np
     kept, goals, owners, held = [], [], [], 0
     for t in range(int(sizes[0])):
         n = int(np.searchsorted(-sizes, -t, "left"))  # documents longer than t
-        h = cell(p, terms[:, last[:n]], h[:, :n])[0]
+        h = cell(p, columns(terms, last[:n]), h[:, :n])[0]
         last = text[starts[:n] + t]
         kept.append(h)
         goals.append(last)
