@@ -11,8 +11,9 @@
    grow with its size and not with the square. Those whose sketches lie `ERRORS` standard
    errors below the threshold (3e-7 of pairs at it) are passed over, the others are confirmed on full sets.
 4. Confirmed links are contracted to components. Buckets that still span components send
-   stars from other centres, until no bucket has two components or its remaining members
-   have all been compared (`links`).
+   stars from other centres; those of up to `SMALL` members are compared in full. Members of
+   larger ones are then compared wherever they share one of their rarest shingles, which
+   every pair at the threshold does (`by_prefix`), so no pair of a bucket is left out.
 
 Texts that are null, empty or without words have an empty set, link with nothing and form
 their own component. Rows with equal doc_id and text are alike: both carry the same
@@ -28,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import DOC_COLUMNS, materialize, whole_text
@@ -38,8 +39,10 @@ BINS, BAND_ROWS = 384, 6
 #: Bins kept, as one byte each, to tell hopeless candidates before their texts are fetched, and
 #: the distance in standard errors from the threshold at which a candidate is hopeless.
 SKETCH, ERRORS = 128, 5.0
-#: Centres of each bucket, round by round; buckets of a few members are compared in full by then.
-CENTRES = (1, 4, 16, 16, 16, 16)
+#: Centres of each bucket, round by round: they join the bulk of a family before all else is compared.
+CENTRES = (1, 4, 16)
+#: Members up to which a bucket is compared in full.
+SMALL = 8
 MEMO_WORDS = 400_000
 _memo: dict[bytes, int] = {}
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -169,47 +172,112 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def stars(members: DataFrame, labels: DataFrame | None, centres: int, salt: int, percent: int) -> DataFrame:
-    """Edges (a, b) from up to `centres` members of each bucket to its members in other components."""
+def possible(n: str, m: str, sketch: str, other: str, percent: int) -> Column:
+    """Whether sets of these sizes and sketches can be similar enough."""
+    goal = percent / 100
+    agree = F.aggregate(F.zip_with(sketch, other, lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, b: a + b) / SKETCH
+    samples = F.least(F.lit(float(SKETCH)), F.least(n, m) / 2)  # small sets fill few bins of their own
+    hopeless = agree < goal - ERRORS * F.sqrt(goal * (1 - goal) / samples)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ~hopeless
+
+
+def open_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The members of buckets that span components, with their components."""
     rows = members.withColumn("component", F.col("node"))
     if labels is not None:
         rows = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = materialize(rows, "bucket-members")
     open_buckets = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rows = rows.join(open_buckets, "bucket")
+    return rows.join(open_buckets, "bucket")
+
+
+def stars(rows: DataFrame, centres: int, salt: int, percent: int) -> DataFrame:
+    """Edges (a, b) from up to `centres` members of each bucket to its members in other components."""
     pick = F.pmod(F.xxhash64("node", "bucket", F.lit(salt)), F.lit(centres))
+    # the hash leaves out the bucket, so that the buckets of a family propose the same edges
     middle = rows.groupBy("bucket", pick.alias("pick")).agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)), "node", "n", "component", "sketch")).alias("c"))
     middle = middle.select(
         "bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.component").alias("centre_component"), F.col("c.sketch").alias("centre_sketch")
     )
-    goal = percent / 100
-    agree = F.aggregate(F.zip_with("sketch", "centre_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, b: a + b) / SKETCH
-    samples = F.least(F.lit(float(SKETCH)), F.least("n", "centre_n") / 2)  # small sets fill few bins of their own
-    hopeless = agree < goal - ERRORS * F.sqrt(goal * (1 - goal) / samples)
     return (
         rows.join(middle, "bucket")
-        .where((F.col("component") != F.col("centre_component")) & (100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")) & ~hopeless)
+        .where((F.col("component") != F.col("centre_component")) & possible("n", "centre_n", "sketch", "centre_sketch", percent))
         .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
         .distinct()
     )
 
 
+def in_full(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between all members of a bucket in different components; for buckets of up to `SMALL`."""
+    other = rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other_component"), F.col("sketch").alias("other"))
+    pairs = rows.join(other, "bucket").where((F.col("node") > F.col("b")) & (F.col("component") != F.col("other_component")))
+    return pairs.where(possible("n", "m", "sketch", "other", percent)).select(F.col("node").alias("a"), "b").distinct()
+
+
+def by_prefix(rows: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) over all pairs of nodes in different components, but for those that are surely not similar.
+
+    Put all shingles in one order, the rarest first. Sets of n <= m shingles at the threshold t
+    share at least t (n + m) / (1 + t), so also one shingle among the first n - 2 t n / (1 + t) + 1
+    of the smaller and the first m - t m + 1 of the larger; after the first shared one there must
+    be enough left. Passages that thousands share come last in the order and pair nobody.
+    """
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = [shingle_set(t, width) for t in frame["text"]]
+            yield frame[["node"]].assign(variant=[xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], shingles=[s.view("int64") for s in sets])
+
+    nodes = materialize(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.first("sketch").alias("sketch")), "prefix-nodes")
+    sets = materialize(
+        texts.join(nodes.select("node").hint("merge"), "node", "left_semi").mapInPandas(work, "node long, variant long, shingles array<long>"), "prefix-sets"
+    )
+    each = sets.select("node", "variant", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("owners")).where("owners > 1")
+    ordered = each.join(common, "shingle").groupBy("node", "variant", "n").agg(F.array_sort(F.collect_list(F.struct("owners", "shingle"))).alias("found"))
+    # a set's own shingles come before all those it shares
+    spots = ordered.select("node", "n", (F.col("n") - F.size("found")).alias("own"), F.posexplode("found").alias("k", "x"))
+    spots = spots.select("node", "n", F.col("x.shingle").alias("shingle"), (F.col("own") + F.col("k") + 1).alias("at"))
+    least = lambda part, whole: F.expr(f"({part} + {whole} - 1) div {whole}")
+    spots = spots.withColumn("last", F.col("n") - least(f"n * {percent}", 100) + 1).where("at <= last")
+    spots = materialize(spots.join(nodes.select("node", "component"), "node").select("node", "n", "shingle", "at", "component"), "prefix-spots")
+    smaller = spots.where(F.col("at") <= F.col("n") - least(f"n * {2 * percent}", 100 + percent) + 1)
+    smaller = smaller.select("shingle", F.col("component").alias("c"), F.col("node").alias("small"), F.col("n").alias("small_n"), F.col("at").alias("small_at"))
+    # components meet first, so that members of one are never paired
+    kinds = smaller.select("shingle", "c").distinct().join(spots.select("shingle", "component").distinct(), "shingle").where("c <> component")
+    need = least(f"(n + small_n) * {percent}", 100 + percent)
+    pairs = (
+        kinds.join(smaller, ["shingle", "c"])
+        .join(spots, ["shingle", "component"])
+        .where((F.col("small_n") <= F.col("n")) & (F.least(F.col("n") - F.col("at"), F.col("small_n") - F.col("small_at")) + 1 >= need))
+        .select(F.greatest("node", "small").alias("a"), F.least("node", "small").alias("b"))
+        .distinct()
+    )
+    a = nodes.select(F.col("node").alias("a"), "n", "sketch")
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    return pairs.join(a, "a").join(b, "b").where(possible("n", "m", "sketch", "other", percent)).select("a", "b")
+
+
 def links(members: DataFrame, texts: DataFrame, *, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, component) over all confirmed links between members of one bucket."""
     labels, tried = None, None
-    for number, centres in enumerate(CENTRES):
-        edges = stars(members, labels, centres, number, percent)
+    large = F.col("size") > SMALL
+    for number in range(len(CENTRES) + 1):
+        rows = open_members(members if number < 2 else members.where(large), labels)
+        if number == len(CENTRES):
+            edges = by_prefix(rows, texts, width=width, percent=percent)
+        elif number == 1:
+            edges = stars(rows.where(large), CENTRES[1], 1, percent).union(in_full(rows.where(~large), percent)).distinct()
+        else:
+            edges = stars(rows, CENTRES[number], number, percent)
         if tried is not None:
             edges = edges.join(tried, ["a", "b"], "left_anti")
         edges = materialize(edges, "candidates")
         found = materialize(confirm(edges, texts, width=width, percent=percent), "confirmed")
-        fresh = found.count()
-        if labels is None or fresh:
+        if labels is None or not found.isEmpty():
             known = found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
             labels = components(known)
         tried = edges if tried is None else tried.union(edges)
-        if number >= 2 and not fresh:
-            break
     return labels
 
 
@@ -222,8 +290,8 @@ def near_duplicates(
     classes = materialize(usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "near-classes")
     heads = usable.join(classes.select("set_id", "node"), "set_id").where("doc_id = node")
     placed = heads.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    members = materialize(placed.join(shared, "bucket").select("bucket", "node", "n").distinct(), "near-members")
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
+    members = materialize(placed.join(shared, "bucket").select("bucket", "size", "node", "n").distinct(), "near-members")
     nodes = materialize(members.select("node").distinct(), "near-nodes")
     sketches = heads.select("node", "sketch").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
     members = materialize(members.join(sketches, "node"), "near-sketched")

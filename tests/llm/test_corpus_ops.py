@@ -95,6 +95,22 @@ def test_near_duplicates(request, spark, which):
     assert found == sorted((i, n, c, i == c) for i, n, c in plain_components(rows))
 
 
+def test_near_duplicates_in_a_hot_template(spark):
+    # all share a template at 0.72, which links none of them; planted pairs are at 0.76
+    rng, rows, planted = np.random.default_rng(8), [], 60
+    template = [f"t{k}" for k in range(204)]
+    for k in range(3000):
+        own = [f"o{k}x{j}" for j in range(39)]
+        rows.append((k, " ".join(template + own)))
+        if k < planted:
+            kept = own[:6]
+            rows.append((10_000 + k, " ".join(template + kept + [f"p{k}x{j}" for j in range(33)])))
+    order = rng.permutation(len(rows))
+    docs = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {i: i % 10_000 for i, _ in rows}
+
+
 def test_near_duplicates_odd_rows(odd_docs):
     found = near_dedup.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()
