@@ -1,7 +1,8 @@
 """Document scoring by a gated recurrent language model trained on the corpus.
 
 1. Words of all training documents are counted. The frequent ones (at most `HEAD_WORDS`)
-   become ids; the model itself predicts the `MODEL_WORDS` most frequent, and all others
+   become ids; the model itself predicts the `MODEL_WORDS` most frequent, the end token
+   always among them, and all others
    as one rare-word event shared out by their counts, so probabilities sum to one.
 2. Each task trains its own copy of the model on all its training documents: truncated
    backpropagation over windows of `WINDOW` tokens, the state carried from window to window
@@ -315,6 +316,17 @@ def frequent_words(words: DataFrame, at_most: int = HEAD_WORDS) -> list[tuple[st
     return sorted(head, key=lambda x: (-x[1], x[0]))
 
 
+def with_end(head: list[tuple[str, int]], words: DataFrame) -> list[tuple[str, int]]:
+    """The head with the end token among the model's words: the last of them if it is not frequent enough."""
+    end = words.where(F.col("word") == END.decode()).first()
+    if end is None:  # no training document
+        return head
+    others = [x for x in head if x[0] != end["word"]]
+    at = next((i for i, x in enumerate(head) if x[0] == end["word"]), len(others))
+    others.insert(min(at, MODEL_WORDS - 2), (end["word"], end["c"]))
+    return others
+
+
 def model_ids(head_ids: np.ndarray) -> np.ndarray:
     """The model's ids of head ids (0: no head word): those beyond the model's words are 0."""
     return np.where(head_ids < MODEL_WORDS, head_ids, 0).astype("int64")
@@ -397,7 +409,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     words = materialize(count_words(rows.where("not held_out").select("text")), "lm-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, n_words = total["n"], total["v"]
-    head = frequent_words(words)
+    head = with_end(frequent_words(words), words)
     # ids from 1 in order of frequency; id 0 is every other word
     number = {w.encode(): i + 1 for i, (w, _) in enumerate(head)}
     counts = np.array([0, *[c for _, c in head]], "float64")
@@ -412,7 +424,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     coded = materialize(encode(rows, number), "lm-coded")
     weights = flatten(first_parameters(model_counts))
-    if end_id and end_id < MODEL_WORDS:
+    if end_id:
         for k in range(ROUNDS):
             weights = train_round(coded, weights, k, end_id)
 

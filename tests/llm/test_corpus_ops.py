@@ -164,6 +164,22 @@ def test_lm_base_and_held_out_gain(documents):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.05 * sum(r["n_tokens"] for r in held)
 
 
+def test_lm_trains_where_the_end_token_is_rare(spark, monkeypatch):
+    # 2,400 words are in each document three times, so the end token is behind all of them
+    rounds, train_round = [], language_model.train_round
+
+    def counted(coded, weights, number, end_id):
+        rounds.append(end_id)
+        return train_round(coded, weights, number, end_id)
+
+    monkeypatch.setattr(language_model, "train_round", counted)
+    text = " ".join(f"w{k}" for k in range(2400))
+    docs = spark.createDataFrame([(i, " ".join([text] * 3)) for i in range(12)], "doc_id long, text string")
+    found = language_model.lm_scores(docs).collect()
+    assert len(rounds) == language_model.ROUNDS and set(rounds) == {language_model.MODEL_WORDS - 1}
+    assert all(math.isfinite(r["score"]) and r["n_tokens"] == r["n_known"] == 7201 for r in found)
+
+
 def test_model_probabilities_sum_to_one():
     p = language_model.first_parameters(np.arange(language_model.MODEL_WORDS, 0, -1.0))
     h = np.random.default_rng(0).standard_normal((language_model.HIDDEN, 1)).astype("float32")
