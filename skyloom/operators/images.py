@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean
@@ -194,22 +194,39 @@ def power_assign(pixels: DataFrame, generators: DataFrame, keys: Sequence[str] =
     return pixels.join(near.select(*keys, "y", "x", F.col("b.bin_id").alias("bin_id")), [*keys, "y", "x"], "left")
 
 
-def adaptive_bins(pixels: DataFrame, target_sn: float, rounds: int = 3, keys: Sequence[str] = ("target_id",), bits: int = 12) -> DataFrame:
+def in_ranges(rows: DataFrame, keys: Sequence[str], order: str, amount: Column, bits: int) -> DataFrame:
+    """Adds `running`, the sum of `amount` up to and with each row in the order of the integer `order`.
+
+    Ranges of 2^bits values are summed by themselves and start from the totals of those before,
+    so no task holds more than a range.
+    """
+    keys = list(keys)
+    rows = rows.withColumns({"part": F.shiftright(order, bits), "amount": amount})
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    totals = rows.groupBy(*keys, "part").agg(F.sum("amount").alias("total"))
+    totals = totals.select(*keys, "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*keys, "part").orderBy(order, *[c for c in ("y", "x") if c in rows.columns]).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.join(totals, [*keys, "part"])
+    return found.withColumn("running", F.col("start") + F.sum("amount").over(inside)).drop("part", "amount", "start")
+
+
+def adaptive_bins(pixels: DataFrame, target_sn: float, rounds: int = 3, keys: Sequence[str] = ("target_id",)) -> DataFrame:
     """Bins of about equal capacity: (keys, y, x, signal, noise, bin_id), ids 0 .. N - 1 per image.
 
     Seeds cut the running squared signal to noise along a Morton curve into parts of the target;
     each refinement assigns pixels to the nearest generator and recomputes the generators.
-    One image's pixels are ordered together; an image is bounded by its detector.
+    The curve has as many bits as the largest coordinate and is summed range by range.
     """
     keys = list(keys)
+    top = pixels.agg(F.max(F.greatest("x", "y"))).first()[0]
     code = F.lit(0).cast("long")
-    for b in range(bits):
+    for b in range(max(1, int(top or 0).bit_length())):
         code = code + F.shiftleft(F.shiftright("x", b).bitwiseAND(1).cast("long"), 2 * b) + F.shiftleft(F.shiftright("y", b).bitwiseAND(1).cast("long"), 2 * b + 1)
     p = pixels.select(*keys, "y", "x", "signal", "noise")
     power = F.pow(F.greatest(F.col("signal") / F.col("noise"), F.lit(0.0)), 2)
-    w = Window.partitionBy(*keys).orderBy(code, "y", "x")
-    seeds = p.withColumn("raw", F.floor(F.sum(power).over(w.rowsBetween(Window.unboundedPreceding, 0)) / (target_sn * target_sn) - 1e-9).cast("int"))
-    now = materialize(seeds.withColumnRenamed("raw", "bin_id"), "bins")
+    seeds = in_ranges(p.withColumn("code", code), keys, "code", power, 16)
+    seeds = seeds.withColumn("bin_id", F.floor(F.col("running") / (target_sn * target_sn) - 1e-9).cast("long")).drop("code", "running")
+    now = materialize(seeds, "bins")
     radius = lambda n: F.sqrt(n / F.pi())
     for _ in range(rounds):
         generators = now.groupBy(*keys, "bin_id").agg(F.avg("x").alias("gx"), F.avg("y").alias("gy"), radius(F.count("*")).alias("r"))
@@ -217,8 +234,8 @@ def adaptive_bins(pixels: DataFrame, target_sn: float, rounds: int = 3, keys: Se
         kept = now.select(*keys, "y", "x", F.col("bin_id").alias("old"))
         now = materialize(moved.join(kept, [*keys, "y", "x"]).withColumn("bin_id", F.coalesce("bin_id", "old")).drop("old"), "bins")
     ids = now.select(*keys, "bin_id").distinct()
-    order = Window.partitionBy(*keys).orderBy("bin_id") if keys else Window.orderBy("bin_id")
-    return now.join(ids.withColumn("new_id", F.row_number().over(order) - 1), [*keys, "bin_id"]).select(*keys, "y", "x", "signal", "noise", F.col("new_id").alias("bin_id"))
+    ids = in_ranges(ids, keys, "bin_id", F.lit(1), 12).withColumn("new_id", (F.col("running") - 1).cast("int"))
+    return now.join(ids.drop("running"), [*keys, "bin_id"]).select(*keys, "y", "x", "signal", "noise", F.col("new_id").alias("bin_id"))
 
 
 def bin_table(members: DataFrame, keys: Sequence[str] = ("target_id", "bin_id")) -> DataFrame:

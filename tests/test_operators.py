@@ -188,3 +188,11 @@ def test_no_cross_products_between_facts(spark):
     for name in ("q_rebin", "q_transfer", "q_reproject", "q_interp"):
         plan = (stage1.QUERIES | stage2.QUERIES)[name](spark, d)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan
+
+
+def test_adaptive_bins_of_a_tall_image(spark):
+    rows = spark.range(0, 4 * 9000).selectExpr("'t' AS target_id", "cast(id div 4 AS int) AS y", "cast(id % 4 AS int) AS x", "1.0D AS signal", "1.0D AS noise")
+    found = I.adaptive_bins(rows, 4.0, rounds=0)  # the seeds: 16 pixels each
+    bins = found.groupBy("bin_id").agg(F.count("*").alias("n"), (F.max("y") - F.min("y")).alias("extent")).collect()
+    assert sorted(r["bin_id"] for r in bins) == list(range(len(bins))) and sum(r["n"] for r in bins) == rows.count()
+    assert max(r["extent"] for r in bins) < 16 and max(r["n"] for r in bins) <= 17
