@@ -7,10 +7,11 @@ the entity over the entity's own information content:
 
     PMI(t; e) / IC(e) = 1 + log P(e | t) / -log P(e)
 
-P(e | t) is the share of the documents with t that have t near e. Terms at or above
-`threshold`, seen near the entity in at least `min_contexts` different contexts, are
-generalised; those at or above `remove_at` are removed. Different contexts are counted,
-not documents, so copies of one text are no evidence.
+P(e | t) is the share of the documents with t that have t near e, drawn towards P(e) as if
+`prior` more contexts had been seen: few contexts say less. Different contexts are counted,
+not documents, so copies of one text are no evidence. Terms at or above `threshold` are
+generalised, those at or above `remove_at` removed, wherever any document has them: the
+term alone reveals the entity.
 
 Null texts count as empty. Offsets are code points, ends exclusive. Equal texts get equal
 spans, whatever their ids; an empty table gives an empty result; extra columns pass through
@@ -23,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import DOC_COLUMNS, UPPER, LOWER, materialize, whole_text
@@ -31,7 +32,6 @@ from skyloom.llm.common import DOC_COLUMNS, UPPER, LOWER, materialize, whole_tex
 #: The kinds in the order in which they are listed, then the method's own.
 KINDS = ("email", "ip", "card", "phone", "term", "gone")
 WINDOW_WORDS = 6
-MIN_TERM = 4
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 50_000
 
@@ -109,7 +109,7 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, li
         for w in [*before, *after]:
             for m in TERM_IN.finditer(text, w.start(), w.end()):
                 s, e = m.span()
-                if e - s >= MIN_TERM and not m[0].isdigit() and all(e <= a or s >= b for a, _, b in spans):
+                if not m[0].isdigit() and all(e <= a or s >= b for a, _, b in spans):
                     terms.append((m[0].translate(TO_LOWER), s, e))
         out.append((entity_name(text, start, kind, end), terms))
     return out
@@ -138,7 +138,38 @@ def detect_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.mapInPandas(work, f"{kinds}, spans {SPANS}, mentions {MENTIONS}")
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, text_col: str = "text", threshold: float = 0.85, min_contexts: int = 3) -> DataFrame:
+def distinct_terms(text_col: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.translate(whole_text(text_col), UPPER, LOWER), F.lit(TERM), F.lit(0)))
+
+
+def term_places(found: DataFrame, docs: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(digest, extra): the spans of the given terms (term, kind) in all texts that have any, outside the base spans."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            extra = []
+            for text, hits in zip(frame["the_text"], frame["hits"]):
+                kinds, spans = {h["term"]: h["kind"] for h in hits}, detect(text)
+                near = {(s, e): t for _, ts in mentions(text, spans) for t, s, e in ts}  # words cut by a span are terms there
+                places = {m.span(): m[0].translate(TO_LOWER) for m in TERM_IN.finditer(text)}
+                clear = {p: t for p, t in places.items() if t in kinds and all(p[1] <= a or p[0] >= b for a, _, b in spans)}
+                clear |= {p: t for p, t in near.items() if t in kinds}
+                extra.append([{"start": s, "kind": kinds[t], "end": e} for (s, e), t in sorted(clear.items())])
+            yield frame[["digest"]].assign(extra=extra)
+
+    if terms.count() <= BROADCAST_ROWS:
+        terms = F.broadcast(terms)
+    digest = F.sha2(whole_text(text_col), 256).alias("digest")
+    written = docs.select(digest, F.explode(distinct_terms(text_col)).alias("term"))
+    near = found.where(F.size("mentions") > 0).select("digest", F.explode("mentions").alias("m")).select("digest", F.explode("m.terms.term").alias("term"))
+    hits = written.unionByName(near).join(terms, "term").groupBy("digest").agg(F.collect_set(F.struct("term", "kind")).alias("hits"))
+    hits = materialize(hits, "pii-hits")
+    texts = docs.select(digest, whole_text(text_col).alias("the_text")).join(hits.select("digest"), "digest", "left_semi")
+    texts = texts.groupBy("digest").agg(F.first("the_text").alias("the_text"))  # equal texts have equal places
+    return texts.join(hits, "digest").mapInPandas(work, f"digest string, extra {SPANS}")
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, text_col: str = "text", threshold: float = 0.85, prior: float = 1.0) -> DataFrame:
     """(entity, term, disclosure) for the terms that reveal an entity; counts cover all documents."""
     near = found.select("digest", F.explode("mentions").alias("m")).select(
         "digest", F.col("m.entity").alias("entity"), F.transform("m.terms", lambda x: x["term"]).alias("terms")
@@ -147,50 +178,42 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, text_col
     pairs = near.select("entity", "context", F.explode(F.array_distinct("terms")).alias("term"))
     # copies collapse before the distinct contexts are counted
     support = pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    support = support.where(F.col("contexts") >= min_contexts).select("entity", "term")
     by_document = (
         found.select(F.monotonically_increasing_id().alias("rid"), F.explode("mentions").alias("m"))
         .select("rid", F.col("m.entity").alias("entity"), F.explode(F.array_distinct(F.transform("m.terms", lambda x: x["term"]))).alias("term"))
         .distinct()
     )
-    together = by_document.groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(support, ["entity", "term"], "left_semi")
+    together = by_document.groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(support, ["entity", "term"])
     near_any = by_document.select("rid", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     entities = by_document.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     content = F.greatest(F.lit(1e-9), F.log(F.lit(float(max(2, n_docs))) / F.col("n_entity")))
-    disclosure = lambda n: 1 + F.log(F.least(F.lit(1.0), F.col("n_both") / F.col(n))) / content
+    share = F.col("n_entity") / float(max(2, n_docs))
+    given = lambda n: (F.col("contexts") * F.least(F.lit(1.0), F.col("n_both") / F.col(n)) + prior * share) / (F.col("contexts") + prior)
+    disclosure = lambda n: 1 + F.log(F.least(F.lit(1.0), given(n))) / content
     # a term is in at least as many documents as it is near any entity in, so this bound loses no pair
     pairs = together.join(near_any, "term").join(entities, "entity").where(disclosure("n_near") >= threshold)
-    pairs = materialize(pairs.select("entity", "term", "n_both", "n_entity"), "pii-pairs")
+    pairs = materialize(pairs.select("entity", "term", "n_both", "n_entity", "contexts"), "pii-pairs")
     candidates = materialize(pairs.select("term").distinct(), "pii-candidates")
     if candidates.count() <= BROADCAST_ROWS:
         candidates = F.broadcast(candidates)
-    words = F.array_distinct(F.regexp_extract_all(F.translate(whole_text(text_col), UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    frequency = docs.select(F.explode(words).alias("term")).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    frequency = docs.select(F.explode(distinct_terms(text_col)).alias("term")).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     return pairs.join(frequency, "term").withColumn("disclosure", disclosure("n_term")).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
 def find_pii(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = (), threshold: float = 0.85, remove_at: float = 0.98, min_contexts: int = 3
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = (), threshold: float = 0.85, remove_at: float = 0.98, prior: float = 1.0
 ) -> DataFrame:
     """Per input row: doc_id, base (spans by pattern), spans (base and terms, sorted), then `payload`."""
     found = materialize(detect_documents(docs, id_col=id_col, text_col=text_col, payload=payload), "pii-found")
     n_docs = found.count()
     with_entities = found.where(F.size("mentions") > 0)
-    revealing = materialize(disclosing_terms(with_entities, docs, n_docs, text_col=text_col, threshold=threshold, min_contexts=min_contexts), "pii-terms")
-    places = (
-        with_entities.groupBy("digest").agg(F.any_value("mentions").alias("mentions"))  # equal texts have equal mentions
-        .select("digest", F.explode("mentions").alias("m"))
-        .select("digest", F.col("m.entity").alias("entity"), F.inline("m.terms"))
-        .join(revealing, ["entity", "term"])
-        .groupBy("digest", "start", "end")
-        .agg(F.max("disclosure").alias("disclosure"))
-    )
-    kind = F.when(F.col("disclosure") >= remove_at, KINDS.index("gone")).otherwise(KINDS.index("term"))
-    extra = places.groupBy("digest").agg(F.collect_list(F.struct("start", kind.alias("kind"), "end")).alias("extra"))  # a few per document
-    joined = with_entities.join(extra, "digest", "left").select(*found.columns, "extra")
-    plain = found.where(F.size("mentions") == 0).withColumn("extra", F.lit(None).cast(SPANS))
+    revealing = materialize(disclosing_terms(with_entities, docs, n_docs, text_col=text_col, threshold=threshold, prior=prior), "pii-terms")
+    kind = F.when(F.max("disclosure") >= remove_at, KINDS.index("gone")).otherwise(KINDS.index("term"))
+    terms = materialize(revealing.groupBy("term").agg(kind.alias("kind")), "pii-kinds")
+    extra = materialize(term_places(found, docs, terms, text_col=text_col), "pii-places")
+    joined = found.join(extra, "digest", "left").select(*found.columns, "extra")
     spans = F.array_sort(F.concat("spans", F.coalesce("extra", F.array().cast(SPANS))))
-    return joined.unionByName(plain).select(
+    return joined.select(
         F.col("the_id").cast("long").alias("doc_id"), F.col("spans").alias("base"), spans.alias("spans"), *[F.col(f"p_{c}").alias(c) for c in payload if c != "doc_id"]
     )
 

@@ -174,6 +174,19 @@ def test_revealing_terms_are_spans(spark):
     assert clean[200] == "copied text with Uniquename near [EMAIL] for ever"
 
 
+def test_revealing_terms_go_everywhere(spark):
+    far = " ".join(f"filler{k}" for k in range(30))
+    rows = [(i, f"Bob writes from b{'o' * 3}b@vin.com case{i} {far} and Bob left") for i in range(4)]
+    rows += [(50, "later Bob came by"), (60, f"only 王 at one@two.org {far}")]
+    rows += [(100 + i, f"{far} writes from case of and left only at later came by plain{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    terms = {i: [text[x["start"] : x["end"]] for x in found[i]["spans"] if x["kind"] > 3] for i, text in rows}
+    assert all(terms[i].count("Bob") == 2 for i in range(4))  # short, and far from the address
+    assert terms[50] == ["Bob"] and "王" in terms[60]  # without the address; seen in one context only
+    assert not any(terms[i] for i, _ in rows if i >= 100)
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     assert pii.find_pii(odd_docs).count() == odd_docs.count()
     assert pii.find_pii(no_docs).count() == 0
