@@ -6,27 +6,26 @@ the two neighbouring ranks refreshed, until no pair can merge. Scanning is quadr
 words longer than `LONG_WORD` bytes take the same merges in the same order from a heap.
 
 Null texts encode to no ids and decode to the empty text. Rows are independent of each
-other: repeated rows, empty tables and extra columns need no special care.
+other: repeated rows, null ids, empty tables and extra columns need no special care. Texts of
+any length are encoded whole; a single long word costs n log n.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import whole_text
+from skyloom.llm.common import in_slices, map_texts, whole_text
 
 LONG_WORD = 96
 MEMO_WORDS = 200_000
-SLICE_ROWS = 1_000
 #: Fixed value: how byte-level vocabularies of this kind part a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 NO_RANK = 1 << 60
@@ -142,24 +141,20 @@ def load_bpe(path: str) -> ByteBpe:
 def encode_documents(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: doc_id, ids array<int>."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str]) -> list[pa.Array]:
         bpe = load_bpe(vocab_path)
-        for frame in frames:
-            for at in range(0, len(frame), SLICE_ROWS):
-                part = frame.iloc[at : at + SLICE_ROWS]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [np.array(bpe.encode(t), "int32") for t in part["text"]]})
+        return [pa.array([np.array(bpe.encode(t), "int32") for t in texts], pa.list_(pa.int32()))]
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInPandas(work, "doc_id long, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("the_text"))
+    return map_texts(rows, work, "ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, vocab_path: str) -> DataFrame:
     """Per row of (doc_id, ids): the same, and decoded."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load_bpe(vocab_path)
-        for frame in frames:
-            for at in range(0, len(frame), SLICE_ROWS):
-                part = frame.iloc[at : at + SLICE_ROWS]
-                yield part.assign(decoded=[bpe.decode(x.tolist()) for x in part["ids"]])
+        decoded = pa.array([bpe.decode(ids) for ids in batch.column("ids").to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(work, "doc_id long, ids array<int>, decoded string")
+    return in_slices(encoded.select("doc_id", "ids"), work, "doc_id long, ids array<int>, decoded string")

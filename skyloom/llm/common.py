@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows whose texts are Python strings at one time in a task.
+SLICE_ROWS = 500
+#: Rows of a few numbers, so a few megabytes.
+BROADCAST_ROWS = 100_000
 _own_dir: dict[str, str] = {}
 
 
@@ -39,6 +46,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, at_most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows for a join: broadcast while it has at most so many rows, beyond that sorted and merged."""
+    return F.broadcast(df) if df.count() <= at_most else df.hint("merge")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,3 +70,38 @@ def bounded_sample(rows: DataFrame, key: str, at_most: int) -> DataFrame:
     share = min(1.0, 1.5 * at_most / max(1, rows.count()))
     thinned = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) <= int(share * (1 << 30)))
     return thinned.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(at_most)
+
+
+def in_slices(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, *, done: Callable[[], None] | None = None) -> DataFrame:
+    """`work` on slices of at most SLICE_ROWS rows; `done` runs at the end of each task, to free what it has kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield work(batch.slice(at, SLICE_ROWS))
+        if done:
+            done()
+
+    return rows.mapInArrow(run, schema)
+
+
+def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
+    return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def map_texts(
+    rows: DataFrame, work: Callable[[list[str]], list[pa.Array]], fields: str, *, text: str = "the_text", keep_text: bool = False, done: Callable[[], None] | None = None
+) -> DataFrame:
+    """The rows with `fields` (as DDL) that `work` finds from their texts, null as empty.
+
+    Only a slice of texts at a time becomes Python strings. All other columns pass as Arrow,
+    so long ids stay exact beside nulls. The text is left out unless `keep_text`.
+    """
+    names = [c for c in rows.columns if keep_text or c != text]
+    schema = StructType([rows.schema[c] for c in names] + StructType.fromDDL(fields).fields)
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        arrays = [batch.column(c) for c in names] + work(texts_of(batch, text))
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return in_slices(rows, add, schema, done=done)

@@ -4,12 +4,13 @@ The plan is made over counts: a histogram of piece lengths (at most `capacity` r
 goes to the driver, lengths are placed from the longest down, and all pieces of a length
 that fit the tightest remaining space move there at once. A plan record says which ranks
 of a length take which run of sequences at which offset; there are at most about
-capacity * ln(capacity) records, whatever the number of documents. Documents then find
-their slot by (length, rank within length). Ranks are counted in about sqrt(n) salted
+capacity * ln(capacity) records, whatever the number of documents. Documents then take
+their slots by joining the plan on their length and rank within it. Ranks are counted in about sqrt(n) salted
 parts of each length, so a length that holds a third of all rows is no single task.
 
 Null texts count as empty: a piece of just the end id. Repeated rows and null ids are
-packed like any other row; an empty table gives an empty result.
+packed like any other row; an empty table gives an empty result. Texts of any length are
+encoded whole and cut; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,22 +18,22 @@ from __future__ import annotations
 import math
 import zlib
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 from unicodedata import category, is_normalized
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.bpe import ByteBpe
-from skyloom.llm.common import materialize, whole_text
+from skyloom.llm.bpe import byte_letters
+from skyloom.llm.common import in_slices, materialize, texts_of, whole_text
 
 CAPACITY = 4096
 END_ID = 1
 MEMO_WORDS = 200_000
+BROADCAST_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -58,7 +59,8 @@ class WordIds:
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.safe: set[str] = set()
-        self.bpe = ByteBpe(path)
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
         self.pieces: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
@@ -81,7 +83,8 @@ class WordIds:
         for piece in PIECE.findall(raw.decode()):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = array("I", self.bpe.merged_ids(piece)).tobytes()
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
                 if len(self.pieces) >= MEMO_WORDS:
                     self.pieces.clear()
                 if len(ids) <= 256:
@@ -110,21 +113,22 @@ def load_words(path: str) -> WordIds:
 def cut_documents(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, end = load_words(vocab_path), np.uint32(end_id).astype("<u4").tobytes()
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                ids = words.encode(text) + end
-                for n, start in enumerate(range(0, len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, n, start, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        rows = []
+        for k, text in enumerate(texts_of(batch, "the_text")):
+            ids = words.encode(text) + end
+            for n, start in enumerate(range(0, len(ids) // 4, capacity)):
+                part = ids[4 * start : 4 * (start + capacity)]
+                rows.append((k, n, start, len(part) // 4, zlib.crc32(part)))
+        k, n, start, length, crc = zip(*rows)
+        arrays = [batch.column("doc_id").take(pa.array(k)), pa.array(n, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInPandas(work, PIECES)
+    return in_slices(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("the_text")), work, PIECES)
 
 
 def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -168,12 +172,12 @@ def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
 def ranked(pieces: DataFrame, histogram: DataFrame) -> DataFrame:
     """Adds rank (from 0) within length; each length is counted in about sqrt(n) parts."""
     parts = histogram.select("length", F.ceil(F.sqrt("n")).alias("parts"))
-    salted = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "parts")).drop("parts")
+    salted = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("rid"), "parts")).drop("parts")
     sizes = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = sizes.withColumn(
         "before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ).select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "part").orderBy("rid")
     return (
         salted.withColumn("nth", F.row_number().over(inside) - 1)
         .join(before, ["length", "part"])
@@ -184,23 +188,19 @@ def ranked(pieces: DataFrame, histogram: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocab_path: str, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = materialize(cut_documents(docs, vocab_path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id), "packing-pieces")
+    pieces = cut_documents(docs, vocab_path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id)
+    pieces = materialize(pieces.withColumn("rid", F.monotonically_increasing_id()), "packing-pieces")
     histogram = pieces.groupBy("length").agg(F.count("*").alias("n"))
     histogram = materialize(histogram, "packing-histogram")  # at most `capacity` rows
     plan = plan_slots({r["length"]: r["n"] for r in histogram.collect()}, capacity)
-    plan.sort()
-    slots = np.array(plan or [(0, 0, 0, 0, 0)], "int64")
-    widest = 1 << 45  # ranks stay below this
-    keys = slots[:, 0] * widest + slots[:, 1]
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            at = np.searchsorted(keys, frame["length"].to_numpy() * widest + frame["rank"].to_numpy(), "right") - 1
-            found = slots[at]
-            yield frame.drop(columns="rank").assign(sequence_id=found[:, 3] + frame["rank"].to_numpy() - found[:, 1], offset=found[:, 4]).astype({"doc_id": "Int64"})
-
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
-    return ranked(pieces, histogram).select(*columns).mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    slots = docs.sparkSession.createDataFrame(plan, "length long, first_rank long, n_ranks long, first_sequence long, offset long")
+    if len(plan) <= BROADCAST_ROWS:  # it grows with the capacity, not with the documents
+        slots = F.broadcast(slots)
+    within = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n_ranks"))
+    placed = ranked(pieces, histogram).join(slots, "length").where(within)
+    return placed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset"
+    )
 
 
 def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
