@@ -14,8 +14,8 @@ generalised, those at or above `remove_at` removed, wherever any document has th
 term alone reveals the entity.
 
 Null texts count as empty. Offsets are code points, ends exclusive. Equal texts get equal
-spans, whatever their ids; an empty table gives an empty result; extra columns pass through
-`payload` only.
+spans, whatever their ids, null ones too; an empty table gives an empty result; extra columns
+pass through `payload` only. Texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import DOC_COLUMNS, UPPER, LOWER, materialize, whole_text
+from skyloom.llm.common import DOC_COLUMNS, LOWER, UPPER, in_slices, map_texts, materialize, texts_of, whole_text
 
 #: The kinds in the order in which they are listed, then the method's own.
 KINDS = ("email", "ip", "card", "phone", "term", "gone")
@@ -117,25 +117,34 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, li
 
 MENTIONS = "array<struct<entity:string,terms:array<struct<term:string,start:int,end:int>>>>"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+SPAN_LISTS = pa.list_(pa.struct([(k, pa.int32()) for k in ("start", "kind", "end")]))
+MENTION_LISTS = pa.list_(
+    pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
+)
+
+
+def span_list(spans: list[tuple[int, int, int]]) -> list[dict[str, int]]:
+    return [dict(zip(("start", "kind", "end"), x)) for x in spans]
 
 
 def detect_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = ()) -> DataFrame:
-    """Per input row: the_id, spans, mentions, digest (of the text, where there are mentions), then payload as p_*."""
+    """Per input row: the_id, digest of the text, payload as p_*, spans, mentions."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            spans = [detect(t) for t in frame["the_text"]]
-            found = [[{"entity": n, "terms": [dict(zip(("term", "start", "end"), x)) for x in ts]} for n, ts in mentions(t, s)] for t, s in zip(frame["the_text"], spans)]
-            yield frame.drop(columns="the_text").assign(spans=[[dict(zip(("start", "kind", "end"), x)) for x in s] for s in spans], mentions=found)
+    def work(texts: list[str]) -> list[pa.Array]:
+        spans = [detect(t) for t in texts]
+        found = [[{"entity": n, "terms": [dict(zip(("term", "start", "end"), x)) for x in ts]} for n, ts in mentions(t, s)] for t, s in zip(texts, spans)]
+        return [pa.array([span_list(s) for s in spans], SPAN_LISTS), pa.array(found, MENTION_LISTS)]
 
+    whole = text_col in payload  # then the text goes to Python and back once
+    carried = [F.col(c).alias("the_text" if c == text_col else f"p_{c}") for c in payload]
     rows = docs.select(
-        F.col(id_col).cast("long").cast("string").alias("the_id"),
-        whole_text(text_col).alias("the_text"),
+        F.col(id_col).cast("long").alias("the_id"),
         F.sha2(whole_text(text_col), 256).alias("digest"),
-        *[F.col(c).alias(f"p_{c}") for c in payload],
+        *carried,
+        *([] if whole else [F.col(text_col).cast("string").alias("the_text")]),
     )
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "the_text")
-    return rows.mapInPandas(work, f"{kinds}, spans {SPANS}, mentions {MENTIONS}")
+    found = map_texts(rows, work, f"spans {SPANS}, mentions {MENTIONS}", keep_text=whole)
+    return found.withColumnRenamed("the_text", f"p_{text_col}") if whole else found
 
 
 def distinct_terms(text_col: str) -> Column:
@@ -145,17 +154,16 @@ def distinct_terms(text_col: str) -> Column:
 def term_places(found: DataFrame, docs: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
     """(digest, extra): the spans of the given terms (term, kind) in all texts that have any, outside the base spans."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            extra = []
-            for text, hits in zip(frame["the_text"], frame["hits"]):
-                kinds, spans = {h["term"]: h["kind"] for h in hits}, detect(text)
-                near = {(s, e): t for _, ts in mentions(text, spans) for t, s, e in ts}  # words cut by a span are terms there
-                places = {m.span(): m[0].translate(TO_LOWER) for m in TERM_IN.finditer(text)}
-                clear = {p: t for p, t in places.items() if t in kinds and all(p[1] <= a or p[0] >= b for a, _, b in spans)}
-                clear |= {p: t for p, t in near.items() if t in kinds}
-                extra.append([{"start": s, "kind": kinds[t], "end": e} for (s, e), t in sorted(clear.items())])
-            yield frame[["digest"]].assign(extra=extra)
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        extra = []
+        for text, hits in zip(texts_of(batch, "the_text"), batch.column("hits").to_pylist()):
+            kinds, spans = {h["term"]: h["kind"] for h in hits}, detect(text)
+            near = {(s, e): t for _, ts in mentions(text, spans) for t, s, e in ts}  # words cut by a span are terms there
+            places = {m.span(): m[0].translate(TO_LOWER) for m in TERM_IN.finditer(text)}
+            clear = {p: t for p, t in places.items() if t in kinds and all(p[1] <= a or p[0] >= b for a, _, b in spans)}
+            clear |= {p: t for p, t in near.items() if t in kinds}
+            extra.append(span_list([(s, kinds[t], e) for (s, e), t in sorted(clear.items())]))
+        return pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(extra, SPAN_LISTS)], names=["digest", "extra"])
 
     if terms.count() <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
@@ -166,7 +174,7 @@ def term_places(found: DataFrame, docs: DataFrame, terms: DataFrame, *, text_col
     hits = materialize(hits, "pii-hits")
     texts = docs.select(digest, whole_text(text_col).alias("the_text")).join(hits.select("digest"), "digest", "left_semi")
     texts = texts.groupBy("digest").agg(F.first("the_text").alias("the_text"))  # equal texts have equal places
-    return texts.join(hits, "digest").mapInPandas(work, f"digest string, extra {SPANS}")
+    return in_slices(texts.join(hits, "digest"), work, f"digest string, extra {SPANS}")
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, text_col: str = "text", threshold: float = 0.85, prior: float = 1.0) -> DataFrame:
@@ -214,7 +222,7 @@ def find_pii(
     joined = found.join(extra, "digest", "left").select(*found.columns, "extra")
     spans = F.array_sort(F.concat("spans", F.coalesce("extra", F.array().cast(SPANS))))
     return joined.select(
-        F.col("the_id").cast("long").alias("doc_id"), F.col("spans").alias("base"), spans.alias("spans"), *[F.col(f"p_{c}").alias(c) for c in payload if c != "doc_id"]
+        F.col("the_id").alias("doc_id"), F.col("spans").alias("base"), spans.alias("spans"), *[F.col(f"p_{c}").alias(c) for c in payload if c != "doc_id"]
     )
 
 
@@ -239,16 +247,13 @@ def sanitise(text: str, spans) -> str:
 def sanitise_documents(docs: DataFrame) -> DataFrame:
     """The documents with their personal data gone, n_chars recounted; other columns as they are."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.drop(columns=["spans", "key"]).assign(
-                doc_id=frame["key"], text=[t if t is None or not len(s) else sanitise(t, s) for t, s in zip(frame["text"], frame["spans"])]
-            )
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        clean = [t if t is None else sanitise(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
+        arrays = [pa.array(clean, pa.string()) if c == "text" else batch.column(c) for c in DOC_COLUMNS]
+        return pa.RecordBatch.from_arrays(arrays, names=list(DOC_COLUMNS))
 
-    rows = find_pii(docs, payload=DOC_COLUMNS).select(F.col("doc_id").cast("string").alias("key"), *DOC_COLUMNS[1:], "spans")
+    rows = find_pii(docs, payload=DOC_COLUMNS).select(*DOC_COLUMNS, "spans")
     touched = rows.where(F.size("spans") > 0)
-    shape = "text string, lang string, source string, n_chars string, doc_id string"
-    changed = touched.withColumn("n_chars", F.col("n_chars").cast("string")).mapInPandas(work, shape).withColumn("n_chars", F.char_length("text").cast("long"))
-    same = rows.where(F.size("spans") == 0).withColumnRenamed("key", "doc_id")
-    names = [F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")]
-    return changed.select(*names).unionByName(same.select(*names))
+    changed = in_slices(touched, work, touched.select(*DOC_COLUMNS).schema).withColumn("n_chars", F.char_length("text").cast("long"))
+    same = rows.where(F.size("spans") == 0).select(*DOC_COLUMNS).withColumn("n_chars", F.col("n_chars").cast("long"))
+    return changed.unionByName(same)

@@ -7,22 +7,23 @@ precise; the rows they cover are taken away and the next rule is sought. `verdic
 the list into one ordered conditional Spark expression.
 
 The rules are fitted on at most `MAX_LABELLED` labelled documents (those with the smallest
-hash of doc_id); statistics and verdicts cover every row. Null texts have no words and
-fail the base rule. Repeated rows are judged each on its own; an empty table gives an
-empty result; without labels of both classes only the base rule decides.
+hash of doc_id, one row of each); statistics and verdicts cover every row. Null texts have
+no words and fail the base rule. Repeated rows and null ids are judged each on its own; an
+empty table gives an empty result; without labels of both classes only the base rule decides.
+Texts of any length are counted whole. Extra columns are ignored unless named in `payload`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import DOC_COLUMNS, bounded_sample, whole_text
+from skyloom.llm.common import DOC_COLUMNS, bounded_sample, map_texts
 
 MAX_LABELLED = 20_000
 MIN_WORDS = 50
@@ -72,20 +73,17 @@ def statistics_of(text: str) -> tuple[int, ...]:
 def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = ()) -> DataFrame:
     """Per input row: doc_id, the counts, the ratios the rules use, base_failed, then `payload`."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = pd.DataFrame([statistics_of(t) for t in frame["the_text"]], columns=list(COUNTS), index=frame.index, dtype="int64")
-            yield pd.concat([frame.drop(columns="the_text"), found], axis=1)
+    def work(texts: list[str]) -> list[pa.Array]:
+        return [pa.array(x, pa.int64()) for x in zip(*map(statistics_of, texts))]
 
     payload = tuple(c for c in payload if c != "doc_id")
-    rows = docs.select(
-        F.col(id_col).cast("long").cast("string").alias("the_id"), whole_text(text_col).alias("the_text"), *[F.col(c).alias(f"p_{c}") for c in payload]
-    )
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "the_text")
-    counted = rows.mapInPandas(work, kinds + ", " + ", ".join(f"{c} long" for c in COUNTS))
+    whole = text_col in payload  # then the text goes to Python and back once
+    carried = [F.col(c).alias("the_text" if c == text_col else f"p_{c}") for c in payload]
+    rows = docs.select(F.col(id_col).cast("long").alias("the_id"), *carried, *([] if whole else [F.col(text_col).cast("string").alias("the_text")]))
+    counted = map_texts(rows, work, ", ".join(f"{c} long" for c in COUNTS), keep_text=whole)
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     return counted.select(
-        F.col("the_id").cast("long").alias("doc_id"),
+        F.col("the_id").alias("doc_id"),
         *COUNTS,
         ratio("n_symbols", "word_chars").alias("symbol_ratio"),
         ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
@@ -95,7 +93,7 @@ def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         ratio("n_digits", "word_chars").alias("digit_ratio"),
         ratio("n_distinct", "n_words").alias("distinct_ratio"),
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        *[F.col(f"p_{c}").alias(c) for c in payload],
+        *[F.col("the_text" if c == text_col else f"p_{c}").alias(c) for c in payload],
     )
 
 
@@ -179,12 +177,12 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, *, label: str = "quality", at_most: int = MAX_LABELLED) -> pd.DataFrame:
-    """Statistics of at most `at_most` labelled documents."""
+    """Statistics of at most `at_most` labelled documents; of rows that repeat an id, the one with the least statistics."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label)).dropna()
     y = bounded_sample(y.groupBy("doc_id").agg(F.max(label).alias(label)), "doc_id", at_most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y), "doc_id")
-    stats = text_statistics(texts, payload=(label,))
-    return stats.where("not base_failed").select(label, *FEATURES).toPandas()
+    stats = text_statistics(texts, payload=(label,)).where("not base_failed")
+    return stats.groupBy("doc_id").agg(F.min(F.struct(label, *FEATURES)).alias("x")).select("x.*").toPandas()
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, payload: tuple[str, ...] = ()) -> DataFrame:
