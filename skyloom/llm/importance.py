@@ -10,7 +10,8 @@ by default the share of good ones among the labelled.
 
 The k-th largest key is found by narrowing a histogram, never by sorting all rows in one
 task. Null texts have no n-grams and log importance 0. Rows repeating id and text get the
-same key and are told apart by their place. An empty table gives an empty result.
+same key and are told apart by their place. Null ids are scored like any other; an empty
+table gives an empty result; extra columns are ignored. Texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import bounded_sample, materialize, whole_text
+from skyloom.llm.common import SLICE_ROWS, bounded_sample, in_slices, materialize, texts_of, whole_text
 
 FEATURES = 1 << 16
 MAX_TARGET = 20_000
@@ -51,21 +52,28 @@ def features(text: str) -> np.ndarray:
     return (np.concatenate([h, pairs]) >> np.uint64(48)).astype("int64")
 
 
+def forget() -> None:
+    _memo.clear()
+
+
 def feature_counts(rows: DataFrame) -> DataFrame:
     """(feature, n_target, n_raw) over rows of (text, target)."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, FEATURES), "int64")
-        for frame in frames:
-            for text, target in zip(frame["text"], frame["target"]):
-                n = np.bincount(features(text), minlength=FEATURES)
-                both[1] += n
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                found = [features(t) for t in texts_of(part, "text")]
+                both[1] += np.bincount(np.concatenate(found), minlength=FEATURES)
+                target = [x for x, y in zip(found, part.column("target").to_pylist()) if y]
                 if target:
-                    both[0] += n
+                    both[0] += np.bincount(np.concatenate(target), minlength=FEATURES)
+        forget()
         used = np.flatnonzero(both[1])
-        yield pd.DataFrame({"feature": used, "n_target": both[0, used], "n_raw": both[1, used]})
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, both[0, used], both[1, used])], names=["feature", "n_target", "n_raw"])
 
-    return rows.mapInPandas(work, "feature long, n_target long, n_raw long").groupBy("feature").agg(F.sum("n_target").alias("n_target"), F.sum("n_raw").alias("n_raw"))
+    return rows.mapInArrow(work, "feature long, n_target long, n_raw long").groupBy("feature").agg(F.sum("n_target").alias("n_target"), F.sum("n_raw").alias("n_raw"))
 
 
 def model_counts(counts: DataFrame) -> np.ndarray:
@@ -93,14 +101,12 @@ def top_k(rows: DataFrame, k: int, key: str, tie: str) -> DataFrame:
     """Adds `kept`: whether the row is among the k with the largest key, ties by the smallest `tie`."""
     if k <= 0:
         return rows.withColumn("kept", F.lit(False))
-    inside, need = rows.select(key, tie), k
+    inside, need, n = rows.select(key, tie), k, 0
     for column, sign in ((key, 1.0), (tie, -1.0)):
         v = F.col(column).cast("double") * sign
         low, high, n = inside.agg(F.min(v), F.max(v), F.count("*")).first()
-        if n <= need:
-            break
         for _ in range(12):
-            if n <= CUT_ROWS or high <= low:
+            if n <= max(need, CUT_ROWS) or high <= low:
                 break
             width = (high - low) / CUT_BINS
             place = F.least(F.lit(CUT_BINS - 1), F.floor((v - low) / width))
@@ -111,7 +117,8 @@ def top_k(rows: DataFrame, k: int, key: str, tie: str) -> DataFrame:
                 b -= 1
             inside, n = inside.where(place == b), hist.get(b, 0)
             low, high = inside.agg(F.min(v), F.max(v)).first()
-    edge = inside.orderBy(F.col(key).desc(), F.col(tie)).limit(need)  # a few thousand rows
+    # all that is left stays, however much it is; else it is a few thousand rows
+    edge = inside if n <= need else inside.orderBy(F.col(key).desc(), F.col(tie)).limit(need)
     last = edge.agg(F.min(F.struct(F.col(key).alias("k"), (-F.col(tie)).alias("t"))).alias("last")).first()["last"]
     if last is None:
         return rows.withColumn("kept", F.lit(True))
@@ -135,17 +142,17 @@ def resample(docs: DataFrame, labels: DataFrame, *, keep_share: float | None = N
     counts = model_counts(feature_counts(texts.select("text", "target")))
     sent = spark.sparkContext.broadcast(counts)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = sent.value
         totals = n.sum(1)
-        for frame in frames:
-            found = [features(t) for t in frame["text"]]
-            ratios = [log_ratio(x, bool(y), n, totals) for x, y in zip(found, frame["target"])]
-            yield frame[["rid", "doc_id", "noise"]].assign(n_features=[len(x) for x in found], log_ratio=ratios)
+        found = [features(t) for t in texts_of(batch, "text")]
+        ratios = [log_ratio(x, y, n, totals) for x, y in zip(found, batch.column("target").to_pylist())]
+        arrays = [*[batch.column(c) for c in ("rid", "doc_id", "noise")], pa.array([len(x) for x in found], pa.int64()), pa.array(ratios, pa.float64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["rid", "doc_id", "noise", "n_features", "log_ratio"])
 
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    rows = texts.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), (-F.log(-F.log(uniform))).alias("noise"), "text", "target")
-    scored = rows.mapInPandas(work, "rid long, doc_id string, noise double, n_features long, log_ratio double")
-    scored = scored.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "n_features", "log_ratio", (F.col("log_ratio") + F.col("noise")).alias("gumbel_key"))
+    rows = texts.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (-F.log(-F.log(uniform))).alias("noise"), "text", "target")
+    scored = in_slices(rows, work, "rid long, doc_id long, noise double, n_features long, log_ratio double", done=forget)
+    scored = scored.select("rid", "doc_id", "n_features", "log_ratio", (F.col("log_ratio") + F.col("noise")).alias("gumbel_key"))
     scored = materialize(scored, "importance-scored")
     return top_k(scored, round(keep_share * scored.count()), "gumbel_key", "rid").drop("rid")
