@@ -14,7 +14,7 @@
 Nulls in the text count as empty. Rows repeating both doc_id and text are copies
 of each other and exactly one of them stays; a null doc_id counts as the smallest.
 An empty table gives an empty result. Extra columns are ignored unless named in
-`payload`, which is carried through untouched.
+`payload`, which is carried through untouched. Texts of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import ascii_lower, materialize, whole_text
+from skyloom.llm.common import ascii_lower, materialize, small_side, whole_text
 
 CAPACITY = 4096
 BROADCAST_ROWS = 50_000
+#: Copies of one text that look up their chain together.
+SALT_ROWS = 10_000
 
 
 def text_key(norm: Column, hash_bits: int = 64) -> Column:
@@ -86,7 +88,7 @@ def exact_dedup(
     norm = ascii_lower(whole_text(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"), carried).withColumn("key", text_key(F.col("norm"), hash_bits))
     index = build_index(rows.groupBy("key").agg(F.count("*").alias("n")), capacity)
-    shared = index.where(F.col("n") > 1).select("key", "bucket")
+    shared = small_side(materialize(index.where(F.col("n") > 1).select("key", "bucket", "n"), "dedup-shared"))
 
     hashed = rows.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"), "carried")
     single = hashed.join(shared, "key", "left_anti").select(
@@ -97,12 +99,14 @@ def exact_dedup(
         "text_sha256",
         "carried",
     )
-    suspects = materialize(rows.join(shared.hint("merge"), "key").withColumn("rid", F.monotonically_increasing_id()), "dedup-suspects")
-    chains = suspects.groupBy("bucket", "key", "norm").agg(
+    suspects = rows.join(shared, "key").withColumn("rid", F.monotonically_increasing_id())
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")  # the copies of one text look up their chain in many tasks
+    suspects = materialize(suspects.withColumn("salt", F.pmod(F.xxhash64("rid"), salts).cast("int")), "dedup-suspects")
+    chains = suspects.groupBy("bucket", "key", "n", "norm").agg(
         F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("keep")
     )
-    chains = materialize(chains, "dedup-chains")
-    copies = suspects.join(chains, ["bucket", "key", "norm"]).select(
+    chains = materialize(chains, "dedup-chains").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    copies = suspects.join(chains, ["bucket", "key", "salt", "norm"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
