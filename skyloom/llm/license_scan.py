@@ -3,13 +3,14 @@
 A template is a short list of (relative position, word) postings taken from a public
 licence text, some of them mandatory. Per file the occurrences of licence words are
 kept with their positions. Document frequencies over the whole corpus give each word's
-IDF; per template the file's highest-IDF word is looked up first, its occurrences name
-the possible starting places, and the other postings are intersected with those places
-by relative position. A template counts where all its mandatory key words stand and the
+IDF; per template the file's `ANCHORS` highest-IDF words are looked up first, their
+occurrences name the possible starting places, and the other postings are intersected with
+those places by relative position. A template counts where all its mandatory key words stand and the
 IDF-weighted share of its words reaches `min_coverage`.
 
 Null texts count as empty. Files without licence words get no labels and score 0.
-Repeated rows are judged each on its own; an empty table gives an empty result.
+Repeated rows and null ids are judged each on its own; an empty table gives an empty result.
+Extra columns are ignored, texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -24,16 +25,18 @@ from skyloom.llm.common import ascii_lower, materialize, whole_text
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Openings of public licence texts; words in capitals are the mandatory key phrases.
+#: Words of a template that are looked up first.
+ANCHORS = 3
+#: Openings of public licence texts; words in capitals are the mandatory key phrases, a star is any word.
 TEXTS = (
     ("mit", "PERMISSION IS HEREBY GRANTED FREE OF CHARGE to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the APACHE LICENSE VERSION 2 0 you may not use this file except in compliance with the license"),
+    ("apache", "licensed under the APACHE LICENSE VERSION 2 0 the license you may not use this file except in compliance with the license"),
     ("bsd", "REDISTRIBUTION AND USE IN SOURCE AND BINARY FORMS with or without modification are permitted provided that the following conditions are met"),
     ("lgpl", "gnu LESSER GENERAL PUBLIC LICENSE as published by the free software foundation"),
     ("agpl", "gnu AFFERO GENERAL PUBLIC LICENSE as published by the free software foundation"),
     ("mpl", "subject to the terms of the MOZILLA PUBLIC LICENSE"),
     ("isc", "PERMISSION TO USE COPY MODIFY AND OR DISTRIBUTE this software for any purpose with or without fee is hereby granted"),
-    ("cc", "CREATIVE COMMONS ATTRIBUTION international license"),
+    ("cc", "CREATIVE COMMONS ATTRIBUTION * * international license"),
     ("unlicense", "this is FREE AND UNENCUMBERED SOFTWARE released into the public domain"),
 )
 #: Function words carry no evidence and are not indexed.
@@ -47,7 +50,7 @@ def templates() -> list[tuple[str, str, bool, int, str, bool]]:
         out += [(f"base:{phrase}", label, True, i, w, True) for i, w in enumerate(phrase.split())]
     for n, (label, text) in enumerate(TEXTS):
         for i, w in enumerate(text.split()):
-            if w.lower() not in COMMON:
+            if w != "*" and w.lower() not in COMMON:
                 out.append((f"text:{n}:{label}", label, False, i, w.lower(), w.isupper() or bool(re.fullmatch(r"\d", w))))
     return out
 
@@ -80,10 +83,11 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             F.sum("idf").alias("all_idf"), F.sum(F.col("mandatory").cast("long")).alias("n_mandatory"), F.count("*").alias("n_postings")
         )
     )
-    # each file's highest-IDF word of each template (the first posting on ties)
+    # each file's highest-IDF words of each template (the first postings on ties); a template bounds their number
     found = occurrences.join(weighted, "word").withColumn("start", F.col("pos") - F.col("at"))
-    best = found.groupBy("rid", "template").agg(F.max_by("at", F.struct("idf", -F.col("at"))).alias("anchor"))
-    anchored = found.join(best, ["rid", "template"]).where(F.col("at") == F.col("anchor")).select("rid", "template", "start").distinct()
+    ranked = F.sort_array(F.collect_set(F.struct("idf", (-F.col("at")).alias("before"))), asc=False)
+    best = found.groupBy("rid", "template").agg(F.transform(F.slice(ranked, 1, ANCHORS), lambda x: -x["before"]).alias("anchors"))
+    anchored = found.join(best, ["rid", "template"]).where(F.array_contains("anchors", F.col("at"))).select("rid", "template", "start").distinct()
     places = (
         found.join(anchored, ["rid", "template", "start"])
         .groupBy("rid", "template", "start")
