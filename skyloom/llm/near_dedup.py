@@ -7,42 +7,51 @@
    bin borrows from a filled one, chosen by its own fixed order of bins (densification).
    Bands of `BAND_ROWS` bins are the buckets. A pair at the threshold shares one but for a
    probability of 4e-6.
-3. A bucket emits a star: one centre joined to each other member, so its candidate pairs
-   grow with its size and not with the square. Those whose sketches lie `ERRORS` standard
-   errors below the threshold (3e-7 of pairs at it) are passed over, the others are confirmed on full sets.
-4. Confirmed links are contracted to components. Buckets that still span components send
-   stars from other centres; those of up to `SMALL` members are compared in full. Members of
-   larger ones are then compared wherever they share one of their rarest shingles, which
-   every pair at the threshold does (`by_prefix`), so no pair of a bucket is left out.
+3. A bucket emits a star: one centre joined to each member of another component. A set's
+   parity vector (per hash bucket, whether an odd number of its shingles fall there) bounds
+   how many shingles two sets can share, so most hopeless pairs never leave the join; the
+   bound is safe. Of the edges that are left each node keeps its closest one, so a round
+   has at most as many candidates as there are nodes. They are confirmed on full sets and
+   the links contracted to components.
+4. Buckets that still span components are then settled. Those of up to `SMALL` members are
+   compared in full. Members of larger ones are compared wherever they share one of their
+   rarest shingles, which every pair at the threshold does (`by_prefix`). All pairs that the
+   bounds let pass are confirmed: no candidate is capped, no pair of a bucket left out.
+
+The bounds are exact; only for long documents (over `LONG` shingles), whose parity vectors fill
+up, a sketch of signature bytes also rules pairs out, at `ERRORS` standard errors (3e-7).
 
 Texts that are null, empty or without words have an empty set, link with nothing and form
 their own component. Rows with equal doc_id and text are alike: both carry the same
-component. A null doc_id is a class member like any other but names no component unless
-all ids of the component are null. An empty table gives an empty result.
+component. Rows with a null doc_id are class members like any other. Their component is
+named by its least id that is not null; where there is none it stays null, and of such a
+component the rows with the text of the least hash are kept. An empty table gives an empty
+result, extra columns are ignored, and texts of any length take part whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import DOC_COLUMNS, materialize, whole_text
+from skyloom.llm.common import DOC_COLUMNS, in_slices, map_texts, materialize, small_side, texts_of, whole_text
 
 WORDS, PERCENT = 5, 75
 BINS, BAND_ROWS = 384, 6
-#: Bins kept, as one byte each, to tell hopeless candidates before their texts are fetched, and
-#: the distance in standard errors from the threshold at which a candidate is hopeless.
-SKETCH, ERRORS = 128, 5.0
-#: Centres of each bucket, round by round: they join the bulk of a family before all else is compared.
-CENTRES = (1, 4, 16)
+#: Bits of a parity vector; shingles from which a set also has a sketch, the bytes of that,
+#: and the distance in standard errors from the threshold at which a candidate is hopeless.
+PARITY, LONG, SKETCH, ERRORS = 2048, 512, 128, 5.0
+#: Rounds of stars, each from other centres: they join the bulk of a family before the rest is compared.
+STARS = 2
 #: Members up to which a bucket is compared in full.
 SMALL = 8
+#: Owners of a shingle that are compared in one task.
+GROUP_ROWS = 1024
 MEMO_WORDS = 400_000
 _memo: dict[bytes, int] = {}
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -111,43 +120,52 @@ def band_buckets(sig: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return out.view("int64")
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Of each of `PARITY` hash buckets, whether an odd number of shingles fall there; 64 to a word."""
+    odd = np.bincount((shingles & np.uint64(PARITY - 1)).astype("int64"), minlength=PARITY).astype("uint8") & 1
+    return np.packbits(odd, bitorder="little").view("int64")
+
+
+def forget() -> None:
+    _memo.clear()
+
+
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
-    """Per input row: doc_id, text_key, n_shingles, set_id (equal for equal sets; null for empty ones), buckets, sketch."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [shingle_set(t, width) for t in frame["text"]]
-            signatures = [signature(s) if len(s) else None for s in sets]
-            yield frame[["doc_id", "text_key"]].assign(
-                n_shingles=[len(s) for s in sets],
-                set_id=[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                buckets=[None if s is None else band_buckets(s) for s in signatures],
-                sketch=[None if s is None else s[:: BINS // SKETCH].astype("uint8").view("int8") for s in signatures],
-            )
+    """Per input row: rid, doc_id, text_key, n_shingles, set_id (equal for equal sets; null for empty ones), buckets, parity, sketch."""
+
+    def work(texts: list[str]) -> list[pa.Array]:
+        sets = [shingle_set(t, width) for t in texts]
+        signatures = [signature(s) if len(s) else None for s in sets]
+        sketches = [g[:: BINS // SKETCH].astype("uint8").view("int8") if len(s) > LONG else None for s, g in zip(sets, signatures)]
+        return [
+            pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+            pa.array([None if g is None else band_buckets(g) for g in signatures], pa.list_(pa.int64())),
+            pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+            pa.array(sketches, pa.list_(pa.int8())),
+        ]
 
     text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    found = rows.mapInPandas(work, "doc_id string, text_key long, n_shingles long, set_id binary, buckets array<long>, sketch array<tinyint>")
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("the_text"))
+    return map_texts(rows, work, "n_shingles long, set_id binary, buckets array<long>, parity array<long>, sketch array<tinyint>", done=forget)
 
 
 def confirm(edges: DataFrame, texts: DataFrame, *, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The edges (a, b) whose full sets are similar enough. `texts`: node, text."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = lru_cache(maxsize=256)(lambda t: shingle_set(t, width))
-        for frame in frames:
-            linked = []
-            for x, y in zip(frame["text_a"], frame["text_b"]):
-                x, y = known(x), known(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
-            yield frame.loc[linked, ["a", "b"]]
+        linked = []
+        for x, y in zip(texts_of(batch, "text_a"), texts_of(batch, "text_b")):
+            x, y = known(x), known(y)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            linked.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
+        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     pairs = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
     )
-    return pairs.select("a", "b", "text_a", "text_b").mapInPandas(work, "a long, b long").distinct()
+    return in_slices(pairs.select("a", "b", "text_a", "text_b"), work, "a long, b long", done=forget).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -169,16 +187,42 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if (then := state(now)) == seen:
             break
         seen = then
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def possible(n: str, m: str, sketch: str, other: str, percent: int) -> Column:
-    """Whether sets of these sizes and sketches can be similar enough."""
+#: What is known of a node wherever it may be compared.
+TRAITS = ("n", "component", "parity", "sketch")
+
+
+def distance(parity: str, other: str) -> Column:
+    """Shingles in which two sets differ, at least: one for each hash bucket of different parity."""
+    words = [F.bit_count(F.get(parity, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(PARITY // 64)]
+    return sum(words[1:], words[0])  # spelled out, a fifth of the time of a loop over arrays
+
+
+def possible(percent: int, prefix: str = "o_") -> Column:
+    """Whether the set of a row can be similar enough to its other one, whose traits have the prefix."""
+    n, m = F.col("n"), F.col(f"{prefix}n")
+    apart = distance("parity", f"{prefix}parity")  # similar enough: 100 * shared >= percent * (n + m - shared), and 2 * shared <= n + m - apart
+    near = (100 + percent) * (n + m - apart) >= 2 * percent * (n + m)
     goal = percent / 100
-    agree = F.aggregate(F.zip_with(sketch, other, lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, b: a + b) / SKETCH
-    samples = F.least(F.lit(float(SKETCH)), F.least(n, m) / 2)  # small sets fill few bins of their own
-    hopeless = agree < goal - ERRORS * F.sqrt(goal * (1 - goal) / samples)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ~hopeless
+    agree = F.aggregate(F.zip_with("sketch", f"{prefix}sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, b: a + b) / SKETCH
+    hopeless = F.coalesce(agree < goal - ERRORS * (goal * (1 - goal) / SKETCH) ** 0.5, F.lit(False))  # null where one has no sketch
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & near & ~hopeless
+
+
+def others(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows as the other side of a comparison."""
+    return rows.select(*key, *[F.col(c).alias(f"o_{c}") for c in rows.columns if c not in key])
+
+
+def open_groups(rows: DataFrame, key: str) -> DataFrame:
+    """Of the groups that span components: the key, the component with most rows as `main`, and rows."""
+    sizes = rows.groupBy(key, "component").agg(F.count("*").alias("rows"))
+    main = F.max_by("component", F.struct("rows", "component")).alias("main")
+    return sizes.groupBy(key).agg(main, F.sum("rows").alias("rows"), F.count("*").alias("spanned")).where("spanned > 1").drop("spanned")
 
 
 def open_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -187,31 +231,31 @@ def open_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is not None:
         rows = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = materialize(rows, "bucket-members")
-    open_buckets = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    return rows.join(open_buckets, "bucket")
+    spans = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    return rows.join(spans, "bucket")
+
 
+def edge(node: str, other: str) -> list[Column]:
+    return [F.greatest(node, other).alias("a"), F.least(node, other).alias("b")]
 
-def stars(rows: DataFrame, centres: int, salt: int, percent: int) -> DataFrame:
-    """Edges (a, b) from up to `centres` members of each bucket to its members in other components."""
-    pick = F.pmod(F.xxhash64("node", "bucket", F.lit(salt)), F.lit(centres))
+
+def stars(rows: DataFrame, tried: DataFrame | None, salt: int, percent: int) -> DataFrame:
+    """For each node that can be similar to the centre of one of its buckets, the edge (a, b) to the closest."""
     # the hash leaves out the bucket, so that the buckets of a family propose the same edges
-    middle = rows.groupBy("bucket", pick.alias("pick")).agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)), "node", "n", "component", "sketch")).alias("c"))
-    middle = middle.select(
-        "bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.component").alias("centre_component"), F.col("c.sketch").alias("centre_sketch")
-    )
-    return (
-        rows.join(middle, "bucket")
-        .where((F.col("component") != F.col("centre_component")) & possible("n", "centre_n", "sketch", "centre_sketch", percent))
-        .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
-        .distinct()
-    )
+    middle = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)), "node", *TRAITS)).alias("c"))
+    middle = middle.select("bucket", "c.node", *[f"c.{c}" for c in TRAITS])
+    met = rows.join(others(middle, "bucket"), "bucket").where((F.col("component") != F.col("o_component")) & possible(percent))
+    closeness = (distance("parity", "o_parity") / (F.col("n") + F.col("o_n"))).alias("apart")
+    edges = met.select("node", *edge("node", "o_node"), closeness)
+    if tried is not None:
+        edges = edges.join(tried, ["a", "b"], "left_anti")
+    return edges.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
 
 
 def in_full(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between all members of a bucket in different components; for buckets of up to `SMALL`."""
-    other = rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other_component"), F.col("sketch").alias("other"))
-    pairs = rows.join(other, "bucket").where((F.col("node") > F.col("b")) & (F.col("component") != F.col("other_component")))
-    return pairs.where(possible("n", "m", "sketch", "other", percent)).select(F.col("node").alias("a"), "b").distinct()
+    """Edges (a, b) between the members of a bucket in different components that can be similar; for buckets of up to `SMALL`."""
+    met = rows.join(others(rows, "bucket"), "bucket").where((F.col("node") > F.col("o_node")) & (F.col("component") != F.col("o_component")) & possible(percent))
+    return met.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
 
 
 def by_prefix(rows: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
@@ -220,57 +264,58 @@ def by_prefix(rows: DataFrame, texts: DataFrame, *, width: int, percent: int) ->
     Put all shingles in one order, the rarest first. Sets of n <= m shingles at the threshold t
     share at least t (n + m) / (1 + t), so also one shingle among the first n - 2 t n / (1 + t) + 1
     of the smaller and the first m - t m + 1 of the larger; after the first shared one there must
-    be enough left. Passages that thousands share come last in the order and pair nobody.
+    be enough left. Passages that thousands share come last in the order and pair nobody. Where a
+    shingle's owners are mostly of one component, only the others are compared with it and with
+    each other.
     """
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [shingle_set(t, width) for t in frame["text"]]
-            yield frame[["node"]].assign(variant=[xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], shingles=[s.view("int64") for s in sets])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, width) for t in texts_of(batch, "text")]
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    nodes = materialize(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.first("sketch").alias("sketch")), "prefix-nodes")
-    sets = materialize(
-        texts.join(nodes.select("node").hint("merge"), "node", "left_semi").mapInPandas(work, "node long, variant long, shingles array<long>"), "prefix-sets"
-    )
-    each = sets.select("node", "variant", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    nodes = materialize(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in TRAITS]), "prefix-nodes")
+    mine = texts.join(nodes.select("node").hint("merge"), "node", "left_semi")
+    sets = materialize(in_slices(mine, work, "node long, shingles array<long>", done=forget), "prefix-sets")
+    each = sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count("*").alias("owners")).where("owners > 1")
-    ordered = each.join(common, "shingle").groupBy("node", "variant", "n").agg(F.array_sort(F.collect_list(F.struct("owners", "shingle"))).alias("found"))
+    ordered = each.join(common, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("owners", "shingle"))).alias("found"))
     # a set's own shingles come before all those it shares
     spots = ordered.select("node", "n", (F.col("n") - F.size("found")).alias("own"), F.posexplode("found").alias("k", "x"))
     spots = spots.select("node", "n", F.col("x.shingle").alias("shingle"), (F.col("own") + F.col("k") + 1).alias("at"))
     least = lambda part, whole: F.expr(f"({part} + {whole} - 1) div {whole}")
-    spots = spots.withColumn("last", F.col("n") - least(f"n * {percent}", 100) + 1).where("at <= last")
-    spots = materialize(spots.join(nodes.select("node", "component"), "node").select("node", "n", "shingle", "at", "component"), "prefix-spots")
-    smaller = spots.where(F.col("at") <= F.col("n") - least(f"n * {2 * percent}", 100 + percent) + 1)
-    smaller = smaller.select("shingle", F.col("component").alias("c"), F.col("node").alias("small"), F.col("n").alias("small_n"), F.col("at").alias("small_at"))
-    # components meet first, so that members of one are never paired
-    kinds = smaller.select("shingle", "c").distinct().join(spots.select("shingle", "component").distinct(), "shingle").where("c <> component")
-    need = least(f"(n + small_n) * {percent}", 100 + percent)
-    pairs = (
-        kinds.join(smaller, ["shingle", "c"])
-        .join(spots, ["shingle", "component"])
-        .where((F.col("small_n") <= F.col("n")) & (F.least(F.col("n") - F.col("at"), F.col("small_n") - F.col("small_at")) + 1 >= need))
-        .select(F.greatest("node", "small").alias("a"), F.least("node", "small").alias("b"))
-        .distinct()
-    )
-    a = nodes.select(F.col("node").alias("a"), "n", "sketch")
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    return pairs.join(a, "a").join(b, "b").where(possible("n", "m", "sketch", "other", percent)).select("a", "b")
+    spots = spots.where(F.col("at") <= F.col("n") - least(f"n * {percent}", 100) + 1)
+    early = F.col("at") <= F.col("n") - least(f"n * {2 * percent}", 100 + percent) + 1
+    spots = materialize(spots.withColumn("early", early).join(nodes.drop("n"), "node"), "prefix-spots")
+    rare = materialize(spots.join(open_groups(spots, "shingle"), "shingle"), "prefix-open")
+    need = least(f"(n + o_n) * {percent}", 100 + percent)
+    enough = (F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at")) + 1 >= need) & (F.col("component") != F.col("o_component")) & possible(percent)
+    smaller = F.struct("n", "node") < F.struct("o_n", "o_node")
+    strays = rare.where("component <> main")
+    # the smaller set's early spot meets any spot of the larger one; one of the two is a stray
+    up = spread(strays.where("early"), rare, "shingle").where(smaller & enough)
+    down = spread(strays, rare.where("early and component = main"), "shingle").where(~smaller & enough)
+    return up.select(*edge("node", "o_node")).union(down.select(*edge("node", "o_node"))).distinct()
+
+
+def spread(rows: DataFrame, with_rows: DataFrame, key: str) -> DataFrame:
+    """The join of rows on a key: those of a group of `rows` rows are dealt over tasks, and met in each by all others."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.ceil(F.col("rows") / GROUP_ROWS).cast("int")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).repartition(n, key, "salt")
+    right = others(with_rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), key, "salt").repartition(n, key, "salt")
+    return left.join(right, [key, "salt"])
 
 
 def links(members: DataFrame, texts: DataFrame, *, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, component) over all confirmed links between members of one bucket."""
     labels, tried = None, None
-    large = F.col("size") > SMALL
-    for number in range(len(CENTRES) + 1):
-        rows = open_members(members if number < 2 else members.where(large), labels)
-        if number == len(CENTRES):
-            edges = by_prefix(rows, texts, width=width, percent=percent)
-        elif number == 1:
-            edges = stars(rows.where(large), CENTRES[1], 1, percent).union(in_full(rows.where(~large), percent)).distinct()
+    for number in range(STARS + 1):
+        rows = open_members(members, labels)
+        if number < STARS:
+            edges = stars(rows, tried, number, percent)
         else:
-            edges = stars(rows, CENTRES[number], number, percent)
-        if tried is not None:
+            large = F.col("size") > SMALL
+            edges = in_full(rows.where(~large), percent).union(by_prefix(rows.where(large), texts, width=width, percent=percent)).distinct()
             edges = edges.join(tried, ["a", "b"], "left_anti")
         edges = materialize(edges, "candidates")
         found = materialize(confirm(edges, texts, width=width, percent=percent), "confirmed")
@@ -286,28 +331,39 @@ def near_duplicates(
 ) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id, kept, text_key."""
     prints = materialize(fingerprint(docs, id_col=id_col, text_col=text_col, width=width), "near-prints")
-    usable = prints.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "near-classes")
-    heads = usable.join(classes.select("set_id", "node"), "set_id").where("doc_id = node")
+    usable = prints.where("n_shingles > 0")
+    nameless = F.min(F.when(F.col("doc_id").isNull(), F.col("text_key"))).alias("nameless")
+    classes = usable.groupBy("set_id").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), nameless)
+    classes = materialize(classes, "near-classes")  # a class goes by the place of one of its rows
+    heads = usable.withColumnRenamed("rid", "node").join(classes.select("node"), "node", "left_semi")
     placed = heads.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
     members = materialize(placed.join(shared, "bucket").select("bucket", "size", "node", "n").distinct(), "near-members")
     nodes = materialize(members.select("node").distinct(), "near-nodes")
-    sketches = heads.select("node", "sketch").dropDuplicates(["node"]).join(nodes, "node", "left_semi")
-    members = materialize(members.join(sketches, "node"), "near-sketched")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), whole_text(text_col).alias("text")).join(nodes.hint("merge"), "node", "left_semi")
-    labels = links(members, materialize(texts, "near-texts"), width=width, percent=percent)
-    of_set = materialize(
-        classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component")), "near-components"
-    )
-    # a class of one row in a component of its own needs no look-up, but all are alike here
-    joined = prints.select("doc_id", "text_key", "n_shingles", "set_id").join(of_set, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
+    traits = heads.select("node", "parity", "sketch").join(nodes, "node", "left_semi")
+    members = materialize(members.join(traits, "node"), "near-sketched")
+    # the text of a node is that of its id and text key, whichever of several such rows it comes from
+    named = materialize(usable.select(F.col("rid").alias("node"), F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key")).join(nodes, "node", "left_semi"), "near-named")
+    texts = docs.select(F.col(id_col).cast("long").alias("the_id"), whole_text(text_col).alias("text"))
+    texts = texts.join(small_side(named), F.xxhash64("text").eqNullSafe(F.col("its_key")) & F.col("the_id").eqNullSafe(F.col("its_id")))
+    texts = materialize(texts.select("node", "text").dropDuplicates(["node"]), "near-texts")
+    labels = links(members, texts, width=width, percent=percent)
+    labels = labels.union(labels.select("component", "component").distinct())  # roots too
+    # a component goes by its least id; where all are null, by its least text key
+    kin = labels.join(classes, "node").groupBy("component").agg(F.min("least").alias("least"), F.min("nameless").alias("nameless"))
+    kin = labels.join(kin, "component").select("node", F.struct("least", "nameless").alias("kin"))
+    of_set = classes.join(kin, "node", "left").select("set_id", F.coalesce("kin", F.struct("least", "nameless")).alias("kin"))
+    of_set = materialize(of_set.select("set_id", F.col("kin.least").alias("component_id"), F.col("kin.nameless").alias("nameless")), "near-components")
+    columns = ["doc_id", "n_shingles", "component_id", "kept", "text_key"]
+    first = F.when(F.col("doc_id").isNull(), F.col("component_id").isNull() & (F.col("text_key") == F.col("nameless"))).otherwise(F.col("doc_id") == F.col("component_id"))
+    placed = prints.where("n_shingles > 0").join(of_set, "set_id").withColumn("kept", first).select(*columns)
+    alone = prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_key")
+    return placed.unionByName(alone)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, with the columns of documents."""
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_text")).distinct()
-    here = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64(whole_text("text")) == F.col("gone_text"))
+    gone = small_side(materialize(gone, "near-gone"))
+    here = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(whole_text("text")) == F.col("gone_text"))
     return docs.select(*DOC_COLUMNS).join(gone, here, "left_anti")

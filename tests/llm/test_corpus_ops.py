@@ -67,12 +67,13 @@ def plain_components(rows):
         return x
 
     for (a, b), n in shared.items():
-        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n) and rows[a][0] is not None and rows[b][0] is not None:
-            a, b = top(a), top(b)
-            if rows[a][0] > rows[b][0]:
-                a, b = b, a
-            root[b] = a
-    return [(i, len(sets[n]), rows[top(n)][0] if i is not None else None) for n, (i, _) in enumerate(rows)]
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            root[top(b)] = top(a)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[top(n)] = min(i, least.get(top(n), i))
+    return [(i, len(sets[n]), least.get(top(n))) for n, (i, _) in enumerate(rows)]
 
 
 @pytest.mark.parametrize("which", ["documents", "no_docs", "families"])
@@ -111,6 +112,55 @@ def test_near_duplicates_in_a_hot_template(spark):
     assert found == {i: i % 10_000 for i, _ in rows}
 
 
+@pytest.mark.parametrize("n_docs", [900, 2500])
+def test_near_duplicates_below_the_threshold(spark, monkeypatch, n_docs):
+    # one base text, eight random words changed in each: most pairs are at 0.69, few linked
+    rng, rows = np.random.default_rng(11), []
+    base = [f"w{k}" for k in range(400)]
+    for i in range(n_docs):
+        words = list(base)
+        for j in rng.choice(400, 8, replace=False):
+            words[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(words)))
+    tried, confirm = [], near_dedup.confirm
+
+    def counted(edges, *args, **kinds):
+        tried.append(edges.count())
+        return confirm(edges, *args, **kinds)
+
+    monkeypatch.setattr(near_dedup, "confirm", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    # shingles with a changed word are a document's own, so two sets share what neither has lost
+    has = np.ones((n_docs, 396), "float32")
+    for i, text in rows:
+        for k in (k for k, w in enumerate(text.split()) if w[0] == "x"):
+            has[i, max(0, k - 4) : k + 1] = 0
+    both = has @ has.T
+    a, b = np.nonzero(np.triu(100 * both >= 75 * (2 * 396 - both), 1))
+    root = list(range(n_docs))
+    top = lambda x: x if root[x] == x else top(root[x])
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = sorted((top(x), top(y)))
+        root[y] = x
+    assert found == {i: top(i) for i in range(n_docs)}
+    assert sum(tried) < n_docs + 12 * len(a), (tried, len(a))  # the pairs of documents are 400,000 and 3 million
+
+
+def test_near_duplicates_without_ids(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = lambda k: " ".join([*words[:-k], *[f"x{k}y{j}" for j in range(k)]])
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(None, near(1)), (7, near(2)), (9007199254740993, near(3)), (None, other), (None, other + " more"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = near_dedup.near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in found) == Counter(
+        [(None, 7, False), (7, 7, True), (9007199254740993, 7, False), (None, None, True), (None, None, False), (None, None, True), (None, None, True)]
+    )
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.keep_one_of_each(docs).collect()]
+    assert len(kept) == 4 and (7, near(2)) in kept and not any(t == near(1) for _, t in kept)
+
+
 def test_near_duplicates_odd_rows(odd_docs):
     found = near_dedup.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()
