@@ -16,7 +16,9 @@
 
 Null texts count as empty: just the end token. A null doc_id counts as the empty text when
 documents are dealt out. Repeated rows are scored each on its own; an empty table gives an
-empty result; with no training document the uniform base score is given.
+empty result; with no training document the uniform base score is given. Extra columns are
+ignored, texts of any length are read and scored whole. Tasks learn side by side, so scores
+(not counts or base scores) also depend on how the input is parted.
 """
 
 from __future__ import annotations
@@ -333,10 +335,11 @@ def model_ids(head_ids: np.ndarray) -> np.ndarray:
 
 
 def encode(texts: DataFrame, head: dict[bytes, int]) -> DataFrame:
-    """Per row: rid, doc_id, held_out, ids (16-bit head ids, 0 for none), and the other words with their counts."""
+    """Per row: rid, doc_id, held_out, share, ids (16-bit head ids, 0 for none), and the other words with their counts."""
+    sent = texts.sparkSession.sparkContext.broadcast(head)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = head.get
+        get = sent.value.get
         for frame in frames:
             for at in range(0, len(frame), 1000):
                 part = frame.iloc[at : at + 1000]
@@ -348,9 +351,9 @@ def encode(texts: DataFrame, head: dict[bytes, int]) -> DataFrame:
                     others = Counter(w for w, i in zip(words, found) if not i)
                     rare.append([w.decode() for w in others])
                     times.append(list(others.values()))
-                yield part[["rid", "doc_id", "held_out"]].assign(ids=ids, rare=rare, times=times)
+                yield part[["rid", "doc_id", "held_out", "share"]].assign(ids=ids, rare=rare, times=times)
 
-    return texts.mapInPandas(work, "rid long, doc_id string, held_out boolean, ids binary, rare array<string>, times array<long>")
+    return texts.mapInPandas(work, "rid long, doc_id string, held_out boolean, share int, ids binary, rare array<string>, times array<long>")
 
 
 def averaged(copies: DataFrame) -> np.ndarray | None:
@@ -390,7 +393,7 @@ def train_round(coded: DataFrame, weights: np.ndarray, number: int, end_id: int)
             blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
             yield pd.DataFrame({"part": TaskContext.get().partitionId(), "block": range(len(blocks)), "weight": float(seen), "values": blocks})
 
-    mine = coded.where(~F.col("held_out") & (F.pmod(F.col("rid"), F.lit(ROUNDS)) == number)).select("ids")
+    mine = coded.where(~F.col("held_out") & (F.col("share") == number)).select("ids")
     found = averaged(materialize(mine.mapInPandas(work, "part long, block int, weight double, values binary"), "lm-round"))
     sent.unpersist()
     return weights if found is None else found
@@ -404,6 +407,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).cast("long").cast("string").alias("doc_id"),
         (F.pmod(F.crc32(name.cast("binary")), F.lit(10)) == 0).alias("held_out"),
+        F.pmod(F.xxhash64(name, whole_text(text_col)), F.lit(ROUNDS)).cast("int").alias("share"),  # the round that learns from it
         whole_text(text_col).alias("text"),
     )
     words = materialize(count_words(rows.where("not held_out").select("text")), "lm-words")
