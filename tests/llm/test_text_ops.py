@@ -257,12 +257,20 @@ def test_license_base(request, which):
 
 
 def test_license_texts_get_labels(spark):
-    rows = [(i, f"intro {i} {text.lower()} and so on") for i, (_, text) in enumerate(license_scan.TEXTS)] + [(99, "free use of software in any form")]
+    rows = [(i, f"intro {i} {text.lower().replace('*', str(i))} and so on") for i, (_, text) in enumerate(license_scan.TEXTS)] + [(99, "free use of software in any form")]
     found = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(label in found[i] for i, (label, _) in enumerate(license_scan.TEXTS)), found
     assert found[99] == [""]
 
 
+def test_license_found_beside_a_shifted_anchor(spark):
+    # an inserted word moves the rarest words, the mandatory ones stand where they should
+    text = "Permission to use, copy, modify, and/or distribute this software for any really purpose with or without fee is hereby granted"
+    others = [(i, "permission is hereby granted to use copy modify this software with the fee") for i in range(1, 9)]
+    found = license_scan.scan_licenses(spark.createDataFrame([(0, text), *others], "doc_id long, text string"), min_coverage=0.3).where("doc_id = 0").first()
+    assert found["labels"] == "isc"
+
+
 # ---- URLs
 
 
@@ -283,5 +291,15 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_long_urls_and_any_rules(spark):
+    urls = ["http://x.net" + "/a" * 50_000, "http://" + "a." * 20_000 + "net/q", "http://a.org/up/down", "http://a.org/upper", "http://b.org", "http://a.org/" + "u" * 100_000]
+    pages = spark.createDataFrame([*enumerate(urls), (None, urls[2]), (None, urls[2])], "page_id long, url string")
+    rules = url_filter.rule_table(spark, (("block", "net/"), ("block", "a.org/up"), ("allow", "a.org/up/"), ("block", "b.org")))
+    found = [(r["page_id"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules).collect()]
+    want = [(0, "net/", "block"), (1, "net/", "block"), (2, "a.org/up/", "allow"), (3, "a.org/up", "block"), (4, "b.org", "block"), (5, None, "allow")]
+    assert Counter(found) == Counter([*want, (None, "a.org/up/", "allow"), (None, "a.org/up/", "allow")])
+    assert {r["verdict"] for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
 def test_words_match_regex_module():
     assert bpe.WORDS.findall("I'm  here") == ["I", "'m", " ", " here"] and regex and F
