@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,15 +175,30 @@ def variance_scale(rows: DataFrame, keys: Sequence[str], residual="residual", si
     return found.select(*keys, "n", F.when(F.col("n") >= least, F.col("scale") * F.col("scale")).alias("variance_scale"))
 
 
+def array_corr(pairs) -> Column:
+    """Pearson correlation of the fields a and b of an array of pairs; NULL where either does not vary."""
+    p = col(pairs)
+    mean = lambda f: F.aggregate(p, F.lit(0.0), lambda s, x: s + x[f]) / F.size(p)
+    both = F.struct(mean("a").alias("a"), mean("b").alias("b"))
+    zero = F.struct(F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"), F.lit(0.0).alias("ab"))
+    add = lambda m: lambda s, x: F.struct(
+        (s["aa"] + F.pow(x["a"] - m["a"], 2)).alias("aa"), (s["bb"] + F.pow(x["b"] - m["b"], 2)).alias("bb"), (s["ab"] + (x["a"] - m["a"]) * (x["b"] - m["b"])).alias("ab")
+    )
+    sums = lambda m: F.aggregate(p, zero, add(m), lambda s: F.try_divide(s["ab"], F.sqrt(s["aa"] * s["bb"])))
+    return F.get(F.transform(F.array(both), sums), F.lit(0))  # the means are found once
+
+
 def spectral_correlation(residuals: DataFrame, max_lag: int, keys: Sequence[str] = ("target_id", "arm"), row="spaxel", least: int = 10) -> DataFrame:
     """Median over rows of the lagged Pearson correlation, relative to lag 0. `residuals`: keys, row, chan, z."""
     if max_lag < 0:
         raise ValueError("max_lag must not be negative")
     keys = list(keys)
-    a = residuals.select(*keys, row, "chan", F.col("z").alias("z0")).where("z0 is not null")
-    shifted = a.select(*keys, row, F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"), F.col("chan").alias("at"), F.col("z0").alias("z1"))
-    b = shifted.withColumn("chan", F.col("at") - F.col("lag")).drop("at")
-    per_row = a.join(b, [*keys, row, "chan"]).groupBy(*keys, row, "lag").agg(F.corr("z0", "z1").alias("r"), F.count("*").alias("n")).where(F.col("n") >= least)
+    packed = residuals.where("z is not null").groupBy(*keys, row).agg(F.array_sort(F.collect_list(F.struct("chan", "z"))).alias("zs"))
+    at_lag = packed.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag))))
+    # a sample's partner stands among the next lag places of its array
+    later = lambda x, i: F.get(F.filter(F.slice("zs", i + 1, F.col("lag") + 1), lambda y: y["chan"] == x["chan"] + F.col("lag")), F.lit(0))["z"]
+    pairs = F.filter(F.transform("zs", lambda x, i: F.struct(x["z"].alias("a"), later(x, i).alias("b"))), lambda p: p["b"].isNotNull())
+    per_row = at_lag.withColumn("pairs", pairs).where(F.size("pairs") >= least).select(*keys, row, "lag", array_corr("pairs").alias("r"))
     lags = per_row.groupBy(*keys, "lag").agg(median(clean("r")).alias("r"), F.count("*").alias("n_rows"))
     zero = lags.where("lag = 0").select(*keys, F.col("r").alias("r0"))
     joined = lags.join(zero, keys) if keys else lags.crossJoin(F.broadcast(zero))
@@ -317,7 +334,7 @@ def solve_normal(order: int) -> list[Column]:
         det = s[0] * s[2] - s[1] * s[1]
         return [F.try_divide(s[0] * t[1] - s[1] * t[0], det), F.try_divide(s[2] * t[0] - s[1] * t[1], det)]
     if order != 2:
-        raise ValueError("order must be 1 or 2")
+        raise ValueError("beyond order 2 use solve_any")
 
     def det3(a, b, c):
         return a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
@@ -331,19 +348,41 @@ def solve_normal(order: int) -> list[Column]:
     return out
 
 
-def robust_polyfit(rows: DataFrame, order: int, clip: float = 3.0, rounds: int = 5, keys: Sequence[str] = ("target_id",), x="x", y="y") -> DataFrame:
+def solve_any(sums: DataFrame, order: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, coeffs, n) from power sums of any order: one small linear system a key, solved in batches."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            a = np.stack([f[[f"s{i + j}" for j in range(order + 1)]].to_numpy(float) for i in range(order + 1)], axis=1)
+            b = f[[f"t{i}" for i in range(order + 1)]].to_numpy(float)
+            found = [np.linalg.lstsq(p, q, rcond=None)[0][::-1] for p, q in zip(a, b)]
+            yield f[list(keys)].assign(coeffs=found, n=f["s0"])
+
+    shape = ", ".join(f"`{k}` {dict(sums.dtypes)[k]}" for k in keys)
+    return sums.mapInPandas(work, f"{shape}, coeffs array<double>, n double")
+
+
+def robust_polyfit(
+    rows: DataFrame, order: int, clip: float = 3.0, rounds: int = 5, keys: Sequence[str] = ("target_id",), x="x", y="y", with_rows: bool = False
+) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Per key: coefficients in x - x_mean (highest power first), x_mean, n kept, residual scale.
 
+    `with_rows` also returns the rows with kept and d, their distance from the fit; other columns stay.
+
     Each round fits, measures the residuals' robust scale over the kept rows, and clips about
     their median; keys that no longer change simply fit the same rows again.
     """
     keys = list(keys)
-    r = rows.select(*keys, clean(x).alias("x"), clean(y).alias("y")).where("x is not null and y is not null")
+    rest = [c for c in rows.columns if c not in {*keys, "x", "y"}]
+    r = rows.select(*keys, *rest, clean(x).alias("x"), clean(y).alias("y")) if with_rows else rows.select(*keys, clean(x).alias("x"), clean(y).alias("y"))
+    r, rest = r.where("x is not null and y is not null"), rest if with_rows else []
     centred = r.join(r.groupBy(*keys).agg(F.avg("x").alias("x_mean")), keys).withColumn("u", F.col("x") - F.col("x_mean")).withColumn("kept", F.lit(True))
     centred = materialize(centred, "polyfit")
 
     def fit(df: DataFrame) -> DataFrame:
         f = power_sums(df.where("kept"), order, keys, "u", "y")
+        if order > 2:
+            return solve_any(f, order, keys)
         return f.select(*keys, F.array(*solve_normal(order)).alias("coeffs"), F.col("s0").alias("n"))
 
     value = F.aggregate("coeffs", F.lit(0.0), lambda a, c: a * F.col("u") + c)
@@ -353,8 +392,11 @@ def robust_polyfit(rows: DataFrame, order: int, clip: float = 3.0, rounds: int =
         near = F.abs(F.col("d") - F.col("mid")) <= clip * F.col("scale")
         going = (F.col("scale") > 0) & (F.col("n_kept") > order + 2)
         d = d.join(stats, keys).withColumn("kept", F.when(going, near).otherwise(F.col("kept")))
-        centred = materialize(d.select(*keys, "x", "y", "x_mean", "u", "kept"), "polyfit")  # else the plan triples each round
+        centred = materialize(d.select(*keys, *rest, "x", "y", "x_mean", "u", "kept"), "polyfit")  # else the plan triples each round
     final = fit(centred)
     scales = mad_scale(centred.join(final.drop("n"), keys).withColumn("d", F.col("y") - value).where("kept"), keys, "d").select(*keys, "scale")
     means = centred.groupBy(*keys).agg(F.first("x_mean").alias("x_mean"), F.min(F.when(F.col("kept"), F.col("x"))).alias("support_min"), F.max(F.when(F.col("kept"), F.col("x"))).alias("support_max"))
-    return final.join(means, keys).join(scales, keys)
+    fitted = final.join(means, keys).join(scales, keys)
+    if not with_rows:
+        return fitted
+    return fitted, centred.join(final.drop("n"), keys).withColumn("model", value).withColumn("d", F.col("y") - F.col("model")).select(*keys, *rest, "x", "y", "model", "d", "kept")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, col
-from skyloom.operators.aggregates import MAD_TO_SIGMA, median
+from skyloom.operators.aggregates import MAD_TO_SIGMA, array_median
 from skyloom.operators.joins import interp_gaps
 
 
@@ -21,38 +21,45 @@ def fir_coefficients(window: int, poly: int) -> np.ndarray:
     return a @ np.linalg.pinv(a)
 
 
-def fir_smooth(spectra: DataFrame, window: int = 31, poly: int = 2, keys: Sequence[str] = ("target_id", "arm", "spaxel"), value: str = "filled") -> DataFrame:
-    """Adds smooth: local polynomials by fixed weights; the ends take the polynomial of the first and last window.
+def smooth_array(values: Column, window: int, poly: int) -> Column:
+    """Local polynomials over an array by fixed weights; the ends take the polynomial of the first and last window.
 
-    Channels are numbered from 0 without gaps within a key (fill gaps first).
+    One pass over the array, no row leaves its task. Arrays shorter than the window give NULL.
     """
-    keys = list(keys)
     h = window // 2
-    weights = [(k - h, j - k, float(x)) for k, row in enumerate(fir_coefficients(window, poly)) for j, x in enumerate(row)]
-    table = F.broadcast(spectra.sparkSession.createDataFrame(weights, "edge int, lag int, w double"))  # window^2 numbers
-    sizes = spectra.groupBy(*keys).agg(F.max("chan").alias("last"))
-    rows = spectra.join(sizes, keys)
-    edge = F.when(F.col("chan") < h, F.col("chan") - h).when(F.col("chan") > F.col("last") - h, F.col("chan") - (F.col("last") - h)).otherwise(0).cast("int")
-    spread = rows.select(*keys, "chan", edge.alias("edge")).join(table, "edge").select(*keys, "chan", (F.col("chan") + F.col("lag")).alias("at"), "w")
-    source = spectra.select(*keys, F.col("chan").alias("at"), F.col(value).alias("v"))
-    smooth = spread.join(source, [*keys, "at"]).groupBy(*keys, "chan").agg(F.sum(F.col("w") * F.col("v")).alias("smooth"))
-    return spectra.join(smooth, [*keys, "chan"])
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in fir_coefficients(window, poly)])
+    n = F.size(values)
+    first = lambda i: F.greatest(F.lit(0), F.least(i - h, n - window))
+    dot = lambda i: F.aggregate(F.zip_with(F.slice(values, first(i) + 1, window), F.get(table, i - first(i)), lambda v, w: v * w), F.lit(0.0), lambda a, b: a + b)
+    return F.when(n >= window, F.transform(F.sequence(F.lit(0), n - 1), dot))
+
+
+def fir_smooth(spectra: DataFrame, window: int = 31, poly: int = 2, keys: Sequence[str] = ("target_id", "arm", "spaxel"), value: str = "filled") -> DataFrame:
+    """Adds smooth. Channels are numbered from 0 without gaps within a key (fill gaps first); a spectrum becomes one array row."""
+    keys, rest = list(keys), [c for c in spectra.columns if c not in {*keys, "chan"}]
+    packed = spectra.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chan", *rest))).alias("rows"))
+    packed = packed.withColumn("smooth", smooth_array(F.transform("rows", lambda r: r[value].cast("double")), window, poly))
+    return packed.select(*keys, F.inline(F.arrays_zip("rows", "smooth"))).select(*keys, "rows.*", "smooth")
 
 
 def highpass_residuals(samples: DataFrame, window: int = 31, poly: int = 2, clip: float = 5.0, keys: Sequence[str] = ("target_id", "arm", "spaxel")) -> DataFrame:
-    """(keys, chan, z): valid samples over their noise after smoothing, clipped about each row's median."""
+    """(keys, chan, z): valid samples over their noise after smoothing, clipped about each row's median.
+
+    One shuffle brings a spectrum together; gaps, smoothing, medians and clipping all work on it there.
+    """
     keys = list(keys)
-    ok = F.col("good") & (clean("unc") > 0) & clean("flux").isNotNull()
-    rows = samples.withColumn("valid", F.coalesce(ok, F.lit(False))).withColumn("masked", F.when(F.col("valid"), F.col("flux")))
-    enough = rows.groupBy(*keys).agg(F.count_if("valid").alias("n")).where(F.col("n") >= max(10, window)).select(*keys)
-    smooth = fir_smooth(interp_gaps(rows.join(enough, keys, "left_semi"), keys, "masked"), window, poly, keys)
-    z = smooth.where("valid").select(*keys, "chan", ((F.col("flux") - F.col("smooth")) / F.col("unc")).alias("z"))
-    mids = z.groupBy(*keys).agg(median("z").alias("mid"), F.count("z").alias("n"))
-    d = z.join(mids, keys)
-    scales = d.groupBy(*keys).agg((MAD_TO_SIGMA * median(F.abs(F.col("z") - F.col("mid")))).alias("scale"))
-    d = d.join(scales, keys)
-    loose = (F.col("n") < 10) | (F.col("scale") <= 0)
-    return d.where(loose | (F.abs(F.col("z") - F.col("mid")) <= clip * F.col("scale"))).select(*keys, "chan", "z")
+    ok = F.coalesce(F.col("good") & (clean("unc") > 0) & clean("flux").isNotNull(), F.lit(False))
+    rows = samples.select(*keys, "chan", "flux", "unc", ok.alias("valid"), F.when(ok, F.col("flux")).alias("masked"))
+    filled = interp_gaps(rows, keys, "masked")
+    packed = filled.groupBy(*keys).agg(F.count_if("valid").alias("n_valid"), F.array_sort(F.collect_list(F.struct("chan", "filled", "flux", "unc", "valid"))).alias("rows"))
+    packed = packed.where(F.col("n_valid") >= max(10, window))
+    packed = packed.withColumn("smooth", smooth_array(F.col("rows.filled"), window, poly))
+    z = F.zip_with("rows", "smooth", lambda r, s: F.struct(r["chan"].alias("chan"), F.when(r["valid"], (r["flux"] - s) / r["unc"]).alias("z")))
+    packed = packed.select(*keys, F.filter(z, lambda x: x["z"].isNotNull()).alias("zs")).withColumn("mid", array_median("zs.z"))
+    packed = packed.withColumn("scale", MAD_TO_SIGMA * array_median(F.transform("zs", lambda x: F.abs(x["z"] - F.col("mid")))))
+    loose = (F.size("zs") < 10) | (F.col("scale") <= 0)
+    kept = F.when(loose, F.col("zs")).otherwise(F.filter("zs", lambda x: F.abs(x["z"] - F.col("mid")) <= clip * F.col("scale")))
+    return packed.select(*keys, F.inline(kept))
 
 
 def cumulative_mass(states: DataFrame, keys: Sequence[str], order: Sequence[Column | str], weight="p") -> DataFrame:

@@ -54,15 +54,16 @@ MIN_SLICE = f"""WITH {COADD},
 
 
 def q_coadd_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items coadded by part and supplier: a part is a pixel, of the first supplier that has it."""
     rows = V.line(spark, sf_dir).withColumn("good", ~F.col("mask")).withColumn("wave", F.col("chan") * 1.0)
-    members = rows.select("target_id", "arm", "bin_id", "spaxel").distinct()
+    members = rows.groupBy("target_id", "arm", "spaxel").agg(F.min("bin_id").alias("bin_id"))
     found = A.coadd_bins(rows.drop("bin_id"), members, min_members=0.01, pixel=("spaxel",))
-    return found.select("bin_id", "chan", r6("flux", 3).alias("flux"), r6("unc", 4).alias("unc"), "good", "n_contrib", "n_members")
+    return found.select("bin_id", "chan", r6("flux", 4).alias("flux"), r6("unc", 4).alias("unc"), "good", "n_contrib", "n_members")
 
 
-COADD_LARGE = f"""WITH {LINE}, m AS (SELECT DISTINCT bin_id, spaxel FROM line), z AS (SELECT bin_id, count(*) AS n_members FROM m GROUP BY 1),
+COADD_LARGE = f"""WITH {LINE}, m AS (SELECT spaxel, min(bin_id) AS bin_id FROM line GROUP BY 1), z AS (SELECT bin_id, count(*) AS n_members FROM m GROUP BY 1),
     c AS (SELECT m.bin_id, chan, count(*) FILTER (NOT mask) AS n_contrib, sum(flux) FILTER (NOT mask) AS f, sqrt(sum(var) FILTER (NOT mask)) AS u FROM line JOIN m USING (spaxel) GROUP BY 1, 2)
-    SELECT bin_id, chan, CASE WHEN n_contrib >= greatest(1, ceil(0.01 * n_members)) THEN round(f, 3) END AS flux, CASE WHEN n_contrib >= greatest(1, ceil(0.01 * n_members)) THEN round(u, 4) END AS unc,
+    SELECT bin_id, chan, CASE WHEN n_contrib >= greatest(1, ceil(0.01 * n_members)) THEN round(f, 4) END AS flux, CASE WHEN n_contrib >= greatest(1, ceil(0.01 * n_members)) THEN round(u, 4) END AS unc,
         n_contrib >= greatest(1, ceil(0.01 * n_members)) AS good, n_contrib, n_members FROM c JOIN z USING (bin_id)"""
 
 
@@ -173,11 +174,11 @@ def q_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     upper = A.shared_upper_limit(rows.where("linenumber < 4"), rows.where("linenumber >= 4"), 0.95, ("discount",), "flux")
     intervals = A.group_interval(rows, ("discount",), "flux")
     found = A.robust_limits(rows, "flux", keys=("discount",)).join(upper, "discount").join(intervals, "discount")
-    return found.select("discount", "n", *[r6(c, 4).alias(c) for c in ("lo", "hi", "upper", "median", "minus", "plus")])
+    return found.select("discount", "n", *[r6(c).alias(c) for c in ("lo", "hi", "upper", "median", "minus", "plus")])  # exact to six digits
 
 
 LIMITS = f"""WITH {LINE}, p AS (SELECT discount, count(*) AS n, quantile_cont(flux, [0.02, 0.16, 0.5, 0.84, 0.95, 0.98]) AS q FROM line GROUP BY 1)
-    SELECT discount, n, round(q[1], 4) AS lo, round(q[6], 4) AS hi, round(q[5], 4) AS upper, round(q[3], 4) AS median, round(q[3] - q[2], 4) AS minus, round(q[4] - q[3], 4) AS plus FROM p"""
+    SELECT discount, n, round(q[1], 6) AS lo, round(q[6], 6) AS hi, round(q[5], 6) AS upper, round(q[3], 6) AS median, round(q[3] - q[2], 6) AS minus, round(q[4] - q[3], 6) AS plus FROM p"""
 
 
 def q_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
