@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LIGHT_KM_S = 299_792.458
@@ -351,3 +351,35 @@ def psf_choice(configured, *header_values) -> Column:
 
 def velocity_support(max_speed, sigma_max: float, velscale, k_sigma: float = 4.0) -> Column:
     return col(max_speed) + k_sigma * sigma_max + 4.0 * col(velscale)
+
+
+def velocity_scale(spectra: DataFrame, keys: Sequence[str] = ("target_id",), configured: float | None = None) -> DataFrame:
+    """Per key c times the median positive step of ln(wave), NULL below five such steps; or the configured value for all."""
+    if configured is not None:
+        if configured <= 0:
+            raise ValueError("a configured velocity scale must be positive")
+        return spectra.select(*keys).distinct().withColumn("velscale", F.lit(float(configured)))
+    step = F.log(clean("wave")) - F.lag(F.log(clean("wave"))).over(Window.partitionBy(*keys).orderBy("chan"))
+    steps = spectra.select(*keys, step.alias("step")).where("step > 0")
+    found = steps.groupBy(*keys).agg(F.percentile("step", F.lit(0.5)).alias("step"), F.count("*").alias("n"))
+    return found.select(*keys, F.when(F.col("n") >= 5, LIGHT_KM_S * F.col("step")).alias("velscale"))
+
+
+#: What the type of a spectral axis contains.
+SPECTRAL_TYPES = ("WAVE", "AWAV", "FREQ", "VELO", "VRAD")
+
+
+def spectral_axis(headers: DataFrame, strict: bool = False, keys: Sequence[str] = ("file_id",)) -> DataFrame:
+    """Per file the first axis whose CTYPE is spectral, and its place counted from the last axis.
+
+    Without one the third of three axes, if the header gives its step. `strict` takes wavelengths only and has no such fallback.
+    """
+    axis = F.regexp_extract("key", r"^CTYPE([0-9]+)$", 1).try_cast("int")
+    kinds = "WAVE|AWAV" if strict else "|".join(SPECTRAL_TYPES)
+    named = F.min(F.when(F.upper("value").rlike(kinds), axis))
+    last = F.max(F.when(F.col("key") == "NAXIS", F.col("value").try_cast("int")))
+    stepped = F.max(F.col("key").isin("CD3_3", "CDELT3"))
+    found = headers.groupBy(*keys).agg(named.alias("named"), F.coalesce(last, F.max(axis)).alias("n_axes"), stepped.alias("stepped"))
+    fallback = F.lit(None).cast("int") if strict else F.when((F.col("n_axes") == 3) & F.col("stepped"), 3)
+    rows = found.select(*keys, "n_axes", F.coalesce("named", fallback).alias("axis"))
+    return rows.select(*keys, "axis", (F.col("n_axes") - F.col("axis")).alias("place"))
