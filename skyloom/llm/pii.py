@@ -24,16 +24,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import DOC_COLUMNS, LOWER, UPPER, in_slices, map_texts, materialize, texts_of, whole_text
+from skyloom.llm.common import DOC_COLUMNS, LOWER, UPPER, ascii_lower, in_slices, map_texts, materialize, small_side, texts_of, whole_text
 
 #: The kinds in the order in which they are listed, then the method's own.
 KINDS = ("email", "ip", "card", "phone", "term", "gone")
 WINDOW_WORDS = 6
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 50_000
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -147,11 +146,17 @@ def detect_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.withColumnRenamed("the_text", f"p_{text_col}") if whole else found
 
 
-def distinct_terms(text_col: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.translate(whole_text(text_col), UPPER, LOWER), F.lit(TERM), F.lit(0)))
+def written_terms(docs: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(digest, term) for each row and each of the given terms (a written table) that its text has, wherever it stands.
 
+    The digest is found before the words are dealt out, once a text.
+    """
+    words = F.array_distinct(F.split(ascii_lower(whole_text(text_col)), SEPARATORS))
+    rows = docs.select(F.sha2(whole_text(text_col), 256).alias("digest"), words.alias("words"))
+    return rows.select("digest", F.explode_outer("words").alias("term")).join(small_side(terms), "term", "left_semi")
 
-def term_places(found: DataFrame, docs: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
+
+def term_places(found: DataFrame, docs: DataFrame, written: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
     """(digest, extra): the spans of the given terms (term, kind) in all texts that have any, outside the base spans."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -165,20 +170,17 @@ def term_places(found: DataFrame, docs: DataFrame, terms: DataFrame, *, text_col
             extra.append(span_list([(s, kinds[t], e) for (s, e), t in sorted(clear.items())]))
         return pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(extra, SPAN_LISTS)], names=["digest", "extra"])
 
-    if terms.count() <= BROADCAST_ROWS:
-        terms = F.broadcast(terms)
-    digest = F.sha2(whole_text(text_col), 256).alias("digest")
-    written = docs.select(digest, F.explode(distinct_terms(text_col)).alias("term"))
     near = found.where(F.size("mentions") > 0).select("digest", F.explode("mentions").alias("m")).select("digest", F.explode("m.terms.term").alias("term"))
-    hits = written.unionByName(near).join(terms, "term").groupBy("digest").agg(F.collect_set(F.struct("term", "kind")).alias("hits"))
+    hits = written.select("digest", "term").unionByName(near).join(small_side(terms), "term").groupBy("digest").agg(F.collect_set(F.struct("term", "kind")).alias("hits"))
     hits = materialize(hits, "pii-hits")
-    texts = docs.select(digest, whole_text(text_col).alias("the_text")).join(hits.select("digest"), "digest", "left_semi")
+    texts = docs.select(F.sha2(whole_text(text_col), 256).alias("digest"), whole_text(text_col).alias("the_text"))
+    texts = texts.join(small_side(hits.select("digest"), 20_000), "digest", "left_semi")  # a digest is wider than a few numbers
     texts = texts.groupBy("digest").agg(F.first("the_text").alias("the_text"))  # equal texts have equal places
     return in_slices(texts.join(hits, "digest"), work, f"digest string, extra {SPANS}")
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, text_col: str = "text", threshold: float = 0.85, prior: float = 1.0) -> DataFrame:
-    """(entity, term, disclosure) for the terms that reveal an entity; counts cover all documents."""
+def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, text_col: str = "text", threshold: float = 0.85, prior: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, disclosure) for the terms that reveal an entity, counts covering all documents; and where candidates are written."""
     near = found.select("digest", F.explode("mentions").alias("m")).select(
         "digest", F.col("m.entity").alias("entity"), F.transform("m.terms", lambda x: x["term"]).alias("terms")
     )
@@ -202,10 +204,10 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, text_col
     pairs = together.join(near_any, "term").join(entities, "entity").where(disclosure("n_near") >= threshold)
     pairs = materialize(pairs.select("entity", "term", "n_both", "n_entity", "contexts"), "pii-pairs")
     candidates = materialize(pairs.select("term").distinct(), "pii-candidates")
-    if candidates.count() <= BROADCAST_ROWS:
-        candidates = F.broadcast(candidates)
-    frequency = docs.select(F.explode(distinct_terms(text_col)).alias("term")).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    return pairs.join(frequency, "term").withColumn("disclosure", disclosure("n_term")).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    written = materialize(written_terms(docs, candidates, text_col=text_col), "pii-written")
+    frequency = written.groupBy("term").agg(F.count("*").alias("n_term"))
+    revealing = pairs.join(frequency, "term").withColumn("disclosure", disclosure("n_term")).where(F.col("disclosure") >= threshold)
+    return materialize(revealing.select("entity", "term", "disclosure"), "pii-terms"), written
 
 
 def find_pii(
@@ -215,10 +217,10 @@ def find_pii(
     found = materialize(detect_documents(docs, id_col=id_col, text_col=text_col, payload=payload), "pii-found")
     n_docs = found.count()
     with_entities = found.where(F.size("mentions") > 0)
-    revealing = materialize(disclosing_terms(with_entities, docs, n_docs, text_col=text_col, threshold=threshold, prior=prior), "pii-terms")
+    revealing, written = disclosing_terms(with_entities, docs, n_docs, text_col=text_col, threshold=threshold, prior=prior)
     kind = F.when(F.max("disclosure") >= remove_at, KINDS.index("gone")).otherwise(KINDS.index("term"))
     terms = materialize(revealing.groupBy("term").agg(kind.alias("kind")), "pii-kinds")
-    extra = materialize(term_places(found, docs, terms, text_col=text_col), "pii-places")
+    extra = materialize(term_places(found, docs, written, terms, text_col=text_col), "pii-places")
     joined = found.join(extra, "digest", "left").select(*found.columns, "extra")
     spans = F.array_sort(F.concat("spans", F.coalesce("extra", F.array().cast(SPANS))))
     return joined.select(
