@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -143,7 +144,10 @@ def encode_documents(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id"
 
     def work(texts: list[str]) -> list[pa.Array]:
         bpe = load_bpe(vocab_path)
-        return [pa.array([np.array(bpe.encode(t), "int32") for t in texts], pa.list_(pa.int32()))]
+        found = [bpe.encode(t) for t in texts]
+        bounds = np.cumsum([0, *map(len, found)])
+        ids = np.fromiter(chain.from_iterable(found), "int32", bounds[-1])
+        return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("the_text"))
     return map_texts(rows, work, "ids array<int>")
@@ -154,7 +158,10 @@ def decode_documents(encoded: DataFrame, vocab_path: str) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load_bpe(vocab_path)
-        decoded = pa.array([bpe.decode(ids) for ids in batch.column("ids").to_pylist()], pa.string())
+        column = batch.column("ids")
+        ids, bounds = column.flatten().to_numpy().tolist(), column.offsets.to_numpy()
+        bounds = (bounds - bounds[0]).tolist()
+        decoded = pa.array([bpe.decode(ids[a:b]) for a, b in zip(bounds, bounds[1:])], pa.string())
         return pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
     return in_slices(encoded.select("doc_id", "ids"), work, "doc_id long, ids array<int>, decoded string")
