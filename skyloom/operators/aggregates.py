@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, col, noise_factor
 from skyloom.operators.filters import rest_window, valid_sample
-from skyloom.sources.scratch import materialize
+from skyloom.sources.scratch import materialize, small_side
 
 MAD_TO_SIGMA = 1.4826
 
@@ -256,7 +256,7 @@ def weighted_centroid(image: DataFrame, keys: Sequence[str] = ("target_id", "arm
     keys = list(keys)
     pos = image.select(*keys, "y", "x", clean(value).alias("v")).where("v > 0")
     limit = pos.groupBy(*keys).agg(F.percentile("v", F.lit(min_percentile)).alias("limit"), F.count("*").alias("n_positive"))
-    bright = (pos.join(F.broadcast(limit), keys) if keys else pos.crossJoin(F.broadcast(limit))).where((F.col("v") >= F.col("limit")) & (F.col("n_positive") >= 3))
+    bright = (pos.join(small_side(limit), keys) if keys else pos.crossJoin(F.broadcast(limit))).where((F.col("v") >= F.col("limit")) & (F.col("n_positive") >= 3))
     return bright.groupBy(*keys).agg((F.sum(F.col("v") * F.col("y")) / F.sum("v")).alias("y"), (F.sum(F.col("v") * F.col("x")) / F.sum("v")).alias("x"), F.count("*").alias("n"))
 
 

@@ -12,6 +12,7 @@ from skyloom.operators import aggregates as A
 from skyloom.operators import sampling as P
 from skyloom.operators import sorts as S
 from skyloom.operators.grids import AXES, basins
+from skyloom.sources.scratch import small_side
 
 BIN = ("target_id", "bin_id")
 
@@ -37,7 +38,7 @@ def score_trials(trials: DataFrame, members: DataFrame, states: DataFrame, va: S
     `states` holds every (ia, ib, jf). The least chi2 over the fraction axis is taken before
     interpolating; a bin off the grid makes the trial's score NULL.
     """
-    rows = members.join(F.broadcast(trials), "target_id")  # one round's proposals
+    rows = members.join(small_side(trials), "target_id")  # one round's proposals
     v = {c: projected_velocity("x", "y", "pa", "incl", f"vsys_{c}", "nodes") for c in "ab"}
     w = F.col("weight")
     mean = lambda c: (F.sum(w * v[c]) / F.sum(w)).alias(f"v_{c}")
@@ -123,7 +124,7 @@ def strata(rows: DataFrame, edges: dict[str, Sequence[float]]) -> DataFrame:
 def population_summary(weights: DataFrame, meta: DataFrame, keys: Sequence[str] = (*BIN, "component")) -> DataFrame:
     """Light-weighted log age and metallicity, stars only, with the share of weight at the edges of the template grid."""
     edges = meta.agg(F.min("log_age").alias("a0"), F.max("log_age").alias("a1"), F.min("metal").alias("m0"), F.max("metal").alias("m1"))
-    table = F.broadcast(meta.crossJoin(edges))  # the template library is a parameter of the job
+    table = small_side(meta.crossJoin(F.broadcast(edges)))
     rows = weights.join(table, "template_id").where(~F.coalesce("is_gas", F.lit(False)) & (F.col("weight") > 0))
     w, edge = F.col("weight"), F.col("log_age").isin(F.col("a0"), F.col("a1")) | F.col("metal").isin(F.col("m0"), F.col("m1"))
     return rows.groupBy(*keys).agg((F.sum(w * F.col("log_age")) / F.sum(w)).alias("log_age"), (F.sum(w * F.col("metal")) / F.sum(w)).alias("metal"), F.sum(w).alias("light"), (F.sum(F.when(edge, w).otherwise(0.0)) / F.sum(w)).alias("edge_fraction"))

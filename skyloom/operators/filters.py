@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, col
+from skyloom.sources.scratch import small_side
 
 
 def rest_window(wave, low: float, high: float, z: float = 0.0) -> Column:
@@ -52,14 +53,14 @@ def hard_masks(
     )
     core = F.when(F.col("any_core") == 1, F.col("coverage_fraction") >= min_good_fraction).otherwise(F.col("coverage_fraction") > 0)
     empty = F.assert_true(F.col("best") > 0, "no spaxel is covered").isNull()
-    spaxels = spaxels.join(F.broadcast(whole), keys) if keys else spaxels.crossJoin(F.broadcast(whole))
+    spaxels = spaxels.join(small_side(whole), keys) if keys else spaxels.crossJoin(F.broadcast(whole))
     spaxels = spaxels.where(empty).withColumn("core", core).withColumn("good_spaxel", F.col("good_fraction") >= min_good_fraction)
     rows = rows.join(spaxels.drop("any_core", "best"), [*keys, "y", "x"])
     channels = rows.groupBy(*keys, "chan").agg(
         F.max("instrument_good").alias("chan_good"), (1.0 - F.avg(F.when(F.col("core"), F.col("base_good").cast("int")))).alias("bad_fraction")
     )
     channels = channels.withColumn("good_wave", F.col("chan_good") & (F.col("bad_fraction") <= bad_channel_fraction)).drop("chan_good")
-    rows = rows.join(F.broadcast(channels), [*keys, "chan"])  # one row per detector channel
+    rows = rows.join(small_side(channels), [*keys, "chan"])
     return rows.withColumn("good", F.col("base_good") & F.coalesce("good_wave", F.lit(False)) & F.col("good_spaxel"))
 
 

@@ -51,8 +51,8 @@ def basins(states: DataFrame, keys: Sequence[str] = ("target_id", "bin_id"), axe
         stepped = materialize(moved.select(*keys, *axes, value, *[F.col(f"t_{a}").alias(f"m_{a}") for a in axes], changed.alias("moved")), "basins")
         now = stepped.drop("moved")
         if stepped.where("moved").isEmpty():
-            break
-    return now
+            return now
+    raise RuntimeError(f"descent did not end in {max_rounds} rounds")
 
 
 def basin_mask(found: DataFrame, anchors: DataFrame, keys: Sequence[str] = ("target_id", "bin_id"), axes: Sequence[str] = AXES) -> DataFrame:

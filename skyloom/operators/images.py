@@ -17,7 +17,7 @@ from skyloom.operators.aggregates import bin_capacity, mad_scale
 from skyloom.operators.joins import shift_pairs
 from skyloom.operators.sorts import brightest
 from skyloom.operators.windows import parabolic_peak
-from skyloom.sources.scratch import materialize
+from skyloom.sources.scratch import materialize, small_side
 
 KEYS = ("target_id", "arm")
 
@@ -28,8 +28,8 @@ def gaussian_1d(sigma: float, radius: int) -> list[float]:
 
 
 def sized(image: DataFrame, keys: Sequence[str]) -> DataFrame:
-    size = F.broadcast(image.groupBy(*keys).agg(F.max("y").alias("ymax"), F.max("x").alias("xmax")))  # one row per image
-    return image.join(size, list(keys)) if keys else image.crossJoin(size)
+    size = image.groupBy(*keys).agg(F.max("y").alias("ymax"), F.max("x").alias("xmax"))  # one row per image
+    return image.join(small_side(size), list(keys)) if keys else image.crossJoin(F.broadcast(size))
 
 
 def smooth_image(image: DataFrame, sigma: float, keys: Sequence[str] = KEYS, value="value") -> DataFrame:
@@ -73,7 +73,7 @@ def robust_normalize(image: DataFrame, keys: Sequence[str] = KEYS, value="value"
     """Adds v = (value - median) / robust scale inside the mask, 0 outside; too few pixels or no scale is an error."""
     keys = list(keys)
     stats = mad_scale(image.where("mask"), keys, value, fallback_std=True)
-    rows = image.join(F.broadcast(stats), keys) if keys else image.crossJoin(F.broadcast(stats))  # one row per image
+    rows = image.join(small_side(stats), keys) if keys else image.crossJoin(F.broadcast(stats))  # one row per image
     rows = rows.where(F.assert_true((F.col("n") >= least) & (F.col("scale") > 0), "too few pixels or no spread").isNull())
     return rows.withColumn("v", F.when(F.col("mask"), (clean(value) - F.col("median")) / F.col("scale")).otherwise(0.0)).drop("n", "median", "scale")
 
@@ -145,8 +145,8 @@ def connected_components(pixels: DataFrame, keys: Sequence[str] = KEYS, width: i
         changed = not now.where("label <> old").isEmpty()
         now = now.drop("old")
         if not changed:
-            break
-    return now.select(*keys, "y", "x", "label")
+            return now.select(*keys, "y", "x", "label")
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def dilate(pixels: DataFrame, n: int, bounds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -170,28 +170,48 @@ def analysis_aperture(
         return valid.select(*keys, "y", "x")
     found = smoothed_significance(valid.withColumn("valid", F.lit(True)), sigma, keys).where(F.col("significance") >= threshold)
     labels = connected_components(found, keys)
-    at = labels.join(F.broadcast(centers), keys) if keys else labels.crossJoin(F.broadcast(centers))  # one centre per image
+    at = labels.join(small_side(centers), keys) if keys else labels.crossJoin(F.broadcast(centers))  # one centre per image
     dist = at.groupBy(*keys, "label").agg(F.min(F.hypot(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))).alias("d"))
     best = dist.groupBy(*keys).agg(F.min(F.struct("d", "label")).alias("b")).where(F.col("b.d") <= max_distance).select(*keys, F.col("b.label").alias("label"))
-    core = labels.join(F.broadcast(best), [*keys, "label"], "left_semi")
+    core = labels.join(small_side(best), [*keys, "label"], "left_semi")
     aperture = dilate(core, grow, valid, keys)
     sizes = aperture.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*keys)
-    return aperture.join(F.broadcast(sizes), keys, "left_semi") if keys else aperture
+    return aperture.join(small_side(sizes), keys, "left_semi") if keys else aperture
 
 
 def power_assign(pixels: DataFrame, generators: DataFrame, keys: Sequence[str] = ("target_id",), cell: float = 8.0) -> DataFrame:
-    """Each pixel's generator of least d^2 - r^2, ties to the lowest id, among those in nearby cells.
+    """Each pixel's generator of least d^2 - r^2, ties to the lowest id. `generators`: bin_id, gx, gy, r.
 
-    `generators`: bin_id, gx, gy, r. A pixel without a generator in the nine cells around it gets none.
+    Generators are met in the cells around a pixel. One beyond n cells is n * cell away at least,
+    so a pixel is settled once its best value is below what such a one could have; the others
+    look twice as far in the next round.
     """
     keys = list(keys)
     at = lambda c: F.floor(F.col(c) / cell).cast("int")
-    p = pixels.withColumns({"cy": at("y"), "cx": at("x")})
-    steps = F.array(*[F.struct(F.lit(dy).alias("sy"), F.lit(dx).alias("sx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    g = generators.select(*keys, "bin_id", "gx", "gy", "r", at("gy").alias("by"), at("gx").alias("bx"), F.inline(steps)).select(*keys, "bin_id", "gx", "gy", "r", (F.col("by") + F.col("sy")).alias("cy"), (F.col("bx") + F.col("sx")).alias("cx"))
+    box = lambda d, x, y: d.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    p, g = box(pixels, "x", "y"), box(generators, "gx", "gy")
+    if p[0] is None or g[0] is None:
+        return pixels.withColumn("bin_id", F.lit(None).cast(generators.schema["bin_id"].dataType))
+    span = max(max(p[k + 1], g[k + 1]) - min(p[k], g[k]) for k in (0, 2))
+    widest = generators.agg(F.max("r")).first()[0]
     d = F.pow(F.col("x") - F.col("gx"), 2) + F.pow(F.col("y") - F.col("gy"), 2) - F.col("r") * F.col("r")
-    near = p.join(g, [*keys, "cy", "cx"]).groupBy(*keys, "y", "x").agg(F.min(F.struct(d.alias("d"), "bin_id")).alias("b"))
-    return pixels.join(near.select(*keys, "y", "x", F.col("b.bin_id").alias("bin_id")), [*keys, "y", "x"], "left")
+    left, found, reach = pixels.select(*keys, "y", "x"), None, 1
+    while True:
+        around = F.sequence(F.lit(-reach), F.lit(reach))
+        spread = generators.select(*keys, "bin_id", "gx", "gy", "r", at("gy").alias("by"), F.explode(F.transform(around, lambda k: k + at("gx"))).alias("cx"))
+        spread = spread.select(*keys, "bin_id", "gx", "gy", "r", "cx", F.explode(F.transform(around, lambda k: k + F.col("by"))).alias("cy"))
+        near = left.withColumns({"cy": at("y"), "cx": at("x")}).join(spread, [*keys, "cy", "cx"]).groupBy(*keys, "y", "x").agg(F.min(F.struct(d.alias("d"), "bin_id")).alias("b"))
+        whole = reach * cell >= span
+        settled = near if whole else near.where(F.col("b.d") <= (reach * cell) ** 2 - widest**2)
+        settled = materialize(settled.select(*keys, "y", "x", F.col("b.bin_id").alias("bin_id")), "assigned")
+        found = settled if found is None else found.unionByName(settled)
+        if whole:
+            break
+        left = materialize(left.join(settled, [*keys, "y", "x"], "left_anti"), "unassigned")
+        if left.isEmpty():
+            break
+        reach *= 2
+    return pixels.join(found, [*keys, "y", "x"], "left")
 
 
 def in_ranges(rows: DataFrame, keys: Sequence[str], order: str, amount: Column, bits: int) -> DataFrame:

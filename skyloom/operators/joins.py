@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, clean_token, frame_of, medium_of, pixel_scale, pixel_to_world, sky_separation, world_to_pixel
 from skyloom.operators.filters import valid_sample
+from skyloom.sources.scratch import small_side
 
 WCS_COLUMNS = ("crval1", "crval2", "crpix1", "crpix2", "cd11", "cd12", "cd21", "cd22")
 
@@ -23,8 +24,8 @@ def members(samples: DataFrame, membership: DataFrame, keys: Sequence[str] = ("t
 
 def with_wcs(pixels: DataFrame, wcs_a: DataFrame, wcs_b: DataFrame) -> DataFrame:
     """Pixels of image b with their 0-based position (px, py) in image a; one WCS row per target on each side."""
-    a = F.broadcast(wcs_a.select("target_id", *[F.col(c).alias(f"a_{c}") for c in WCS_COLUMNS]))
-    b = F.broadcast(wcs_b.select("target_id", *[F.col(c).alias(f"b_{c}") for c in WCS_COLUMNS]))
+    a = small_side(wcs_a.select("target_id", *[F.col(c).alias(f"a_{c}") for c in WCS_COLUMNS]))
+    b = small_side(wcs_b.select("target_id", *[F.col(c).alias(f"b_{c}") for c in WCS_COLUMNS]))
     rows = pixels.join(a, "target_id").join(b, "target_id")
     ra, dec = pixel_to_world("x", "y", {c: F.col(f"b_{c}") for c in WCS_COLUMNS})
     px, py = world_to_pixel(ra, dec, {c: F.col(f"a_{c}") for c in WCS_COLUMNS})
@@ -70,8 +71,8 @@ def reproject_bilinear(projected: DataFrame, image: DataFrame, keys: Sequence[st
     Inside is 0 <= px <= nx - 1 and the same in y; missing source values count as 0 there; outside is NULL.
     """
     keys = list(keys)
-    size = F.broadcast(image.groupBy(*keys).agg(F.max("y").alias("ymax"), F.max("x").alias("xmax")))
-    rows = projected.join(size, keys) if keys else projected.crossJoin(size)
+    size = image.groupBy(*keys).agg(F.max("y").alias("ymax"), F.max("x").alias("xmax"))
+    rows = projected.join(small_side(size), keys) if keys else projected.crossJoin(F.broadcast(size))
     inside = F.col("px").between(F.lit(0), F.col("xmax")) & F.col("py").between(F.lit(0), F.col("ymax"))
     rows = rows.withColumn("overlap", inside)
     y0, x0 = F.floor("py").cast("int"), F.floor("px").cast("int")
@@ -273,7 +274,8 @@ def common_wave_interval(a: DataFrame, b: DataFrame, min_width: float, min_chann
     span = lambda d, s: d.where("good").groupBy(*keys).agg(F.min("wave").alias(f"lo_{s}"), F.max("wave").alias(f"hi_{s}"))
     lo, hi = F.greatest("lo_a", "lo_b"), F.least("hi_a", "hi_b")
     spans = span(a, "a").join(span(b, "b"), list(keys)).select(*keys, lo.alias("lo"), hi.alias("hi"))
-    count = lambda d, s: d.where("good").join(F.broadcast(spans), list(keys)).where(F.col("wave").between(F.col("lo"), F.col("hi"))).groupBy(*keys).agg(F.count("*").alias(f"n_{s}"))
+    spans = small_side(spans)
+    count = lambda d, s: d.where("good").join(spans, list(keys)).where(F.col("wave").between(F.col("lo"), F.col("hi"))).groupBy(*keys).agg(F.count("*").alias(f"n_{s}"))
     rows = spans.join(count(a, "a"), list(keys), "left").join(count(b, "b"), list(keys), "left").fillna(0, ["n_a", "n_b"])
     reason = F.when(F.col("hi") - F.col("lo") < min_width, "overlap too narrow").when(F.least("n_a", "n_b") < min_channels, "too few channels").otherwise("common interval")
     return rows.withColumn("reason", reason).withColumn("used", reason == "common interval")

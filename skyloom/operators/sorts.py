@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, col
+from skyloom.sources.scratch import small_side
 
 
 def brightest(image: DataFrame, keys: Sequence[str] = ("target_id", "arm"), value="value") -> DataFrame:
@@ -24,11 +25,11 @@ def low_flux_selection(image: DataFrame, percent: float, at_most: int, keys: Seq
     keys = list(keys)
     good = image.where("good").select(*keys, "y", "x", clean(value).alias("v"))
     limits = good.groupBy(*keys).agg(F.percentile("v", F.lit(percent / 100)).alias("limit"))
-    rows = good.join(F.broadcast(limits), keys) if keys else good.crossJoin(F.broadcast(limits))
+    rows = good.join(small_side(limits), keys) if keys else good.crossJoin(F.broadcast(limits))
     rows = rows.where(F.col("limit").isNull() | (F.col("v") <= F.col("limit")))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x")) - 1)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(sizes), keys) if keys else rows.crossJoin(F.broadcast(sizes))
+    rows = rows.join(small_side(sizes), keys) if keys else rows.crossJoin(F.broadcast(sizes))
     if at_most < 2:
         return rows.where(F.col("nth") < at_most).select(*keys, "y", "x", F.col("v").alias("value"))
     # position k of a linspace over 0 .. n - 1 falls on row nth for some k below at_most

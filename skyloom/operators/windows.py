@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skyloom.functions.scalar import clean, col
 from skyloom.operators.aggregates import MAD_TO_SIGMA, array_median
 from skyloom.operators.joins import interp_gaps
+from skyloom.sources.scratch import small_side
 
 
 def fir_coefficients(window: int, poly: int) -> np.ndarray:
@@ -154,7 +155,7 @@ def position_bins(pixels: DataFrame, n: int, keys: Sequence[str] = ("target_id",
     """Adds position_bin: quantile bins of the position within each slice, the last one closed; repeated edges make one bin."""
     keys = list(keys)
     edges = pixels.groupBy(*keys).agg(F.array_distinct(F.percentile(col(pos), F.array(*[F.lit(k / n) for k in range(n + 1)]))).alias("edges"))
-    rows = pixels.join(F.broadcast(edges), keys)
+    rows = pixels.join(small_side(edges), keys)
     below = F.size(F.filter("edges", lambda e: e <= col(pos)))
     return rows.withColumn("position_bin", F.least(F.greatest(below - 1, F.lit(0)), F.greatest(F.size("edges") - 2, F.lit(0)))).drop("edges")
 

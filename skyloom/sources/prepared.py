@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, poly_eval
 from skyloom.model import nan_to_null
+from skyloom.sources.scratch import small_side
 
 REQUIRED = ("y", "x", "chan", "wave", "flux", "unc", "good", "good_spaxel")
 STEP = 1
@@ -25,7 +26,7 @@ def with_bad_fraction(samples: DataFrame, keys: Sequence[str] = ("target_id", "a
     """Per channel 1 - mean(good) over good spaxels, joined back as bad_fraction; one small row per channel."""
     keys = list(keys)
     channels = samples.groupBy(*keys, "chan").agg((1.0 - F.avg(F.when(F.col("good_spaxel"), F.col("good").cast("int")))).alias("bad_fraction"))
-    return samples.join(F.broadcast(channels), [*keys, "chan"])
+    return samples.join(small_side(channels), [*keys, "chan"])
 
 
 def read_prepared(spark: SparkSession, path: str, arm: str) -> DataFrame:
@@ -68,7 +69,7 @@ def read_templates(spark: SparkSession, path: str, meta_path: str | None = None)
     df = require(spark.read.parquet(path), ("template_id", "pix", "wave", "value", "fwhm"), "the template table")
     typical = df.agg(F.percentile("fwhm", F.lit(0.5)).alias("typical"))
     df = df.crossJoin(F.broadcast(typical)).withColumn("fwhm", F.coalesce("fwhm", "typical")).drop("typical")  # one row
-    return df if meta_path is None else df.join(F.broadcast(spark.read.parquet(meta_path)), "template_id", "left")
+    return df if meta_path is None else df.join(small_side(spark.read.parquet(meta_path)), "template_id", "left")
 
 
 def read_bin_spectra(spark: SparkSession, path: str, arm: str, n_bins: int | None = None) -> DataFrame:

@@ -74,14 +74,18 @@ def match_sidecars(arcs: DataFrame, files: DataFrame, kinds: Sequence[str] = ("w
     """
     a = arcs.select("arc_id", F.col("dir").alias("a_dir"), F.col("root").alias("a_root"), *[clean_token(k).alias(f"a_{k}") for k in MATCH_KEYS])
     f = files.where(F.col("kind").isin(list(kinds))).select("path", "dir", "root", "kind", *[clean_token(k).alias(k) for k in MATCH_KEYS])
-    same = a.join(f, F.col("a_dir") == F.col("dir"))
     agree = F.lit(True)
     for k in MATCH_KEYS:
         agree = agree & (F.coalesce(F.col(k), F.lit("")).eqNullSafe(F.coalesce(F.col(f"a_{k}"), F.lit(""))) | (F.coalesce(F.col(k), F.lit("")) == "") | (F.coalesce(F.col(f"a_{k}"), F.lit("")) == ""))
-    exact, prefix = F.col("root") == F.col("a_root"), F.col("root").startswith(F.col("a_root"))
-    rule = F.when(exact, 1).when(prefix, 2).when(agree, 3)
+    # exact roots by an equi-join; only kinds still missing look at the rest of their folder
+    exact = a.join(f, (F.col("a_dir") == F.col("dir")) & (F.col("a_root") == F.col("root"))).withColumn("rule", F.lit(1))
+    wanted = a.crossJoin(F.broadcast(a.sparkSession.createDataFrame([(k,) for k in kinds], "a_kind string")))  # a few kinds
+    open_ = wanted.join(exact.select("arc_id", F.col("kind").alias("a_kind")).distinct(), ["arc_id", "a_kind"], "left_anti")
+    rest = open_.join(f, (F.col("a_dir") == F.col("dir")) & (F.col("a_kind") == F.col("kind"))).drop("a_kind")
+    rest = rest.withColumn("rule", F.when(F.col("root").startswith(F.col("a_root")), 2).when(agree, 3))
+    same = exact.unionByName(rest.select(*exact.columns))
     w = Window.partitionBy("arc_id", "kind")
-    best = same.withColumn("rule", rule).where("rule is not null").withColumn("top", F.min("rule").over(w)).where("rule = top")
+    best = same.where("rule is not null").withColumn("top", F.min("rule").over(w)).where("rule = top")
     return best.groupBy("arc_id", "kind", "rule").agg(F.min("path").alias("path"), F.count("*").alias("n"))
 
 

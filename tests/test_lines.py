@@ -121,3 +121,27 @@ def test_preflight_and_optional_correlation(spark):
     bins = spark.createDataFrame([("t", "a", 1)], "target_id string, arm string, bin_id int")
     lags = spark.createDataFrame([("t", "a", k, 1.0 / (1 + k)) for k in range(3)], "target_id string, arm string, lag int, correlation double")
     assert L.optional_correlation(bins, lags).first()["lags"] == [1.0, 0.5, 1 / 3] and L.optional_correlation(bins, None).first()["lags"] is None
+
+
+def test_power_assign_looks_as_far_as_it_must(spark):
+    from skyloom.operators import images
+
+    rng = np.random.default_rng(2)
+    generators = [("t", i, float(x), float(y), float(r)) for i, (x, y, r) in enumerate(zip(rng.uniform(0, 300, 12), rng.uniform(0, 90, 12), rng.uniform(0, 6, 12)))]
+    pixels = [("t", y, x) for y in range(0, 90, 7) for x in range(0, 300, 11)]
+    g = spark.createDataFrame(generators, "target_id string, bin_id int, gx double, gy double, r double")
+    found = images.power_assign(spark.createDataFrame(pixels, "target_id string, y int, x int"), g).collect()
+    for row in found:
+        assert row["bin_id"] == min(((row["x"] - x) ** 2 + (row["y"] - y) ** 2 - r * r, i) for _, i, x, y, r in generators)[1]
+    assert len(found) == len(pixels)
+
+
+def test_sidecars_by_root_prefix_and_headers(spark):
+    from skyloom.sources import registry
+
+    keys = ", ".join(f"{k} string" for k in registry.MATCH_KEYS)
+    head = ("o", "c", "i", "b", "g", "r")
+    arcs = spark.createDataFrame([("1", "d", "arc1", *head), ("2", "d", "arc2", *head)], f"arc_id string, dir string, root string, {keys}")
+    files = [("p1", "d", "arc1", "wavemap", *head), ("p2", "d", "arc2_x", "wavemap", *head), ("p3", "d", "other", "slicemap", "o", "c", "i", "b", None, "r"), ("p4", "e", "arc1", "posmap", *head)]
+    found = registry.match_sidecars(arcs, spark.createDataFrame(files, f"path string, dir string, root string, kind string, {keys}")).collect()
+    assert {(r["arc_id"], r["kind"], r["path"], r["rule"], r["n"]) for r in found} == {("1", "wavemap", "p1", 1, 1), ("2", "wavemap", "p2", 2, 1), ("1", "slicemap", "p3", 3, 1), ("2", "slicemap", "p3", 3, 1)}
