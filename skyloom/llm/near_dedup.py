@@ -48,6 +48,8 @@ BINS, BAND_ROWS = 384, 6
 PARITY, LONG, SKETCH, ERRORS = 2048, 512, 128, 5.0
 #: Rounds of stars, each from other centres: they join the bulk of a family before the rest is compared.
 STARS = 2
+#: Rows of one or two numbers up to which a side is broadcast, some ten megabytes; beyond that the joins are sorted and merged.
+NARROW_ROWS = 500_000
 #: Members up to which a bucket is compared in full.
 SMALL = 8
 #: Owners of a shingle that are compared in one task.
@@ -335,12 +337,13 @@ def near_duplicates(
     nameless = F.min(F.when(F.col("doc_id").isNull(), F.col("text_key"))).alias("nameless")
     classes = usable.groupBy("set_id").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), nameless)
     classes = materialize(classes, "near-classes")  # a class goes by the place of one of its rows
-    heads = usable.withColumnRenamed("rid", "node").join(classes.select("node"), "node", "left_semi")
-    placed = heads.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
-    members = materialize(placed.join(shared, "bucket").select("bucket", "size", "node", "n").distinct(), "near-members")
+    heads = usable.withColumnRenamed("rid", "node").join(small_side(classes.select("node"), NARROW_ROWS), "node", "left_semi")
+    # a node is once in a bucket: the number of the band is part of its hash
+    placed = heads.select("node", F.explode("buckets").alias("bucket"))
+    shared = materialize(placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "near-shared")
+    members = materialize(placed.join(small_side(shared, NARROW_ROWS), "bucket").select("bucket", "size", "node"), "near-members")
     nodes = materialize(members.select("node").distinct(), "near-nodes")
-    traits = heads.select("node", "parity", "sketch").join(nodes, "node", "left_semi")
+    traits = heads.select("node", F.col("n_shingles").alias("n"), "parity", "sketch").join(small_side(nodes, NARROW_ROWS), "node", "left_semi")
     members = materialize(members.join(traits, "node"), "near-sketched")
     # the text of a node is that of its id and text key, whichever of several such rows it comes from
     named = materialize(usable.select(F.col("rid").alias("node"), F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key")).join(nodes, "node", "left_semi"), "near-named")
