@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, license_scan, packing, pii, quality_rules, url_filter
+from skyloom.llm import bpe, exact_dedup, importance, language_model, license_scan, near_dedup, packing, pii, quality_rules, url_filter
 from skyloom.llm.queries import tokenizer_file
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -303,3 +303,57 @@ def test_long_urls_and_any_rules(spark):
 
 def test_words_match_regex_module():
     assert bpe.WORDS.findall("I'm  here") == ["I", "'m", " ", " here"] and regex and F
+
+
+# ---- very long texts, and ids beyond what a double holds
+
+
+def long_texts():
+    rng = np.random.default_rng(0)
+    words = [f"w{k}" for k in rng.integers(0, 5000, 150_000)]
+    return [" ".join(words), "ab" * 60_000, "line of words\n" * 60_000, "1 " * 100_000 + "x@y.z"]
+
+
+def test_very_long_texts_are_read_whole():
+    bpe_mine, bpe_lib = bpe.load_bpe(tokenizer_file("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    words_mine, words_lib = packing.WordIds(tokenizer_file("word_bpe_49k.json")), library("word_bpe_49k.json")
+    for text in long_texts():
+        assert quality_rules.statistics_of(text)[:5] == plain_statistics(text)
+        assert pii.detect(text) == plain_spans(text)
+        assert bpe_mine.encode(text) == bpe_lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words_mine.encode(text), "<u4").tolist() == words_lib.encode(text, add_special_tokens=False).ids
+        n = len(text.split())
+        assert len(near_dedup.shingle_set(text)) <= max(1, n - 4) and len(importance.features(text)) == 2 * n - 1
+
+
+def test_ids_beyond_doubles_beside_nulls(spark):
+    ids = [2**53 + 1, None, 2**53 + 3, -(2**60) - 1]
+    rows = [(i, t, "en", "s", 5) for i, t in zip(ids, ["alpha beta gamma delta epsilon", "mail a@b.cd now", None, "MIT license text here"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(ids[0], 1, 0), (ids[3], 0, 0)], "doc_id long, quality int, toxic int")
+    pages = docs.selectExpr("doc_id AS page_id", "concat('http://a.net/', text) AS url")
+    words, tokens = tokenizer_file("word_bpe_49k.json"), tokenizer_file("byte_bpe_50k.json")
+    found = {
+        1: exact_dedup.exact_dedup(docs), 2: language_model.lm_scores(docs), 3: license_scan.scan_licenses(docs), 4: url_filter.judge_urls(pages, url_filter.rule_table(spark)), 5: near_dedup.near_duplicates(docs),
+        6: packing.pack_documents(docs, words), 7: pii.find_pii(docs), 8: importance.resample(docs, labels), 9: quality_rules.quality_rules(docs, labels), 10: bpe.decode_documents(bpe.encode_documents(docs, tokens), tokens),
+    }
+    for n, rows in found.items():
+        assert {r[0] for r in rows.select("page_id" if n == 4 else "doc_id").collect()} == set(ids), n
+    assert {r["doc_id"] for r in pii.sanitise_documents(docs).collect()} == set(ids)
+
+
+def test_importance_is_the_models_ratio(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 40 if i % 2 else 80, 30)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60, 3)], "doc_id long, quality int, toxic int")
+    target = {i for i in range(0, 60, 3) if i % 2}
+    bags = [Counter(importance.features(t).tolist()) for t in texts]
+    n_raw, n_target = sum(bags, Counter()), sum((bags[i] for i in target), Counter())
+    for r in importance.resample(docs, labels).collect():
+        own, mine = bags[r["doc_id"]], r["doc_id"] in target
+        size = sum(own.values())
+        raw_all, target_all = sum(n_raw.values()) - size, sum(n_target.values()) - size * mine
+        want = sum(c * (np.log((n_target[f] - c * mine + 1) / (target_all + importance.FEATURES)) - np.log((n_raw[f] - c + 1) / (raw_all + importance.FEATURES))) for f, c in own.items())
+        assert r["n_features"] == size and abs(r["log_ratio"] - want) < 1e-6
+    assert importance.resample(docs, labels, keep_share=1.0).where("kept").count() == 60
