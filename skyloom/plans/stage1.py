@@ -170,12 +170,13 @@ LOG_LOW, LOG_STEP, LOG_N = 4810.0, 0.0035, 34
 
 
 def q_rebin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spectra = V.spec(spark, sf_dir).where("spaxel % 5 <> 4 or chan % 2 = 0")
+    """Every spectrum on a logarithmic grid; each fifth has every other channel masked."""
+    spectra = V.spec(spark, sf_dir).withColumn("good", F.expr("good and (spaxel % 5 <> 4 or chan % 2 = 0)"))
     found = J.overlap_rebin(spectra, LOG_LOW, LOG_STEP, LOG_N, keys=("spaxel",))
     return found.select("spaxel", "pix", r6("flux").alias("flux"), r6("unc").alias("unc"), r6("coverage").alias("coverage"), (F.round("coverage", 6) >= 0.5).alias("half"))
 
 
-REBIN = f"""WITH {SPEC}, s AS (SELECT *, lead(wave) OVER w AS up, lag(wave) OVER w AS down FROM spec WHERE spaxel % 5 <> 4 OR chan % 2 = 0 WINDOW w AS (PARTITION BY spaxel ORDER BY wave)),
+REBIN = f"""WITH {SPEC}, s AS (SELECT * REPLACE (good AND (spaxel % 5 <> 4 OR chan % 2 = 0) AS good), lead(wave) OVER w AS up, lag(wave) OVER w AS down FROM spec WINDOW w AS (PARTITION BY spaxel ORDER BY wave)),
     e AS (SELECT *, wave - coalesce(wave - down, up - wave) / 2 AS e0, wave + coalesce(up - wave, wave - down) / 2 AS e1 FROM s),
     p AS (SELECT i AS pix, {LOG_LOW} * exp(i * {LOG_STEP}) AS l, {LOG_LOW} * exp((i + 1) * {LOG_STEP}) AS r FROM range(0, {LOG_N}) t(i)), a AS (SELECT DISTINCT spaxel FROM spec),
     o AS (SELECT spaxel, pix, sum(least(r, e1) - greatest(l, e0)) AS so, sum((least(r, e1) - greatest(l, e0)) * flux) AS sf, sum((least(r, e1) - greatest(l, e0)) ** 2 * var) AS sv FROM e JOIN p ON e0 < r AND e1 > l WHERE good GROUP BY 1, 2)
@@ -183,33 +184,30 @@ REBIN = f"""WITH {SPEC}, s AS (SELECT *, lead(wave) OVER w AS up, lag(wave) OVER
 
 
 def q_likelihood_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins against pairs of the four first spectra as templates, over a grid of fractions; the best state of each bin and its single fit."""
+    """Bins against pairs of all bins' coadds as templates, over a grid of fractions."""
     spectra = spec_coadd(spark, sf_dir).where("good").select("bin_id", F.col("chan").alias("pix"), "flux", "unc")
-    spec = V.spec(spark, sf_dir)
-    first = spec.select("spaxel").distinct().orderBy("spaxel").limit(4)  # the templates are a parameter: four
-    nodes = spec.join(F.broadcast(first), "spaxel").select(F.col("spaxel").alias("node"), F.col("chan").alias("pix"), F.col("flux").alias("model"))
+    nodes = spectra.select(F.col("bin_id").alias("node"), "pix", F.col("flux").alias("model"))
     fractions = grid_table(spark, f=fraction_grid(0.1, 0.9, 0.1))
     grid = G.two_component_grid(spectra, nodes, fractions, ("bin_id",))
-    return grid.select("bin_id", "a", "b", "i_f", r6("chi2", 4).alias("chi2"), "status", "n_pix")
+    return grid.select("bin_id", "a", "b", "i_f", F.abs(r6("chi2", 4)).alias("chi2"), "status", "n_pix")
 
 
-LIKELIHOOD_GRID = f"""WITH {COADD}, d AS (SELECT bin_id, chan AS pix, flux, 1 / (unc * unc) AS w FROM coadd WHERE good), t AS (SELECT spaxel AS node, chan AS pix, flux AS m FROM spec WHERE spaxel IN (SELECT DISTINCT spaxel FROM spec ORDER BY 1 LIMIT 4)),
+LIKELIHOOD_GRID = f"""WITH {COADD}, d AS (SELECT bin_id, chan AS pix, flux, 1 / (unc * unc) AS w FROM coadd WHERE good), t AS (SELECT bin_id AS node, chan AS pix, flux AS m FROM coadd WHERE good),
     s AS (SELECT bin_id, sum(w * flux * flux) AS s, count(*) AS n_pix FROM d GROUP BY 1), o AS (SELECT bin_id, node, sum(w * flux * m) AS d, sum(w * m * m) AS m FROM d JOIN t USING (pix) GROUP BY 1, 2),
     x AS (SELECT bin_id, a.node AS a, b.node AS b, sum(w * a.m * b.m) AS mab FROM d JOIN t a USING (pix) JOIN t b USING (pix) GROUP BY 1, 2, 3), f AS (SELECT i AS i_f, round(0.1 + 0.1 * i, 12) AS f FROM range(0, 9) r(i)),
     g AS (SELECT x.bin_id, x.a, x.b, i_f, s, n_pix, f * p.d + (1 - f) * q.d AS dd, f * f * p.m + 2 * f * (1 - f) * mab + (1 - f) * (1 - f) * q.m AS mm
         FROM x JOIN o p ON p.bin_id = x.bin_id AND p.node = a JOIN o q ON q.bin_id = x.bin_id AND q.node = b JOIN s ON s.bin_id = x.bin_id, f)
-    SELECT bin_id, a, b, i_f, round(s - greatest(dd, 0) ** 2 / mm, 4) AS chi2, 0 AS status, n_pix FROM g"""
+    SELECT bin_id, a, b, i_f, abs(round(s - greatest(dd, 0) ** 2 / mm, 4)) AS chi2, 0 AS status, n_pix FROM g"""
 
 
 def q_one_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bin's best template among all single spectra."""
     spectra = spec_coadd(spark, sf_dir).where("good").select("bin_id", F.col("chan").alias("pix"), "flux", "unc")
-    spec = V.spec(spark, sf_dir)
-    first = spec.select("spaxel").distinct().orderBy("spaxel").limit(4)
-    nodes = spec.join(F.broadcast(first), "spaxel").select(F.col("spaxel").alias("node"), F.col("chan").alias("pix"), F.col("flux").alias("model"))
+    nodes = V.spec(spark, sf_dir).select(F.col("spaxel").alias("node"), F.col("chan").alias("pix"), F.col("flux").alias("model"))
     return G.one_component_fit(spectra, nodes, ("bin_id",)).select("bin_id", "node", r6("chi2", 4).alias("chi2"), r6("amplitude").alias("amplitude"), "n_pix")
 
 
-ONE_COMPONENT = f"""WITH {COADD}, d AS (SELECT bin_id, chan AS pix, flux, 1 / (unc * unc) AS w FROM coadd WHERE good), t AS (SELECT spaxel AS node, chan AS pix, flux AS m FROM spec WHERE spaxel IN (SELECT DISTINCT spaxel FROM spec ORDER BY 1 LIMIT 4)),
+ONE_COMPONENT = f"""WITH {COADD}, d AS (SELECT bin_id, chan AS pix, flux, 1 / (unc * unc) AS w FROM coadd WHERE good), t AS (SELECT spaxel AS node, chan AS pix, flux AS m FROM spec),
     s AS (SELECT bin_id, sum(w * flux * flux) AS s, count(*) AS n_pix FROM d GROUP BY 1), o AS (SELECT bin_id, node, sum(w * flux * m) AS d, sum(w * m * m) AS m FROM d JOIN t USING (pix) GROUP BY 1, 2),
     oc AS (SELECT bin_id, node, s - greatest(d, 0) ** 2 / m AS chi2, greatest(d, 0) / m AS amp, n_pix FROM o JOIN s USING (bin_id))
     SELECT bin_id, node, round(chi2, 4) AS chi2, round(amp, 6) AS amplitude, n_pix FROM oc QUALIFY row_number() OVER (PARTITION BY bin_id ORDER BY chi2, node) = 1"""

@@ -106,15 +106,16 @@ MC = f"""WITH {EVT}, q AS (SELECT spaxel % 10 AS bin_id, arm AS quantity, day %
 
 
 def q_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = V.table(spark, sf_dir, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("template_id"), (F.col("p_size") / 10).alias("log_age"), (F.col("p_retailprice") / 1000).alias("metal"), (F.col("p_partkey") % 11 == 0).alias("is_gas"))
-    weights = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("bin_id"), (F.col("l_linenumber") % 2).alias("component"), (F.col("l_partkey") % 50).alias("template_id"), F.col("l_quantity").alias("weight"))
+    """Light-weighted populations of suppliers, all parts being templates."""
+    meta = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("template_id"), (F.col("p_size") / 10).alias("log_age"), (F.col("p_retailprice") / 1000).alias("metal"), (F.col("p_partkey") % 11 == 0).alias("is_gas"))
+    weights = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("bin_id"), (F.col("l_linenumber") % 2).alias("component"), F.col("l_partkey").alias("template_id"), F.col("l_quantity").alias("weight"))
     found = D.population_summary(weights, meta, ("bin_id", "component"))
     shares = A.achieved_fraction(weights.withColumn("requested", F.lit(0.5)), ("bin_id",))
     return found.join(shares.select("bin_id", "fraction", "warn"), "bin_id").select("bin_id", "component", *[r6(c).alias(c) for c in ("log_age", "metal", "light", "edge_fraction", "fraction")], "warn")
 
 
-POPULATIONS = """WITH meta AS (SELECT p_partkey AS template_id, p_size / 10 AS log_age, p_retailprice / 1000 AS metal, p_partkey % 11 = 0 AS gas FROM part WHERE p_partkey < 50),
-    e AS (SELECT min(log_age) AS a0, max(log_age) AS a1, min(metal) AS m0, max(metal) AS m1 FROM meta), w AS (SELECT l_suppkey AS bin_id, l_linenumber % 2 AS component, l_partkey % 50 AS template_id, l_quantity AS weight FROM lineitem),
+POPULATIONS = """WITH meta AS (SELECT p_partkey AS template_id, p_size / 10 AS log_age, p_retailprice / 1000 AS metal, p_partkey % 11 = 0 AS gas FROM part),
+    e AS (SELECT min(log_age) AS a0, max(log_age) AS a1, min(metal) AS m0, max(metal) AS m1 FROM meta), w AS (SELECT l_suppkey AS bin_id, l_linenumber % 2 AS component, l_partkey AS template_id, l_quantity AS weight FROM lineitem),
     f AS (SELECT bin_id, sum(weight) FILTER (component = 0) / sum(weight) AS fraction FROM w GROUP BY 1)
     SELECT bin_id, component, round(sum(weight * log_age) / sum(weight), 6) AS log_age, round(sum(weight * metal) / sum(weight), 6) AS metal, round(sum(weight), 6) AS light,
         round(coalesce(sum(weight) FILTER (log_age IN (a0, a1) OR metal IN (m0, m1)), 0) / sum(weight), 6) AS edge_fraction, round(any_value(fraction), 6) AS fraction, abs(any_value(fraction) - 0.5) > 0.02 AS warn

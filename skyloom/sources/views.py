@@ -28,7 +28,7 @@ def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     chan = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
     rows = table(spark, sf_dir, "lineitem")
     return rows.select(
-        F.lit("demo").alias("target_id"), F.lit("RH3").alias("arm"), F.col("l_suppkey").alias("bin_id"), F.col("l_partkey").alias("spaxel"),
+        F.lit("demo").alias("target_id"), F.lit("red").alias("arm"), F.col("l_suppkey").alias("bin_id"), F.col("l_partkey").alias("spaxel"),
         F.floor(F.col("l_partkey") / WIDTH).cast("long").alias("y"), (F.col("l_partkey") % WIDTH).alias("x"), chan.alias("chan"), (9000.0 + 10.0 * chan).alias("wave"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount")) - 30000).alias("flux"), F.col("l_quantity").alias("var"), F.sqrt("l_quantity").alias("unc"),
         (F.col("l_returnflag") == "R").alias("mask"), F.when(F.col("l_tax") > 0, 1.0).otherwise(0.0).alias("exposure"), F.lit(0).alias("flags"),
