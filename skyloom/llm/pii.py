@@ -221,7 +221,7 @@ def find_pii(
     kind = F.when(F.max("disclosure") >= remove_at, KINDS.index("gone")).otherwise(KINDS.index("term"))
     terms = materialize(revealing.groupBy("term").agg(kind.alias("kind")), "pii-kinds")
     extra = materialize(term_places(found, docs, written, terms, text_col=text_col), "pii-places")
-    joined = found.join(extra, "digest", "left").select(*found.columns, "extra")
+    joined = found.join(small_side(extra, 20_000), "digest", "left").select(*found.columns, "extra")  # else all texts would be shuffled
     spans = F.array_sort(F.concat("spans", F.coalesce("extra", F.array().cast(SPANS))))
     return joined.select(
         F.col("the_id").alias("doc_id"), F.col("spans").alias("base"), spans.alias("spans"), *[F.col(f"p_{c}").alias(c) for c in payload if c != "doc_id"]
