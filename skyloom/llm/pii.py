@@ -32,6 +32,8 @@ from skyloom.llm.common import DOC_COLUMNS, LOWER, UPPER, ascii_lower, in_slices
 #: The kinds in the order in which they are listed, then the method's own.
 KINDS = ("email", "ip", "card", "phone", "term", "gone")
 WINDOW_WORDS = 6
+#: Terms up to which they are broadcast, some 25 megabytes; beyond that the words of all texts are shuffled to them.
+TERM_ROWS = 250_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -153,7 +155,7 @@ def written_terms(docs: DataFrame, terms: DataFrame, *, text_col: str = "text")
     """
     words = F.array_distinct(F.split(ascii_lower(whole_text(text_col)), SEPARATORS))
     rows = docs.select(F.sha2(whole_text(text_col), 256).alias("digest"), words.alias("words"))
-    return rows.select("digest", F.explode_outer("words").alias("term")).join(small_side(terms), "term", "left_semi")
+    return rows.select("digest", F.explode_outer("words").alias("term")).join(small_side(terms, TERM_ROWS), "term", "left_semi")
 
 
 def term_places(found: DataFrame, docs: DataFrame, written: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
