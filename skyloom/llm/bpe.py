@@ -5,6 +5,10 @@ contiguous arrays. The smallest rank is searched by scanning, its boundary delet
 the two neighbouring ranks refreshed, until no pair can merge. Scanning is quadratic, so
 words longer than `LONG_WORD` bytes take the same merges in the same order from a heap.
 
+The pattern's tables of letters and digits are newer than those that the vocabulary is used
+with. Characters that Python's own tables do not know are looked up with the vocabulary's
+word breaker, one by one, and stand-ins of that kind take their places in the pattern.
+
 Null texts encode to no ids and decode to the empty text. Rows are independent of each
 other: repeated rows, null ids, empty tables and extra columns need no special care. Texts of
 any length are encoded whole; a single long word costs n log n.
@@ -14,8 +18,9 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,8 @@ LONG_WORD = 96
 MEMO_WORDS = 200_000
 #: Fixed value: how byte-level vocabularies of this kind part a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A letter, a digit and neither, for characters whose kind the pattern's tables do not tell as the vocabulary's own do.
+STAND_INS = ("\u00e9", "\u0663", "\ue000")
 NO_RANK = 1 << 60
 PAIR = 1 << 20
 
@@ -43,6 +50,7 @@ def byte_letters() -> list[str]:
 
 class ByteBpe:
     def __init__(self, path: str):
+        self.path, self.kinds = path, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -114,10 +122,29 @@ class ByteBpe:
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
         ids = tuple(self.merged_ids(word))
-        if len(word) <= LONG_WORD:
+        if len(word) <= LONG_WORD and (word.isascii() or "Cn" not in map(category, word)):
             self.memo[word] = ids
         return ids
 
+    @cached_property
+    def breaker(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).pre_tokenizer
+
+    def stand_in(self, c: str) -> str:
+        """The character itself, or one that the pattern takes for the kind that the vocabulary's word breaker finds."""
+        if category(c) != "Cn":
+            return c
+        if c not in self.kinds:
+            kind = next((k for k, start in enumerate("a1") if len(self.breaker.pre_tokenize_str(start + c)) == 1), 2)
+            self.kinds[c] = STAND_INS[kind]
+        return self.kinds[c]
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text that may hold characters of unsure kind."""
+        return [text[m.start() : m.end()] for m in WORDS.finditer("".join(map(self.stand_in, text)))]
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         get, add = self.memo.get, out.extend
@@ -125,8 +152,17 @@ class ByteBpe:
             if part in self.specials:
                 out.append(self.specials[part])
                 continue
+            done = len(out)
             for word in WORDS.findall(part):
-                add(get(word) or self.word_ids(word))
+                ids = get(word)
+                if ids is None:
+                    if not word.isascii() and "Cn" in map(category, word):  # such words are never kept, so each is seen here
+                        del out[done:]
+                        for sure in self.words(part):
+                            add(self.word_ids(sure))
+                        break
+                    ids = self.word_ids(word)
+                add(ids)
         return out
 
     def decode(self, ids) -> str:
