@@ -3,7 +3,8 @@
 Detection finds e-mail addresses, IP addresses, card and phone numbers in whole texts.
 Sanitisation goes further: a word near an entity can give the entity away. Over the
 whole corpus, a term's disclosure of an entity is its pointwise mutual information with
-the entity over the entity's own information content:
+the entity over the entity's own information content (near: among the `WINDOW_TERMS` terms on
+either side, however long the words are):
 
     PMI(t; e) / IC(e) = 1 + log P(e | t) / -log P(e)
 
@@ -21,19 +22,20 @@ pass through `payload` only. Texts of any length are searched whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import DOC_COLUMNS, LOWER, UPPER, ascii_lower, in_slices, map_texts, materialize, small_side, texts_of, whole_text
+from skyloom.llm.common import DOC_COLUMNS, LOWER, UPPER, ascii_lower, in_slices, map_texts, materialize, texts_of, whole_text
+from skyloom.llm.sieve import marked, sieve_of, sifted
 
 #: The kinds in the order in which they are listed, then the method's own.
 KINDS = ("email", "ip", "card", "phone", "term", "gone")
-WINDOW_WORDS = 6
-#: Terms up to which they are broadcast, some 25 megabytes; beyond that the words of all texts are shuffled to them.
-TERM_ROWS = 250_000
+#: Terms on each side of an entity that are near it.
+WINDOW_TERMS = 7
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,7 +43,6 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TERM_IN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 TO_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -93,26 +94,25 @@ def entity_name(text: str, start: int, kind: int, end: int) -> str:
     return f"{KINDS[kind]}:{value if kind < 2 else ''.join(c for c in value if c.isdigit())}"
 
 
+def clear_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """The terms outside all spans, in their order; a word that a span cuts leaves its parts. Numbers are none."""
+    out, at = [], 0
+    for start, _, end in [*spans, (len(text), 0, len(text))]:
+        if start > at:
+            out += [(m[0].translate(TO_LOWER), *m.span()) for m in TERM_IN.finditer(text, at, start) if not m[0].isdigit()]
+        at = max(at, end)
+    return out
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Each entity with the terms of the words around it, outside of any span."""
+    """Each entity with the terms on either side of it."""
     if not spans:
         return []
-    out = []
-    reach = WINDOW_WORDS * 40
+    terms, out = clear_terms(text, spans), []
+    starts = [s for _, s, _ in terms]
     for start, kind, end in spans:
-        before = [m for m in WORD.finditer(text, max(0, start - reach), start)][-WINDOW_WORDS - 1 :]
-        after = []
-        for m in WORD.finditer(text, end):
-            if len(after) > WINDOW_WORDS:
-                break
-            after.append(m)
-        terms = []
-        for w in [*before, *after]:
-            for m in TERM_IN.finditer(text, w.start(), w.end()):
-                s, e = m.span()
-                if not m[0].isdigit() and all(e <= a or s >= b for a, _, b in spans):
-                    terms.append((m[0].translate(TO_LOWER), s, e))
-        out.append((entity_name(text, start, kind, end), terms))
+        before, after = bisect_left(starts, start), bisect_left(starts, end)
+        out.append((entity_name(text, start, kind, end), terms[max(0, before - WINDOW_TERMS) : before] + terms[after : after + WINDOW_TERMS]))
     return out
 
 
@@ -148,41 +148,42 @@ def detect_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.withColumnRenamed("the_text", f"p_{text_col}") if whole else found
 
 
-def written_terms(docs: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(digest, term) for each row and each of the given terms (a written table) that its text has, wherever it stands.
-
-    The digest is found before the words are dealt out, once a text.
-    """
+def text_words(docs: DataFrame, *kept: Column, text_col: str = "text") -> DataFrame:
+    """(kept, term) for each row and each different word of its text."""
     words = F.array_distinct(F.split(ascii_lower(whole_text(text_col)), SEPARATORS))
-    rows = docs.select(F.sha2(whole_text(text_col), 256).alias("digest"), words.alias("words"))
-    return rows.select("digest", F.explode_outer("words").alias("term")).join(small_side(terms, TERM_ROWS), "term", "left_semi")
+    rows = docs.select(*kept, words.alias("words"))
+    return rows.select(*rows.columns[:-1], F.explode("words").alias("term"))
+
+
+def term_frequencies(docs: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(term, n_term): in how many rows' texts each of the given terms stands. Words are sifted and counted before they move."""
+    counts = sifted(text_words(docs, text_col=text_col), "term", sieve_of(terms, "term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    return counts.join(terms, "term", "left_semi")
 
 
-def term_places(found: DataFrame, docs: DataFrame, written: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(digest, extra): the spans of the given terms (term, kind) in all texts that have any, outside the base spans."""
+def term_places(found: DataFrame, docs: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(digest, extra): the spans of the given terms (term, kind; a written table) in all texts that have any, outside the base spans."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         extra = []
         for text, hits in zip(texts_of(batch, "the_text"), batch.column("hits").to_pylist()):
-            kinds, spans = {h["term"]: h["kind"] for h in hits}, detect(text)
-            near = {(s, e): t for _, ts in mentions(text, spans) for t, s, e in ts}  # words cut by a span are terms there
-            places = {m.span(): m[0].translate(TO_LOWER) for m in TERM_IN.finditer(text)}
-            clear = {p: t for p, t in places.items() if t in kinds and all(p[1] <= a or p[0] >= b for a, _, b in spans)}
-            clear |= {p: t for p, t in near.items() if t in kinds}
-            extra.append(span_list([(s, kinds[t], e) for (s, e), t in sorted(clear.items())]))
+            kinds = {h["term"]: h["kind"] for h in hits}
+            extra.append(span_list([(s, kinds[t], e) for t, s, e in clear_terms(text, detect(text)) if t in kinds]))
         return pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(extra, SPAN_LISTS)], names=["digest", "extra"])
 
+    sieve = materialize(sieve_of(terms, "term"), "pii-sieve")
+    written = sifted(text_words(docs, F.sha2(whole_text(text_col), 256).alias("digest"), text_col=text_col), "term", sieve)
     near = found.where(F.size("mentions") > 0).select("digest", F.explode("mentions").alias("m")).select("digest", F.explode("m.terms.term").alias("term"))
-    hits = written.select("digest", "term").unionByName(near).join(small_side(terms), "term").groupBy("digest").agg(F.collect_set(F.struct("term", "kind")).alias("hits"))
+    hits = written.unionByName(sifted(near, "term", sieve)).distinct().join(terms, "term").groupBy("digest").agg(F.collect_set(F.struct("term", "kind")).alias("hits"))
     hits = materialize(hits, "pii-hits")
     texts = docs.select(F.sha2(whole_text(text_col), 256).alias("digest"), whole_text(text_col).alias("the_text"))
-    texts = texts.join(small_side(hits.select("digest"), 20_000), "digest", "left_semi")  # a digest is wider than a few numbers
+    texts = sifted(texts, "digest", sieve_of(hits, "digest"))
     texts = texts.groupBy("digest").agg(F.first("the_text").alias("the_text"))  # equal texts have equal places
     return in_slices(texts.join(hits, "digest"), work, f"digest string, extra {SPANS}")
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, text_col: str = "text", threshold: float = 0.85, prior: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(entity, term, disclosure) for the terms that reveal an entity, counts covering all documents; and where candidates are written."""
+def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, text_col: str = "text", threshold: float = 0.85, prior: float = 1.0) -> DataFrame:
+    """(entity, term, disclosure) for the terms that reveal an entity, counts covering all documents; a written table."""
     near = found.select("digest", F.explode("mentions").alias("m")).select(
         "digest", F.col("m.entity").alias("entity"), F.transform("m.terms", lambda x: x["term"]).alias("terms")
     )
@@ -206,10 +207,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int, *, text_col
     pairs = together.join(near_any, "term").join(entities, "entity").where(disclosure("n_near") >= threshold)
     pairs = materialize(pairs.select("entity", "term", "n_both", "n_entity", "contexts"), "pii-pairs")
     candidates = materialize(pairs.select("term").distinct(), "pii-candidates")
-    written = materialize(written_terms(docs, candidates, text_col=text_col), "pii-written")
-    frequency = written.groupBy("term").agg(F.count("*").alias("n_term"))
+    frequency = term_frequencies(docs, candidates, text_col=text_col)
     revealing = pairs.join(frequency, "term").withColumn("disclosure", disclosure("n_term")).where(F.col("disclosure") >= threshold)
-    return materialize(revealing.select("entity", "term", "disclosure"), "pii-terms"), written
+    return materialize(revealing.select("entity", "term", "disclosure"), "pii-terms")
 
 
 def find_pii(
@@ -219,11 +219,14 @@ def find_pii(
     found = materialize(detect_documents(docs, id_col=id_col, text_col=text_col, payload=payload), "pii-found")
     n_docs = found.count()
     with_entities = found.where(F.size("mentions") > 0)
-    revealing, written = disclosing_terms(with_entities, docs, n_docs, text_col=text_col, threshold=threshold, prior=prior)
+    revealing = disclosing_terms(with_entities, docs, n_docs, text_col=text_col, threshold=threshold, prior=prior)
     kind = F.when(F.max("disclosure") >= remove_at, KINDS.index("gone")).otherwise(KINDS.index("term"))
     terms = materialize(revealing.groupBy("term").agg(kind.alias("kind")), "pii-kinds")
-    extra = materialize(term_places(found, docs, written, terms, text_col=text_col), "pii-places")
-    joined = found.join(small_side(extra, 20_000), "digest", "left").select(*found.columns, "extra")  # else all texts would be shuffled
+    extra = materialize(term_places(found, docs, terms, text_col=text_col), "pii-places")
+    # only texts that may have terms travel to their spans
+    tried = marked(found, "digest", sieve_of(extra, "digest"), "touched")
+    met = tried.where("touched").join(extra, "digest", "left")
+    joined = met.select(*found.columns, "extra").unionByName(tried.where("not touched").select(*found.columns, F.lit(None).cast(SPANS).alias("extra")))
     spans = F.array_sort(F.concat("spans", F.coalesce("extra", F.array().cast(SPANS))))
     return joined.select(
         F.col("the_id").alias("doc_id"), F.col("spans").alias("base"), spans.alias("spans"), *[F.col(f"p_{c}").alias(c) for c in payload if c != "doc_id"]

@@ -185,6 +185,30 @@ def test_revealing_terms_are_spans(spark):
     assert clean[200] == "copied text with Uniquename near [EMAIL] for ever"
 
 
+def test_terms_near_an_entity_whatever_their_length():
+    words = ["Tellit" + "x" * 60, "y" * 900, *[f"{c}" * 60 for c in "abcde"]]
+    text = f"{' '.join(words)} pre10.0.0.1post {' '.join(reversed(words))} 12 34"
+    (_, terms), = pii.mentions(text, pii.detect(text))
+    assert [t for t, _, _ in terms] == [*[w.lower() for w in words[1:]], "pre", "post", *[w.lower() for w in reversed(words[1:])]]
+    assert all(text[s:e].lower() == t for t, s, e in terms)
+    joined = ";".join(f"n{k}a@b{k}.org" for k in range(20_000))  # one word full of entities
+    found = pii.mentions(joined, pii.detect(joined))
+    assert len(found) == 20_000 and max(len(t) for _, t in found) <= 2 * pii.WINDOW_TERMS
+
+
+def test_sieve_loses_no_key(spark):
+    from skyloom.llm import sieve
+
+    keys = spark.range(0, 3000, 3).select(F.concat(F.lit("k"), "id").alias("key"))
+    rows = spark.range(3000).select("id", F.concat(F.lit("k"), "id").alias("key"))
+    for blocks, most in ((1 << 20, 1010), (64, 3000)):
+        table = sieve.sieve_of(keys, "key", blocks)
+        passed = {r["id"] for r in sieve.sifted(rows, "key", table, blocks).collect()}
+        assert set(range(0, 3000, 3)) <= passed and len(passed) <= most
+        flags = sieve.marked(rows, "key", table, "maybe", blocks).collect()
+        assert {r["id"] for r in flags if r["maybe"]} == passed and len(flags) == 3000
+
+
 def test_revealing_terms_go_everywhere(spark):
     far = " ".join(f"filler{k}" for k in range(30))
     rows = [(i, f"Bob writes from b{'o' * 3}b@vin.com case{i} {far} and Bob left") for i in range(4)]
