@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, col, noise_factor
 from skyloom.operators.filters import rest_window, valid_sample
+from skyloom.operators.ranking import exact_percentiles, prefix_sums
 from skyloom.sources.scratch import materialize, small_side
 
 MAD_TO_SIGMA = 1.4826
@@ -206,8 +207,8 @@ def spectral_correlation(residuals: DataFrame, max_lag: int, keys: Sequence[str]
 
 
 def group_interval(rows: DataFrame, group: Sequence[str], value="value") -> DataFrame:
-    p = F.percentile(col(value), F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)))
-    return rows.groupBy(*group).agg(p.alias("p"), F.count(col(value)).alias("n")).select(*group, F.col("p")[1].alias("median"), (F.col("p")[1] - F.col("p")[0]).alias("minus"), (F.col("p")[2] - F.col("p")[1]).alias("plus"), "n")
+    p = exact_percentiles(rows, group, value, {"p16": 0.16, "median": 0.5, "p84": 0.84})
+    return p.select(*group, "median", (F.col("median") - F.col("p16")).alias("minus"), (F.col("p84") - F.col("median")).alias("plus"), "n")
 
 
 def group_rms(residuals: DataFrame, first: str, second: str, keys: Sequence[str] = (), value="residual") -> DataFrame:
@@ -294,28 +295,33 @@ def sn_summary(bins: DataFrame, keys: Sequence[str] = ("target_id", "arm")) -> D
 
 def robust_limits(rows: DataFrame, value="value", low: float = 0.02, high: float = 0.98, keys: Sequence[str] = ()) -> DataFrame:
     """Percentile limits; minimum and maximum where these coincide; NULL where those do."""
-    v = clean(value)
-    found = rows.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("p"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    pair = F.when(F.col("p")[1] > F.col("p")[0], F.struct(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))).when(F.col("hi") > F.col("lo"), F.struct("lo", "hi"))
-    return found.select(*keys, pair.alias("pair")).select(*keys, F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"))
+    p = exact_percentiles(rows, keys, value, {"lo": low, "hi": high})
+    pair = F.when(F.col("hi") > F.col("lo"), F.struct("lo", "hi")).when(F.col("highest") > F.col("lowest"), F.struct(F.col("lowest").alias("lo"), F.col("highest").alias("hi")))
+    return p.select(*keys, pair.alias("pair")).select(*keys, F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"))
 
 
 def shared_upper_limit(a: DataFrame, b: DataFrame, p: float = 0.95, keys: Sequence[str] = ("target_id",), value="sn") -> DataFrame:
     both = a.select(*keys, clean(value).alias("v")).unionAll(b.select(*keys, clean(value).alias("v")))
-    limit = F.percentile("v", F.lit(p))
-    return both.groupBy(*keys).agg(F.when(limit > 0, limit).alias("upper"))
+    limit = F.col("upper")
+    return exact_percentiles(both, keys, "v", {"upper": p}).select(*keys, F.when(limit > 0, limit).alias("upper"))
 
 
 def false_positive_probability(observed: DataFrame, mocks: DataFrame, stratum: Sequence[str], obs="statistic", mock="statistic", obs_id="obs_id") -> DataFrame:
-    """(mocks at or above + 1) / (mocks + 1) per observation, by one sorted merge of both in each stratum."""
+    """(mocks at or above + 1) / (mocks + 1) per observation.
+
+    Mocks are counted by value before anything is ranked; the counts ahead are running sums by
+    ranges, so a stratum of any size is spread. Strata that are NULL or without mocks have no rows.
+    """
     stratum = list(stratum)
-    rows = observed.select(*stratum, col(obs_id).alias("obs_id"), clean(obs).alias("v")).unionByName(mocks.select(*stratum, F.lit(None).cast("string").alias("obs_id"), clean(mock).alias("v")))
-    rows = rows.where("v is not null")
-    w = Window.partitionBy(*stratum).orderBy(F.col("v").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    is_mock = F.col("obs_id").isNull().cast("long")
-    above = rows.withColumn("above", F.sum(is_mock).over(w))
-    totals = mocks.where(clean(mock).isNotNull()).groupBy(*stratum).agg(F.count("*").alias("n_mocks"))
-    return above.where("obs_id is not null").join(totals, stratum).select(*stratum, "obs_id", F.col("v").alias("statistic"), ((F.col("above") + 1) / (F.col("n_mocks") + 1)).alias("probability"), "n_mocks")
+    known = " and ".join(f"{s} is not null" for s in stratum) or "true"
+    v = clean(mock).alias("v")
+    by_value = mocks.select(*stratum, (-v).alias("down"), F.lit(1).alias("n_here")).unionByName(observed.select(*stratum, (-clean(obs)).alias("down"), F.lit(0).alias("n_here")))
+    by_value = materialize(by_value.where(f"down is not null and {known}").groupBy(*stratum, "down").agg(F.sum("n_here").alias("n_here")), "mock-counts")
+    ranked = prefix_sums(by_value, stratum, ["down"], "n_here").select(*stratum, "down", (F.col("before") + F.col("n_here")).alias("above"))
+    totals = by_value.groupBy(*stratum).agg(F.sum("n_here").alias("n_mocks")).where("n_mocks > 0")
+    rows = observed.select(*stratum, col(obs_id).alias("obs_id"), clean(obs).alias("statistic"), (-clean(obs)).alias("down")).join(ranked, [*stratum, "down"])
+    rows = rows.join(totals, stratum) if stratum else rows.crossJoin(F.broadcast(totals))  # one row if there is no stratum
+    return rows.select(*stratum, "obs_id", "statistic", ((F.col("above") + 1) / (F.col("n_mocks") + 1)).alias("probability"), "n_mocks")
 
 
 def recovery_probability(rows: DataFrame, stratum: Sequence[str], flag="recovered") -> DataFrame:

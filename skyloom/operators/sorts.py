@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, col
-from skyloom.sources.scratch import small_side
+from skyloom.operators.ranking import exact_percentiles, prefix_sums
+from skyloom.sources.scratch import materialize
 
 
 def brightest(image: DataFrame, keys: Sequence[str] = ("target_id", "arm"), value="value") -> DataFrame:
@@ -18,18 +19,15 @@ def brightest(image: DataFrame, keys: Sequence[str] = ("target_id", "arm"), valu
 
 
 def low_flux_selection(image: DataFrame, percent: float, at_most: int, keys: Sequence[str] = ("target_id", "arm"), value="value") -> DataFrame:
-    """Good pixels at or below a percentile, thinned evenly in row-major order to `at_most` per key.
-
-    Pixels of one image are ranked together; an image is bounded by its detector.
-    """
+    """Good pixels at or below a percentile, thinned evenly in row-major order to `at_most` per key."""
     keys = list(keys)
-    good = image.where("good").select(*keys, "y", "x", clean(value).alias("v"))
-    limits = good.groupBy(*keys).agg(F.percentile("v", F.lit(percent / 100)).alias("limit"))
-    rows = good.join(small_side(limits), keys) if keys else good.crossJoin(F.broadcast(limits))
-    rows = rows.where(F.col("limit").isNull() | (F.col("v") <= F.col("limit")))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x")) - 1)
+    good = materialize(image.where("good").select(*keys, "y", "x", clean(value).alias("v")), "low-flux")
+    limits = exact_percentiles(good, keys, "v", {"limit": percent / 100}).select(*keys, "limit")
+    rows = good.join(limits, keys) if keys else good.crossJoin(F.broadcast(limits))
+    rows = materialize(rows.where(F.col("limit").isNull() | (F.col("v") <= F.col("limit"))).withColumn("one", F.lit(1)), "low-flux")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    rows = rows.join(small_side(sizes), keys) if keys else rows.crossJoin(F.broadcast(sizes))
+    rows = prefix_sums(rows, keys, ["y", "x"], "one").withColumnRenamed("before", "nth")
+    rows = rows.join(sizes, keys) if keys else rows.crossJoin(F.broadcast(sizes))
     if at_most < 2:
         return rows.where(F.col("nth") < at_most).select(*keys, "y", "x", F.col("v").alias("value"))
     # position k of a linspace over 0 .. n - 1 falls on row nth for some k below at_most
@@ -85,15 +83,21 @@ def nearest_zero_pixel(spaxels: DataFrame, keys: Sequence[str] = ("target_id", "
 
 
 def example_bins(bins: DataFrame, flag: str, top: int = 8, keys: Sequence[str] = ("target_id", "arm")) -> DataFrame:
-    """The first ids with the flag, as one array per key."""
-    rows = bins.where(flag).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("bin_id"))).where(F.col("nth") <= top)
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin_id", "n_good", "sn"))).alias("examples"))
+    """The first ids with the flag, as one array per key; rows of one id stand in the order of their numbers.
+
+    Each task keeps the first `top` of what it reads, so at most `top` rows a key and task are shuffled.
+    """
+    keys = list(keys)
+    rows = bins.where(flag).select(*keys, F.struct("bin_id", "n_good", "sn").alias("row")).withColumn("task", F.spark_partition_id())
+    nth = F.row_number().over(Window.partitionBy(*keys, "task").orderBy("row"))
+    first = rows.withColumn("nth", nth).where(F.col("nth") <= top)  # a filter on ranks is pushed below the shuffle
+    return first.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("row")), 1, top).alias("examples"))
 
 
 def contiguous_ids(rows: DataFrame, keys: Sequence[str] = ("target_id",), value: str = "bin_id") -> DataFrame:
-    """(keys, value, new_id): distinct ids of each target numbered from 0."""
-    ids = rows.select(*keys, value).distinct()
-    return ids.withColumn("new_id", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1)
+    """(keys, value, new_id): distinct ids of each target numbered from 0; a target of any size is numbered by ranges."""
+    ids = materialize(rows.select(*keys, value).distinct().withColumn("one", F.lit(1)), "ids")
+    return prefix_sums(ids, keys, [value], "one").select(*keys, value, F.col("before").alias("new_id"))
 
 
 def top_messages(states: DataFrame, top: int = 5) -> DataFrame:
