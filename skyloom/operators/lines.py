@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import LIGHT_KM_S, clean, fwhm_to_sigma, quadrature_diff, quadrature_violation
 from skyloom.operators import aggregates as A
+from skyloom.operators import grids as G
 from skyloom.operators import joins as J
 from skyloom.operators import sorts as S
 from skyloom.operators import windows as W
@@ -134,6 +135,38 @@ def preflight(one_component: DataFrame, corners: DataFrame, expected: int = 4, k
     return rows.select(*keys, F.col("ok").alias("one_component"), "n_corners", (F.coalesce("ok", F.lit(False)) & (F.col("n_corners") >= expected)).alias("ready"))
 
 
+def coverage_preflight(
+    spectra: DataFrame, nodes: DataFrame, axes: DataFrame, bounds: tuple[float, float], fraction: DataFrame, keys: Sequence[str] = ("target_id", "bin_id")
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(verdict, single, corners): the fits of the bins that cover the extremes of each target, before any grid is run.
+
+    `spectra`: keys (the last of them bin_id), pix, flux, unc, good pixels only. Of each target the
+    bins that begin first, end last and span most are fitted with one component and at the four
+    velocity corners.
+    """
+    keys = list(keys)
+    picked = W.coverage_extremes(spectra.select(*keys, F.col("pix").alias("chan"), F.lit(True).alias("good")), keys[:-1])
+    some = materialize(spectra.join(picked, keys, "left_semi"), "preflight-spectra")
+    single, _ = G.single_fit(some, nodes, axes, bounds, keys)
+    corners = materialize(G.corner_states(some, nodes, axes, fraction, keys), "preflight-corners")
+    n = axes.agg(F.count_distinct("velocity").alias("n")).first()["n"]
+    verdict = preflight(single.select(*keys, F.col("success").alias("ok")), corners, 4 if n > 1 else 1, keys)
+    return materialize(verdict, "preflight"), single, corners
+
+
+def gated_grid(
+    spectra: DataFrame, nodes: DataFrame, axes: DataFrame, bounds: tuple[float, float], fractions: DataFrame, keys: Sequence[str] = ("target_id", "bin_id")
+) -> DataFrame:
+    """`two_component_grid` behind its preflight at the middle fraction: a bin that fails there is an error, and no grid is run."""
+    n = fractions.count()
+    middle = fractions.where(F.col("i_f") == n // 2)
+    verdict, _, _ = coverage_preflight(spectra, nodes, axes, bounds, middle, keys)
+    failed = verdict.where(~F.col("ready")).orderBy(*keys).limit(5).collect()
+    if failed:
+        raise RuntimeError("preflight failed for " + "; ".join(", ".join(f"{k} {r[k]}" for k in keys) + f" (single fit {r['one_component']}, {r['n_corners']} corners)" for r in failed))
+    return G.two_component_grid(spectra, nodes, fractions, keys)
+
+
 def optional_correlation(bins: DataFrame, correlation: DataFrame | None, keys: Sequence[str] = ("target_id", "arm")) -> DataFrame:
     """Adds lags, the correlation by lag as an array; NULL where there is no such product."""
     keys = list(keys)
