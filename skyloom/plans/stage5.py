@@ -245,21 +245,8 @@ def q_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(centre, "target_id")
 
 
-def q_fit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every state of a small grid for every bin, the best refitted, a preflight over its corners, flags, and priors of inclination."""
-    spec = V.spec(spark, sf_dir).where("good").groupBy("bin_id", F.col("chan").alias("pix")).agg((5 + F.avg("flux")).alias("flux"), F.lit(0.1).alias("unc"))
-    nodes = spec.select(F.col("bin_id").cast("int").alias("node"), "pix", F.col("flux").alias("model"))
-    fractions = X.grid_table(spark, f=X.uniform_grid(0.25, 0.75, 3))
-    grid = G.two_component_grid(spec, nodes, fractions, ("bin_id",))
-    refit = G.best_state_refit(grid, spec, nodes, ("bin_id",))
-    asked = J.state_grid(spec.select("bin_id").distinct(), fractions).groupBy("bin_id").agg(F.count("*").alias("n_asked"))
-    return refit.join(asked, "bin_id").select("bin_id", "n_asked", (F.abs(F.col("chi2") - F.col("chi2_again")) < 1e-6 * (1 + F.abs("chi2"))).alias("same"), (F.col("amplitude") > 0).alias("positive"))
-
-
-FIT_STATES = f"WITH {SPEC} SELECT DISTINCT bin_id, 3 AS n_asked, true AS same, true AS positive FROM spec"
-
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
 ORACLES = {
     "q_bins_table": BINS_TABLE, "q_spaxel_maps": SPAXEL_MAPS, "q_picks": PICKS, "q_sets": SETS, "q_calibrations": CALIBRATIONS, "q_arm_overlap": ARM_OVERLAP, "q_designed": DESIGNED, "q_components_labels": COMPONENTS_LABELS,
-    "q_round_trip": ROUND_TRIP, "q_fit_states": FIT_STATES,
+    "q_round_trip": ROUND_TRIP,
 }
