@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -114,33 +114,93 @@ def find_peaks(rows: DataFrame, distance: int, keys: Sequence[str], order: str =
     return picked.groupBy(*keys).applyInPandas(work, picked.schema)
 
 
+def gaussian_fits(u: np.ndarray, y: np.ndarray, ok: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Damped Gauss-Newton for many small fits at once: (parameters, residuals).
+
+    Each row of u, y and ok (which samples count) is one line; parameters are amplitude, centre,
+    sigma, level and slope, kept within low and high. A parameter at its bound rests while the
+    normal equations push it outwards. A step that does not lower the sum of squares is taken
+    back and the damping raised; a line is done when its steps no longer matter.
+    """
+
+    def model(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = (u - p[:, 1:2]) / p[:, 2:3]
+        return np.exp(-0.5 * z * z), z
+
+    def residual(p: np.ndarray, u: np.ndarray, y: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        e, _ = model(p, u)
+        return np.where(ok, y - p[:, 0:1] * e - p[:, 3:4] - p[:, 4:5] * u, 0.0)
+
+    p, damping, live = start.copy(), np.full(len(u), 1e-3), np.arange(len(u))
+    for _ in range(rounds):
+        if not len(live):
+            break
+        q, uu, yy, good = p[live], u[live], y[live], ok[live]
+        e, z = model(q, uu)
+        r = residual(q, uu, yy, good)
+        a, sigma = q[:, 0:1], q[:, 2:3]
+        slopes = np.stack([e, a * e * z / sigma, a * e * z * z / sigma, np.ones_like(uu), uu], axis=2) * good[:, :, None]
+        down = np.einsum("nmi,nm->ni", slopes, r)
+        rests = ((q <= low) & (down < 0)) | ((q >= high) & (down > 0))
+        slopes, down = slopes * ~rests[:, None, :], np.where(rests, 0.0, down)
+        normal = np.einsum("nmi,nmj->nij", slopes, slopes)
+        size = np.einsum("nii->ni", normal)
+        ridge = damping[live][:, None] * size + 1e-12 * (1 + size.max(axis=1, keepdims=True))
+        step = np.linalg.solve(normal + ridge[:, :, None] * np.eye(5), down[:, :, None])[:, :, 0]
+        trial = np.clip(q + step, low, high)
+        was, now = (r * r).sum(axis=1), (residual(trial, uu, yy, good) ** 2).sum(axis=1)
+        better = now <= was
+        p[live[better]] = trial[better]
+        damping[live] = np.where(better, np.maximum(damping[live] * 0.2, 1e-14), damping[live] * 10)
+        small = (np.abs(trial - q) <= 1e-11 * (1 + np.abs(q))).all(axis=1)
+        live = live[~(small | (damping[live] > 1e12))]
+    return p, residual(p, u, y, ok)
+
+
 def line_fit(peaks: DataFrame, pixels: DataFrame, half: int, keys: Sequence[str], order: str = "k", step: str = "step") -> DataFrame:
-    """Gaussian lines by weighted least squares of the log signal, a parabola in the offset from the peak.
+    """Gaussian lines on a sloping ground, by least squares over the samples within `half` of each peak.
 
-    `peaks`: keys, order; `pixels`: keys, order, wave, value, step. Background is the mean of the
-    two samples at either end. Adds centre, sigma, fwhm, amplitude; unphysical lines are dropped.
+    `peaks`: keys, order; `pixels`: keys, order, wave, value, step. A line needs seven samples and a peak
+    above the median of the two samples at either end. Adds centre, sigma, fwhm, amplitude and
+    chi_proxy, the mean squared residual over its robust scale; a width outside 0.25 to 20 steps
+    drops the line. A line's samples are one row, so all its rounds run where it lies.
     """
     keys = list(keys)
     near = peaks.select(*keys, F.col(order).alias("peak"), F.explode(F.sequence(F.col(order) - half, F.col(order) + half)).alias(order))
-    rows = near.join(pixels.select(*keys, order, "wave", "value", step), [*keys, order])
+    rows = near.join(pixels.select(*keys, order, "wave", "value", step), [*keys, order]).where(clean("wave").isNotNull())
     group = [*keys, "peak"]
-    edge = F.abs(F.col(order) - F.col("peak")) >= half - 1
-    ground = rows.groupBy(*group).agg(F.avg(F.when(edge, F.col("value"))).alias("ground"), F.count("*").alias("n"), F.max(F.when(F.col(order) == F.col("peak"), F.col("wave"))).alias("w0"), F.max(step).alias("step"))
-    rows = rows.drop(step).join(ground, group).withColumn("s", F.col("value") - F.col("ground"))
-    tops = rows.groupBy(*group).agg(F.max("s").alias("top"))
-    rows = rows.join(tops, group).where(F.col("s") > 0.2 * F.col("top"))
-    u, y, w = (F.col("wave") - F.col("w0")) / F.col("step"), F.log("s"), F.col("s") * F.col("s")
-    rows = rows.withColumns({"u": u, "yy": y, "w": w})
-    sums = rows.groupBy(*group, "w0", "step", "n").agg(*[F.sum(F.col("w") * F.pow("u", k)).alias(f"s{k}") for k in range(5)], *[F.sum(F.col("w") * F.col("yy") * F.pow("u", k)).alias(f"t{k}") for k in range(3)])
-    from skyloom.operators.aggregates import solve_normal
-
-    a, b, c = solve_normal(2)
-    fit = sums.select(*group, "w0", "step", "n", a.alias("a"), b.alias("b"), c.alias("c")).where("a < 0 and n >= 7")
-    sigma, shift = F.sqrt(-1.0 / (2.0 * F.col("a"))), -F.col("b") / (2.0 * F.col("a"))
-    fit = fit.withColumns({"sigma": sigma * F.col("step"), "shift": shift, "amplitude": F.exp(F.col("c") - F.col("b") * F.col("b") / (4.0 * F.col("a")))})
-    fwhm = F.col("sigma") * 2.3548200450309493
-    ok = F.col("sigma").between(0.15 * F.col("step"), 8 * F.col("step")) & (F.abs("shift") <= 1.5) & fwhm.between(0.25 * F.col("step"), 20 * F.col("step"))
-    return fit.where(ok).select(*group, (F.col("w0") + F.col("shift") * F.col("step")).alias("centre"), "sigma", fwhm.alias("fwhm"), "amplitude")
+    lines = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, "wave", "value"))).alias("w"), F.max(F.when(F.col(order) == F.col("peak"), F.col("wave"))).alias("w0"), F.max(step).alias("step"))
+    lines = lines.where((F.size("w") >= 7) & F.col("w0").isNotNull() & (F.col("step") > 0)).where(~F.exists("w", lambda x: clean(x["value"]).isNull()))
+    lines = lines.select(*group, "w0", "step", F.col("w.wave").alias("waves"), F.col("w.value").alias("values"))
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            n = f["values"].map(len).to_numpy()
+            ok = np.arange(n.max())[None, :] < n[:, None]
+            u, y = np.zeros(ok.shape), np.zeros(ok.shape)
+            u[ok], y[ok] = np.concatenate(f["waves"].to_list()), np.concatenate(f["values"].to_list())
+            w0, width = f["w0"].to_numpy(float), f["step"].to_numpy(float)
+            u = np.where(ok, (u - w0[:, None]) / width[:, None], 0.0)
+            ends = np.stack([y[:, 0], y[:, 1], y[np.arange(len(n)), n - 2], y[np.arange(len(n)), n - 1]], axis=1)
+            ground = np.median(ends, axis=1)
+            top = y[np.arange(len(n)), np.abs(np.where(ok, u, np.inf)).argmin(axis=1)] - ground
+            unit = np.where(top > 0, top, 1.0)
+            start = np.stack([np.ones(len(n)), np.zeros(len(n)), np.ones(len(n)), np.zeros(len(n)), np.zeros(len(n))], axis=1)
+            low, high = np.array([0.0, -1.5, 0.15, -np.inf, -np.inf]), np.array([np.inf, 1.5, 8.0, np.inf, np.inf])
+            p, r = gaussian_fits(u, (y - ground[:, None]) / unit[:, None], ok, start, low, high)
+            proxy = []
+            for row, good in zip(r, ok):
+                x = row[good]
+                scale = 1.4826 * np.median(np.abs(x - np.median(x))) or np.std(x)
+                proxy.append(float(np.mean((x / scale) ** 2)) if scale > 0 else None)
+            out = f[group].assign(centre=w0 + p[:, 1] * width, sigma=p[:, 2] * width, fwhm=p[:, 2] * width * 2.3548200450309493, amplitude=p[:, 0] * unit, chi_proxy=proxy)
+            found = p[:, 2] * 2.3548200450309493
+            yield out[(top > 0) & np.isfinite(p).all(axis=1) & (found >= 0.25) & (found <= 20.0)]
+
+    shape = ", ".join(f"`{k}` {dict(lines.dtypes)[k]}" for k in group)
+    return lines.mapInPandas(fit, f"{shape}, centre double, sigma double, fwhm double, amplitude double, chi_proxy double")
 
 
 def parabolic_peak(before, at, after) -> Column:

@@ -156,7 +156,7 @@ def q_arc_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.arc_spectra(arcs(spark, sf_dir), 3).select("slice_id", "position_bin", "k", r6("wave").alias("wave"), r6("value").alias("value"), r6("step").alias("step"))
 
 
-ARC_BINS = f"""WITH {SPEC}, w AS (SELECT chan AS y, spaxel AS x, bin_id AS slice_id, CAST(spaxel % 40 AS DOUBLE) AS pos, flux, wave + spaxel % 10 * 0.5::DOUBLE AS wave FROM spec),
+ARC = SPEC + """, w AS (SELECT chan AS y, spaxel AS x, bin_id AS slice_id, CAST(spaxel % 40 AS DOUBLE) AS pos, flux, wave + spaxel % 10 * 0.5::DOUBLE AS wave FROM spec),
     a AS (SELECT *, flux + 60 * exp(-0.5 * ((wave - 90 * round(wave / 90)) / 13) ** 2) AS arc FROM w), l AS (SELECT min(wave) AS lo, max(wave) AS hi FROM a),
     d AS (SELECT abs(wave - lag(wave) OVER (PARTITION BY x ORDER BY y)) AS dy, abs(wave - lag(wave) OVER (PARTITION BY y ORDER BY x)) AS dx FROM a),
     s AS (SELECT greatest(median(dy) FILTER (dy > 0), median(dx) FILTER (dx > 0)) AS step FROM d),
@@ -164,12 +164,13 @@ ARC_BINS = f"""WITH {SPEC}, w AS (SELECT chan AS y, spaxel AS x, bin_id AS slice
     p AS (SELECT a.*, step, lo, least(greatest(len(list_filter(e, lambda v: v <= pos)) - 1, 0), greatest(len(e) - 2, 0)) AS position_bin, CAST(floor((wave - lo) / step + 0.5) AS INT) AS k FROM a, l, s, e WHERE a.slice_id = e.slice_id),
     b AS (SELECT slice_id, position_bin, k, median(arc) AS v, count(*) AS n, any_value(lo) AS lo, any_value(step) AS step FROM p GROUP BY 1, 2, 3),
     c AS (SELECT *, sum(n) OVER g AS np, count(*) OVER g AS nb, lead(k) OVER o AS k2, lead(v) OVER o AS v2 FROM b WINDOW g AS (PARTITION BY slice_id, position_bin), o AS (PARTITION BY slice_id, position_bin ORDER BY k)),
-    f AS (SELECT *, unnest(range(k, coalesce(k2, k + 1))) AS kk FROM c WHERE np >= 20 AND nb >= 10)
-    SELECT slice_id, position_bin, CAST(kk AS INT) AS k, round(lo + kk * step, 6) AS wave, round(coalesce(v + (v2 - v) * (kk - k) / (k2 - k), v), 6) AS value, round(step, 6) AS step FROM f"""
+    f AS (SELECT *, unnest(range(k, coalesce(k2, k + 1))) AS kk FROM c WHERE np >= 20 AND nb >= 10),
+    arc AS (SELECT slice_id, position_bin, CAST(kk AS INT) AS k, lo + kk * step AS wave, coalesce(v + (v2 - v) * (kk - k) / (k2 - k), v) AS value, step FROM f)"""
+ARC_BINS = f"WITH {ARC} SELECT slice_id, position_bin, k, round(wave, 6) AS wave, round(value, 6) AS value, round(step, 6) AS step FROM arc"
 
 
 def q_arc_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The width of arc lines over wavelength and their scatter, by slice and position. No SQL: peaks are picked in order; tests use a frame of known width."""
+    """The width of arc lines over wavelength and their scatter, by slice and position. No SQL: peaks are picked in order; q_line_fits checks the fits, tests a frame of known width."""
     fit, lines, scatter = L.arc_widths(arcs(spark, sf_dir), half=4, distance=3, order=1)
     wide = scatter.groupBy("target_id", "arm").pivot("level", ["all", "first", "second", "pair"]).agg(F.first("rms"))
     counts = lines.groupBy("target_id", "arm").agg(F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.percentile("y", F.lit(0.5)).alias("median_fwhm"))

@@ -10,7 +10,9 @@ from skyloom.functions import scalar as X
 from skyloom.operators import grids as G
 from skyloom.operators import joins as J
 from skyloom.operators import lines as L
+from skyloom.operators import windows as W
 from skyloom.plans.stage2 import COADD, LINE, SPEC, spec_coadd
+from skyloom.plans.stage3 import ARC, arcs
 from skyloom.sources import views as V
 from skyloom.sources.scratch import materialize
 from skyloom.sources.views import r6
@@ -130,5 +132,29 @@ STAGE_FLAGS = f"""WITH {LINE}, b AS (SELECT linenumber, bin_id, avg(CASE WHEN ma
     SELECT linenumber, flag, n_bins, true AS described FROM (SELECT linenumber, 'RH3_FRACTION_CONSTRAINT_WARNING' AS flag, c1 AS n_bins FROM c UNION ALL SELECT linenumber, 'RH3_ONE_COMPONENT_FAILURES', c2 FROM c
     UNION ALL SELECT linenumber, 'RH3_GRID_FIT_FAILURES', c3 FROM c UNION ALL SELECT linenumber, 'RH3_SIGMA_BOUNDARY_STATES', c4 FROM c) WHERE n_bins > 0"""
 
+def q_line_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arc lines on a sloping ground fitted in every slice and position, at their known places."""
+    spectra = materialize(L.arc_spectra(arcs(spark, sf_dir), 3).withColumn("value", F.col("value") + 0.01 * F.col("wave")), "arc-spectra")
+    near = F.abs(F.col("wave") - 90.0 * F.round(F.col("wave") / 90.0)) < F.col("step") / 2
+    keys = ("slice_id", "position_bin")
+    fits = W.line_fit(spectra.where(near).select(*keys, "k"), spectra.select(*keys, "k", "wave", "value", "step"), 4, keys)
+    return fits.select(*keys, "peak", r6("centre", 3).alias("centre"), r6("sigma", 3).alias("sigma"), r6("fwhm", 2).alias("fwhm"), r6("amplitude", 2).alias("amplitude"))
+
+
+# each round looks at a grid of centres and widths around the best so far, amplitude and ground in closed form, and narrows it
+LINE_FITS = f"""WITH RECURSIVE {ARC}, sp AS (SELECT slice_id, position_bin, k, wave, value + 0.01 * wave AS value, step FROM arc),
+    pk AS (SELECT row_number() OVER (ORDER BY slice_id, position_bin, k) AS id, slice_id, position_bin, k AS peak, wave AS w0, step FROM sp WHERE abs(wave - 90 * round(wave / 90)) < step / 2),
+    x AS MATERIALIZED (SELECT id, (sp.wave - w0) / pk.step AS u, value AS y FROM pk JOIN sp USING (slice_id, position_bin) WHERE abs(sp.k - peak) <= 4),
+    big AS MATERIALIZED (SELECT id FROM x GROUP BY 1 HAVING count(*) >= 7),
+    z AS (SELECT id, 0 AS round, 0.0::DOUBLE AS mu, 2.15::DOUBLE AS sg, 1.0::DOUBLE AS half, 0.0::DOUBLE AS amp FROM big
+        UNION ALL SELECT id, round + 1, b.mu, b.sg, half * 0.4, b.amp FROM (
+            SELECT id, round, half, arg_min({{'mu': mu, 'sg': sg, 'amp': ey / ee}}, yy - ey * ey / ee) AS b FROM (
+                SELECT g.id, g.round, g.half, mu, sg, var_pop(y) - covar_pop(y, u) ** 2 / var_pop(u) AS yy, covar_pop(y, exp(-0.5 * ((u - mu) / sg) ** 2)) - covar_pop(y, u) * covar_pop(exp(-0.5 * ((u - mu) / sg) ** 2), u) / var_pop(u) AS ey,
+                    var_pop(exp(-0.5 * ((u - mu) / sg) ** 2)) - covar_pop(exp(-0.5 * ((u - mu) / sg) ** 2), u) ** 2 / var_pop(u) AS ee
+                FROM (SELECT z.id, z.round, z.half, greatest(-1.5, least(1.5, z.mu + 0.15 * z.half * i)) AS mu, greatest(0.15, least(8, z.sg + 0.2 * z.half * j)) AS sg FROM z, range(-10, 11) a(i), range(-10, 11) b(j) WHERE round < 24) g JOIN x ON x.id = g.id
+                GROUP BY ALL) WHERE ey > 0 GROUP BY ALL))
+    SELECT slice_id, position_bin, peak, round(w0 + mu * step, 3) AS centre, round(sg * step, 3) AS sigma, round(sg * step * 2.3548200450309493, 2) AS fwhm, round(amp, 2) AS amplitude
+    FROM z JOIN pk USING (id) WHERE round = 24 AND sg * 2.3548200450309493 BETWEEN 0.25 AND 20"""
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
-ORACLES = {"q_single_fit": SINGLE_FIT, "q_preflight": PREFLIGHT, "q_fit_states": FIT_STATES, "q_stage_flags": STAGE_FLAGS}
+ORACLES = {"q_single_fit": SINGLE_FIT, "q_preflight": PREFLIGHT, "q_fit_states": FIT_STATES, "q_stage_flags": STAGE_FLAGS, "q_line_fits": LINE_FITS}

@@ -33,6 +33,36 @@ def test_arc_widths(arc_frame):
     assert {round(r["x"]) for r in found} == {8407, 8414, 8421, 8428}
 
 
+def test_line_fits_on_a_steep_noisy_ground(spark):
+    """Widths within one percent, among samples of one and a half to eight steps of sigma, beside lines without a fit."""
+    rng, k = np.random.default_rng(8), np.arange(200)
+    rows, truth = [], {}
+    for g in range(40):
+        sigma, centre = rng.uniform(0.25, 0.9), 8420 + rng.uniform(-0.1, 0.1)
+        wave = 8400 + 0.2 * k
+        value = 900 - 35.0 * (wave - 8420) + 4000 * np.exp(-0.5 * ((wave - centre) / sigma) ** 2) + rng.normal(0, 4, len(k))
+        truth[g] = (sigma, centre)
+        rows += [(g, int(i), float(w), float(v), 0.2) for i, w, v in zip(k, wave, value)]
+    rows += [(100, int(i), 8400 + 0.2 * int(i), 5.0 - abs(int(i) - 100), 0.2) if i != 100 else (100, 100, 8420.0, -50.0, 0.2) for i in k]  # a dip
+    rows += [(101, i, 8400 + 0.2 * i, float(i == 2), 0.2) for i in range(6)]  # too short
+    pixels = spark.createDataFrame(rows, "g int, k int, wave double, value double, step double").repartition(4)
+    peaks = spark.createDataFrame([(g, 100 if g != 101 else 2) for g in [*truth, 100, 101]], "g int, k int")
+    found = {r["g"]: r for r in W.line_fit(peaks, pixels, 12, ("g",)).collect()}
+    assert set(found) == set(truth)
+    for g, (sigma, centre) in truth.items():
+        assert found[g]["sigma"] == pytest.approx(sigma, rel=0.01) and found[g]["centre"] == pytest.approx(centre, abs=0.01)
+        assert found[g]["amplitude"] == pytest.approx(4000, rel=0.02) and 0.3 < found[g]["chi_proxy"] < 3
+
+
+def test_gauss_newton_stops_at_its_bounds():
+    u = np.tile(np.arange(-6.0, 7.0), (3, 1))
+    y = np.stack([np.exp(-0.5 * ((u[0] - 2.4) / 2.0) ** 2), np.exp(-0.5 * (u[1] / 30) ** 2), -np.exp(-0.5 * (u[2] / 1.0) ** 2)])
+    low, high = np.array([0.0, -1.5, 0.15, -np.inf, -np.inf]), np.array([np.inf, 1.5, 8.0, np.inf, np.inf])
+    p, r = W.gaussian_fits(u, y, np.ones(u.shape, bool), np.tile([1.0, 0, 1, 0, 0], (3, 1)), low, high)
+    assert p[0, 1] == 1.5 and p[1, 2] == 8.0 and p[2, 0] == 0.0 and np.isfinite(r).all()
+    assert ((p >= low) & (p <= high)).all()
+
+
 def test_too_few_lines_are_an_error(arc_frame):
     with pytest.raises(Exception, match="arc lines"):
         L.arc_widths(arc_frame, n_positions=2, half=8, distance=10, order=1, min_lines=60)
