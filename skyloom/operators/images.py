@@ -1,7 +1,7 @@
 """Image operators: smoothing, significance, registration, components, apertures, adaptive bins.
 
-Neighbourhoods are joins with a small broadcast table of offsets; images themselves are
-never broadcast and never collected.
+Wide neighbourhoods are tiles with halos (`tiles`), narrow ones joins with a fixed table of
+offsets; images themselves are never broadcast and never collected.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean
-from skyloom.operators.aggregates import bin_capacity, mad_scale
+from skyloom.operators import tiles
+from skyloom.operators.aggregates import bin_capacity, mad_scale, weighted_centroid
 from skyloom.operators.joins import shift_pairs
+from skyloom.operators.ranking import exact_percentiles
 from skyloom.operators.sorts import brightest
 from skyloom.operators.windows import parabolic_peak
 from skyloom.sources.scratch import materialize, small_side
@@ -27,74 +29,59 @@ def gaussian_1d(sigma: float, radius: int) -> list[float]:
     return [v / sum(k) for v in k]
 
 
-def sized(image: DataFrame, keys: Sequence[str]) -> DataFrame:
-    size = image.groupBy(*keys).agg(F.max("y").alias("ymax"), F.max("x").alias("xmax"))  # one row per image
-    return image.join(small_side(size), list(keys)) if keys else image.crossJoin(F.broadcast(size))
-
-
 def smooth_image(image: DataFrame, sigma: float, keys: Sequence[str] = KEYS, value="value") -> DataFrame:
     """NULL-aware Gaussian, separable, edges held at the nearest pixel. The image has a row for every pixel."""
     keys = list(keys)
     v = clean(value)
     if sigma <= 0:
         return image.select(*keys, "y", "x", v.alias("smooth"))
-    radius = int(4 * sigma + 0.5)
-    kernel = F.broadcast(image.sparkSession.createDataFrame([(i - radius, w) for i, w in enumerate(gaussian_1d(sigma, radius))], "d int, w double"))
-    rows = sized(image.select(*keys, "y", "x", F.coalesce(v, F.lit(0.0)).alias("num"), v.isNotNull().cast("double").alias("den")), keys)
-    # each pixel asks for the clamped positions around it, first along y and then along x
-    for axis, top in (("y", "ymax"), ("x", "xmax")):
-        wanted = rows.select(*keys, "y", "x", "ymax", "xmax").crossJoin(kernel)
-        wanted = wanted.withColumn("at", F.least(F.col(top), F.greatest(F.lit(0), F.col(axis) + F.col("d"))))
-        other = "x" if axis == "y" else "y"
-        source = rows.select(*keys, F.col(axis).alias("at"), other, "num", "den")
-        rows = wanted.join(source, [*keys, "at", other]).groupBy(*keys, "y", "x", "ymax", "xmax").agg(F.sum(F.col("w") * F.col("num")).alias("num"), F.sum(F.col("w") * F.col("den")).alias("den"))
-    return rows.select(*keys, "y", "x", F.when(F.col("den") > 1e-12, F.col("num") / F.col("den")).alias("smooth"))
-
-
-def disk_kernel(spark: SparkSession, sigma: float) -> DataFrame:
-    radius = max(1, math.ceil(4 * sigma))
-    k = gaussian_1d(sigma, radius)
-    cells = [(i - radius, j - radius, a * b) for i, a in enumerate(k) for j, b in enumerate(k)]
-    return F.broadcast(spark.createDataFrame(cells, "dy int, dx int, w double"))
+    return tiles.smoothed(image, gaussian_1d(sigma, int(4 * sigma + 0.5)), keys, v)
 
 
 def smoothed_significance(image: DataFrame, sigma: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """sum k S / sqrt(sum k^2 N^2) over valid neighbours, for valid pixels. `image`: signal, noise, valid."""
     keys = list(keys)
-    valid = image.where(F.col("valid") & (clean("noise") > 0) & clean("signal").isNotNull()).select(*keys, "y", "x", "signal", "noise")
+    valid = image.where(F.col("valid") & (clean("noise") > 0) & clean("signal").isNotNull()).select(*keys, "y", "x", F.col("signal").cast("double").alias("signal"), F.col("noise").cast("double").alias("noise"))
     if sigma <= 0:
         return valid.select(*keys, "y", "x", (F.col("signal") / F.col("noise")).alias("significance"))
-    moved = valid.crossJoin(disk_kernel(image.sparkSession, sigma)).select(*keys, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "w", "signal", "noise")
-    sums = moved.groupBy(*keys, "y", "x").agg(F.sum(F.col("w") * F.col("signal")).alias("s"), F.sum(F.pow(F.col("w") * F.col("noise"), 2)).alias("v"), F.sum("w").alias("c"))
-    return valid.select(*keys, "y", "x").join(sums.where("c > 1e-6 and v > 0"), [*keys, "y", "x"]).select(*keys, "y", "x", (F.col("s") / F.sqrt("v")).alias("significance"))
+    return tiles.significance(valid, gaussian_1d(sigma, max(1, math.ceil(4 * sigma))), keys)
 
 
 def robust_normalize(image: DataFrame, keys: Sequence[str] = KEYS, value="value", least: int = 9) -> DataFrame:
     """Adds v = (value - median) / robust scale inside the mask, 0 outside; too few pixels or no scale is an error."""
     keys = list(keys)
     stats = mad_scale(image.where("mask"), keys, value, fallback_std=True)
-    rows = image.join(small_side(stats), keys) if keys else image.crossJoin(F.broadcast(stats))  # one row per image
+    rows = image.join(stats, keys) if keys else image.crossJoin(F.broadcast(stats))  # one row per image
     rows = rows.where(F.assert_true((F.col("n") >= least) & (F.col("scale") > 0), "too few pixels or no spread").isNull())
     return rows.withColumn("v", F.when(F.col("mask"), (clean(value) - F.col("median")) / F.col("scale")).otherwise(0.0)).drop("n", "median", "scale")
 
 
-def contrast_snr(image: DataFrame, sigma: float, keys: Sequence[str] = KEYS, value="value", least: int = 25) -> DataFrame:
-    """(P99 - median) / robust scale of the smoothed image, at least 0; NULL below `least` pixels."""
+def contrast_snr(image: DataFrame, sigma: float, keys: Sequence[str] = KEYS, value="value", least: int = 25, used: str | None = None) -> DataFrame:
+    """(P99 - median) / robust scale of the smoothed image, at least 0; NULL below `least` pixels.
+
+    The whole image is smoothed; `used` names the pixels that count, else all do.
+    """
     keys = list(keys)
     smooth = smooth_image(image, sigma, keys, value).where("smooth is not null")
+    if used:
+        smooth = smooth.join(image.where(used).select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
+    smooth = materialize(smooth, "contrast")
     stats = mad_scale(smooth, keys, "smooth", fallback_std=True)
-    tops = smooth.groupBy(*keys).agg(F.percentile("smooth", F.lit(0.99)).alias("p99"))
+    tops = exact_percentiles(smooth, keys, "smooth", {"p99": 0.99}).select(*keys, "p99")
     rows = stats.join(tops, keys) if keys else stats.crossJoin(F.broadcast(tops))
     snr = F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("p99") - F.col("median"), F.col("scale")), F.lit(0.0)))
     return rows.select(*keys, F.when(F.col("n") >= least, snr).alias("contrast"), "n")
 
 
 def registration_shift(a: DataFrame, b: DataFrame, max_shift: int, keys: Sequence[str] = ("target_id",)) -> DataFrame:
-    """The shift of b against a that correlates best, refined by parabolas. Images: keys, y, x, v (normalised)."""
+    """The shift of b against a that correlates best, refined by parabolas. Images: keys, y, x, v (normalised).
+
+    A shift counts with more than nine pairs and a tenth of those at no shift, which may be none.
+    """
     keys = list(keys)
     pairs = shift_pairs(a, b, max_shift, max_shift, keys)
-    zero = pairs.where("ly = 0 and lx = 0").select(*keys, F.col("n").alias("n0"))
-    joined = pairs.join(F.broadcast(zero), keys) if keys else pairs.crossJoin(F.broadcast(zero))
+    at_zero = pairs.groupBy(*keys).agg(F.max(F.when((F.col("ly") == 0) & (F.col("lx") == 0), F.col("n")).otherwise(0)).alias("n0"))
+    joined = pairs.join(at_zero, keys) if keys else pairs.crossJoin(F.broadcast(at_zero))  # one row if there is no key
     corr = joined.where(F.col("n") > F.greatest(F.lit(9.0), 0.1 * F.col("n0"))).withColumn("c", F.col("s") / F.col("n"))
     w = Window.partitionBy(*keys, "lx").orderBy("ly")
     u = Window.partitionBy(*keys, "ly").orderBy("lx")
@@ -103,24 +90,70 @@ def registration_shift(a: DataFrame, b: DataFrame, max_shift: int, keys: Sequenc
     return corr.groupBy(*keys).agg(best).select(*keys, (-F.col("b.ny")).alias("ly"), (-F.col("b.nx")).alias("lx"), (F.col("b.fy") - F.col("b.ny")).alias("dy"), (F.col("b.fx") - F.col("b.nx")).alias("dx"), F.col("b.c").alias("correlation"), F.col("b.n").alias("n"))
 
 
-def register_pair(a: DataFrame, b: DataFrame, max_shift: int, *, contrast: float = 5.0, sigma: float = 1.0, keys: Sequence[str] = ("target_id",)) -> DataFrame:
-    """Shift with a verdict: both images need contrast, and a shift near the limit is inconclusive. Images: value, mask."""
+def shared_pixels(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, y, x, va, vb, used): all pixels of both images; used where both have a mask and a finite value."""
+    side = lambda d, n: d.select(*keys, "y", "x", F.when(F.col("mask"), clean("value")).alias(f"v{n}"))
+    both = side(a, "a").join(side(b, "b"), [*keys, "y", "x"], "full")
+    return both.withColumn("used", F.col("va").isNotNull() & F.col("vb").isNotNull())
+
+
+def difference_image(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("target_id",)) -> DataFrame:
+    """(keys, y, x, difference) of both images, each over its own robust scale, where both have pixels. Images: value, mask."""
+    keys = list(keys)
+    used = shared_pixels(a, b, keys).where("used").withColumn("mask", F.lit(True))
+    left = robust_normalize(used, keys, "va").withColumnRenamed("v", "na")
+    both = robust_normalize(left, keys, "vb")
+    return both.select(*keys, "y", "x", (F.col("na") - F.col("v")).alias("difference"))
+
+
+def register_pair(a: DataFrame, b: DataFrame, max_shift: int, *, contrast: float = 5.0, sigma: float = 1.0, margin: float = 0.75, keys: Sequence[str] = ("target_id",)) -> DataFrame:
+    """Shift with a verdict, over the pixels that both images have. Images: value, mask.
+
+    Both images need contrast there; a shift near the limit is inconclusive. overlap_fraction is
+    the share of a's pixels that are used, rms_difference that of the difference image.
+    Every image of a has a row, whatever is left of it.
+    """
     keys = list(keys)
-    ca, cb = (contrast_snr(d.where("mask"), sigma, keys).select(*keys, F.col("contrast").alias(n)) for d, n in ((a, "contrast_a"), (b, "contrast_b")))
-    na, nb = (robust_normalize(d, keys).where("mask") for d in (a, b))
-    found = registration_shift(na, nb, max_shift, keys)
-    rows = ca.join(cb, keys).join(found, keys, "left") if keys else ca.crossJoin(cb).crossJoin(found)
+    both = materialize(shared_pixels(a, b, keys), "registration")
+    used = both.where("used").withColumn("mask", F.lit(True))
+    sizes = both.groupBy(*keys).agg(F.count_if("used").alias("n_used"), F.count("va").alias("n_a")).where("n_a > 0")
+    rows = sizes.select(*keys, "n_used", (F.col("n_used") / F.col("n_a")).alias("overlap_fraction"))
+    enough = used.join(sizes.where("n_used >= 9").select(*keys), keys, "left_semi") if keys else used
+    for name in ("a", "b"):
+        found = contrast_snr(both, sigma, keys, f"v{name}", used="used").select(*keys, F.col("contrast").alias(f"contrast_{name}"))
+        rows = rows.join(found, keys, "left") if keys else rows.join(found, how="left")
+    na, nb = (robust_normalize(enough, keys, f"v{name}").select(*keys, "y", "x", "v") for name in ("a", "b"))
+    shift = registration_shift(na, nb, max_shift, keys)
+    pixel = [*keys, "y", "x"]
+    apart = na.withColumnRenamed("v", "na").join(nb, pixel).groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col("na") - F.col("v"), 2))).alias("rms_difference"))
+    for found in (shift, apart):
+        rows = rows.join(found, keys, "left") if keys else rows.join(found, how="left")
     low = F.coalesce(F.least("contrast_a", "contrast_b"), F.lit(0.0)) < contrast
-    edge = F.greatest(F.abs("dy"), F.abs("dx")) > max_shift - 0.75
-    reason = F.when(low, "low contrast").when(F.col("dy").isNull(), "no overlap").when(edge, "shift at the limit").otherwise("ok")
+    edge = F.greatest(F.abs("dy"), F.abs("dx")) >= max_shift - margin
+    reason = F.when(F.col("n_used") == 0, "no overlap").when(low, "low contrast").when(F.col("dy").isNull(), "no shift").when(edge, "shift at the limit").otherwise("ok")
     valid = reason == "ok"
-    return rows.select(*keys, "contrast_a", "contrast_b", F.when(valid, F.col("dy")).alias("dy"), F.when(valid, F.col("dx")).alias("dx"), valid.alias("valid"), reason.alias("reason"))
+    shown = [F.when(valid, F.col(c)).alias(c) for c in ("dy", "dx")]
+    return rows.select(*keys, "contrast_a", "contrast_b", *shown, "correlation", "overlap_fraction", "rms_difference", valid.alias("valid"), reason.alias("reason"))
 
 
 def center_estimate(image: DataFrame, sigma: float, keys: Sequence[str] = KEYS) -> DataFrame:
     return brightest(smooth_image(image, sigma, keys), keys, "smooth")
 
 
+def center_agreement(image: DataFrame, sigma: float, limit: float, keys: Sequence[str] = KEYS, min_percentile: float = 0.9) -> DataFrame:
+    """The image's centre as the peak of the smoothed image, with the flux-weighted centroid beside it.
+
+    separation is the distance of the two, warn where it is beyond the limit or there is no centroid.
+    """
+    keys = list(keys)
+    smooth = materialize(smooth_image(image, sigma, keys), "centre")
+    peak = brightest(smooth, keys, "smooth").withColumnRenamed("value", "top")
+    centroid = weighted_centroid(smooth, keys, min_percentile, "smooth").select(*keys, F.col("y").alias("cy"), F.col("x").alias("cx"), F.col("n").alias("n_bright"))
+    rows = peak.join(centroid, keys, "left") if keys else peak.join(centroid, how="left")
+    separation = F.hypot(F.col("cy") - F.col("y"), F.col("cx") - F.col("x"))
+    return rows.select(*keys, "y", "x", "top", "cy", "cx", "n_bright", separation.alias("separation"), F.coalesce(separation > limit, F.lit(True)).alias("warn"))
+
+
 def connected_components(pixels: DataFrame, keys: Sequence[str] = KEYS, width: int = 1 << 20, max_rounds: int = 64) -> DataFrame:
     """4-connected components of the given pixels: adds label, the least row-major pixel number of the component.
 

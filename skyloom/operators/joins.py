@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, clean_token, frame_of, medium_of, pixel_scale, pixel_to_world, sky_separation, world_to_pixel
 from skyloom.operators.filters import valid_sample
+from skyloom.operators.tiles import correlation_sums
 from skyloom.sources.scratch import small_side
 
 WCS_COLUMNS = ("crval1", "crval2", "crpix1", "crpix2", "cd11", "cd12", "cd21", "cd22")
@@ -189,15 +190,7 @@ def scan_windows(
 
 def shift_pairs(a: DataFrame, b: DataFrame, max_dy: int, max_dx: int, keys: Sequence[str] = ("target_id",)) -> DataFrame:
     """sum a[k] * b[k - L] and the number of pairs for every integer shift L in the window. Images: keys, y, x, v."""
-    keys = list(keys)
-    lags = F.broadcast(grid_of_lags(a.sparkSession, max_dy, max_dx))
-    moved = b.select(*keys, "y", "x", F.col("v").alias("vb")).crossJoin(lags).select(*keys, (F.col("y") + F.col("ly")).alias("y"), (F.col("x") + F.col("lx")).alias("x"), "ly", "lx", "vb")
-    return a.select(*keys, "y", "x", F.col("v").alias("va")).join(moved, [*keys, "y", "x"]).groupBy(*keys, "ly", "lx").agg(F.sum(F.col("va") * F.col("vb")).alias("s"), F.count("*").alias("n"))
-
-
-def grid_of_lags(spark: SparkSession, max_dy: int, max_dx: int) -> DataFrame:
-    y = spark.range(-max_dy, max_dy + 1).select(F.col("id").cast("int").alias("ly"))
-    return y.select("ly", F.explode(F.sequence(F.lit(-max_dx), F.lit(max_dx))).alias("lx"))
+    return correlation_sums(a, b, max_dy, max_dx, keys)
 
 
 def lag_pairs(residuals: DataFrame, max_lag: int, keys: Sequence[str], row: str = "spaxel") -> DataFrame:

@@ -236,15 +236,6 @@ ROUND_TRIP = f"""WITH {SPEC}, c AS (SELECT chan, 1 - avg(CASE WHEN good THEN 1.0
     UNION ALL SELECT 'extensions', count(*) FILTER (NOT good AND chan % 2 = 0), round(sum(var), 3) FROM spec UNION ALL SELECT 'arc', count(*), round(sum(flux + spaxel % 50 + chan), 3) FROM spec"""
 
 
-def q_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two images' contrasts, their registration with its verdict, and the centre of the smoothed image."""
-    img = V.image(spark, sf_dir).withColumn("mask", F.col("value").isNotNull()).select("target_id", "y", "x", "value", "mask")
-    other = img.withColumn("x", F.col("x") + 1).where("x < 50")
-    found = I.register_pair(img, other, 2, contrast=0.5, keys=("target_id",)).select("target_id", r6("contrast_a").alias("contrast_a"), r6("dy", 4).alias("dy"), r6("dx", 4).alias("dx"), "valid", "reason")
-    centre = I.center_estimate(img, 1.0, ("target_id",)).select("target_id", "y", "x", r6("value", 4).alias("top"))
-    return found.join(centre, "target_id")
-
-
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
 ORACLES = {
     "q_bins_table": BINS_TABLE, "q_spaxel_maps": SPAXEL_MAPS, "q_picks": PICKS, "q_sets": SETS, "q_calibrations": CALIBRATIONS, "q_arm_overlap": ARM_OVERLAP, "q_designed": DESIGNED, "q_components_labels": COMPONENTS_LABELS,

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from skyloom.functions import flags as Q
 from skyloom.functions import scalar as X
 from skyloom.operators import grids as G
+from skyloom.operators import images as I
 from skyloom.operators import joins as J
 from skyloom.operators import lines as L
 from skyloom.operators import windows as W
-from skyloom.plans.stage2 import COADD, LINE, SPEC, spec_coadd
+from skyloom.plans.stage1 import K1
+from skyloom.plans.stage2 import COADD, IMG, LINE, SPEC, spec_coadd
 from skyloom.plans.stage3 import ARC, arcs
 from skyloom.sources import views as V
 from skyloom.sources.scratch import materialize
@@ -156,5 +158,49 @@ LINE_FITS = f"""WITH RECURSIVE {ARC}, sp AS (SELECT slice_id, position_bin, k, w
     SELECT slice_id, position_bin, peak, round(w0 + mu * step, 3) AS centre, round(sg * step, 3) AS sigma, round(sg * step * 2.3548200450309493, 2) AS fwhm, round(amp, 2) AS amplitude
     FROM z JOIN pk USING (id) WHERE round = 24 AND sg * 2.3548200450309493 BETWEEN 0.25 AND 20"""
 
+def q_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image against itself moved by two rows and a column: contrasts, shift, overlap, difference, and the centre with its verdict."""
+    img = V.image(spark, sf_dir).withColumn("mask", F.col("value") > -900).select("target_id", "y", "x", "value", "mask")
+    moved = img.withColumns({"y": F.col("y") + 2, "x": F.col("x") + 1}).where("x < 50")
+    keys = ("target_id",)
+    found = I.register_pair(img, moved, 4, contrast=0.5, keys=keys)
+    apart = I.difference_image(img, moved, keys).groupBy(*keys).agg(F.sum("difference").alias("sum_difference"), F.count("*").alias("n_difference"))
+    centre = I.center_agreement(img, 1.0, 5.0, keys)
+    names = ("contrast_a", "contrast_b", "correlation", "overlap_fraction", "rms_difference")
+    shown = [r6(c).alias(c) for c in names] + [r6(c, 4).alias(c) for c in ("dy", "dx", "top", "cy", "cx", "separation", "sum_difference")]
+    return found.join(apart, "target_id").join(centre, "target_id").select("target_id", *shown, "valid", "reason", "n_difference", "y", "x", "n_bright", "warn")
+
+
+def smooth_sql(table: str, value: str, name: str) -> str:
+    """CTEs that end in `name` (y, x, sm): the value smoothed with the kernel k over all rows of the table, edges held."""
+    ends = f"(SELECT max(y) AS ym, max(x) AS xm FROM {table})"
+    return f"""{name}0 AS (SELECT y, x, coalesce({value}, 0) AS num, CASE WHEN {value} IS NULL THEN 0 ELSE 1.0 END AS den FROM {table}),
+    {name}1 AS (SELECT a.y, a.x, sum(w * b.num) AS num, sum(w * b.den) AS den FROM {name}0 a, {ends} m, k JOIN {name}0 b ON b.y = least(ym, greatest(0, a.y + d)) AND b.x = a.x GROUP BY 1, 2),
+    {name}2 AS (SELECT a.y, a.x, sum(w * b.num) AS num, sum(w * b.den) AS den FROM {name}1 a, {ends} m, k JOIN {name}1 b ON b.x = least(xm, greatest(0, a.x + d)) AND b.y = a.y GROUP BY 1, 2),
+    {name} AS (SELECT y, x, num / den AS sm FROM {name}2 WHERE den > 1e-12)"""
+
+
+def contrast_sql(smooth: str, name: str) -> str:
+    return f"""{name}0 AS (SELECT sm, median(sm) OVER () AS md FROM {smooth} SEMI JOIN used USING (y, x)),
+    {name} AS (SELECT greatest(0, (quantile_cont(sm, 0.99) - any_value(md)) / (1.4826 * median(abs(sm - md)))) AS contrast FROM {name}0)"""
+
+
+REGISTER = f"""WITH {IMG}, {K1}, ia AS (SELECT y, x, CASE WHEN value > -900 THEN value END AS v FROM img), ib AS (SELECT y + 2 AS y, x + 1 AS x, v FROM ia WHERE x + 1 < 50),
+    ab AS (SELECT y, x, ia.v AS va, ib.v AS vb FROM ia FULL JOIN ib USING (y, x)), used AS (SELECT * FROM ab WHERE va IS NOT NULL AND vb IS NOT NULL),
+    {smooth_sql("ab", "va", "sa")}, {smooth_sql("ab", "vb", "sb")}, {contrast_sql("sa", "ca")}, {contrast_sql("sb", "cb")},
+    md AS (SELECT y, x, va, vb, median(va) OVER () AS ma, median(vb) OVER () AS mb FROM used), sc AS (SELECT 1.4826 * median(abs(va - ma)) AS ka, 1.4826 * median(abs(vb - mb)) AS kb FROM md),
+    n AS (SELECT y, x, (va - ma) / ka AS a, (vb - mb) / kb AS b FROM md, sc), l AS (SELECT i - 4 AS ly, j - 4 AS lx FROM range(0, 9) r(i), range(0, 9) q(j)),
+    p AS (SELECT ly, lx, sum(u.a * v.b) / count(*) AS c, count(*) AS n FROM l, n v JOIN n u ON u.y = v.y + ly AND u.x = v.x + lx GROUP BY 1, 2),
+    cc AS (SELECT * FROM p WHERE n > greatest(9, 0.1 * (SELECT n FROM p WHERE ly = 0 AND lx = 0))),
+    e AS (SELECT *, lag(c) OVER (PARTITION BY lx ORDER BY ly) AS y0, lead(c) OVER (PARTITION BY lx ORDER BY ly) AS y1, lag(c) OVER (PARTITION BY ly ORDER BY lx) AS x0, lead(c) OVER (PARTITION BY ly ORDER BY lx) AS x1 FROM cc),
+    best AS (SELECT c, ly + CASE WHEN y0 IS NULL OR y1 IS NULL THEN 0 ELSE greatest(-1.0, least(1.0, 0.5 * (y0 - y1) / (y0 - 2 * c + y1))) END AS dy, lx + CASE WHEN x0 IS NULL OR x1 IS NULL THEN 0 ELSE greatest(-1.0, least(1.0, 0.5 * (x0 - x1) / (x0 - 2 * c + x1))) END AS dx
+        FROM e ORDER BY c DESC, ly, lx LIMIT 1),
+    df AS (SELECT sqrt(avg((a - b) ** 2)) AS rms, sum(a - b) AS total, count(*) AS n FROM n), o AS (SELECT count(*) FILTER (va IS NOT NULL AND vb IS NOT NULL) / count(va) AS part FROM ab),
+    {smooth_sql("img", "value", "si")}, top AS (SELECT y, x, sm FROM si ORDER BY sm DESC, y, x LIMIT 1), lim AS (SELECT quantile_cont(sm, 0.9) AS lim FROM si WHERE sm > 0),
+    ct AS (SELECT sum(sm * y) / sum(sm) AS cy, sum(sm * x) / sum(sm) AS cx, count(*) AS n_bright FROM si, lim WHERE sm >= lim)
+    SELECT 'demo' AS target_id, round(ca.contrast, 6) AS contrast_a, round(cb.contrast, 6) AS contrast_b, round(best.c, 6) AS correlation, round(part, 6) AS overlap_fraction, round(rms, 6) AS rms_difference, round(best.dy, 4) AS dy, round(best.dx, 4) AS dx,
+        round(top.sm, 4) AS top, round(cy, 4) AS cy, round(cx, 4) AS cx, round(sqrt((cy - top.y) ** 2 + (cx - top.x) ** 2), 4) AS separation, round(total, 4) AS sum_difference, true AS valid, 'ok' AS reason, df.n AS n_difference, top.y AS y, top.x AS x, n_bright,
+        sqrt((cy - top.y) ** 2 + (cx - top.x) ** 2) > 5 AS warn FROM ca, cb, best, df, o, top, ct"""
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
-ORACLES = {"q_single_fit": SINGLE_FIT, "q_preflight": PREFLIGHT, "q_fit_states": FIT_STATES, "q_stage_flags": STAGE_FLAGS, "q_line_fits": LINE_FITS}
+ORACLES = {"q_single_fit": SINGLE_FIT, "q_preflight": PREFLIGHT, "q_fit_states": FIT_STATES, "q_stage_flags": STAGE_FLAGS, "q_line_fits": LINE_FITS, "q_register": REGISTER}

@@ -15,6 +15,7 @@ from skyloom.operators import images as I
 from skyloom.operators import joins as J
 from skyloom.operators import sampling as P
 from skyloom.operators import sorts as S
+from skyloom.operators import tiles
 from skyloom.operators import windows as W
 
 K = ("target_id", "arm")
@@ -106,6 +107,59 @@ def test_registration_finds_a_shift(spark):
     assert r["valid"] and abs(r["dy"] + 2) < 0.6 and abs(r["dx"] - 1) < 0.6
 
 
+def test_registration_of_images_that_overlap_only_when_shifted(spark):
+    yy, xx = np.mgrid[0:30, 0:8]
+    values = np.random.default_rng(6).normal(size=(30, 8))
+    rows = lambda t, dy: [(t, int(y + dy), int(x), float(v)) for y, x, v in zip(yy.ravel(), xx.ravel(), values.ravel())]
+    left = [r for r in rows("t", 0) if r[1] < 14]
+    right = [(t, y - 14, x, v) for t, y, x, v in rows("t", 14) if y - 14 < 14]
+    apart = [(t, y + 14, x, v) for t, y, x, v in right]  # the same values, 14 rows further: no pixel in common
+    a, b = (frame(spark, r + rows("u", d), "target_id string, y int, x int, v double") for r, d in ((left, 0), (apart, 1)))
+    found = {r["target_id"]: r for r in I.registration_shift(a, b, 15).collect()}
+    assert (found["t"]["ly"], found["t"]["lx"], found["t"]["n"]) == (-14, 0, 112) and (found["u"]["ly"], found["u"]["lx"]) == (-1, 0)
+    whole = lambda d: d.withColumnRenamed("v", "value").withColumn("mask", F.lit(True))
+    kept = {r["target_id"]: r for r in I.register_pair(whole(a), whole(b), 4, contrast=0.1).collect()}
+    assert kept["t"]["reason"] == "no overlap" and not kept["t"]["valid"] and kept["t"]["overlap_fraction"] == 0
+    assert kept["u"]["valid"] and abs(kept["u"]["dy"] + 1) < 0.5 and kept["u"]["overlap_fraction"] == pytest.approx(29 / 30)
+
+
+@pytest.mark.parametrize("side", [7, 16])
+def test_tiles_do_not_show(spark, monkeypatch, side):
+    """Smoothing, significance and correlation of images that span several tiles, against whole arrays."""
+    rng = np.random.default_rng(9)
+    v = np.where(rng.random((40, 33)) < 0.15, np.nan, rng.normal(size=(40, 33)))
+    gone = {(3, 4), (20, 20), (39, 32)}  # pixels without a row
+    rows = [("t", "a", y, x, None if np.isnan(v[y, x]) else float(v[y, x])) for y in range(40) for x in range(33) if (y, x) not in gone]
+    img = frame(spark, rows, "target_id string, arm string, y int, x int, value double")
+    patched = tiles.over_tiles
+    monkeypatch.setattr(tiles, "over_tiles", lambda *args, tile=side, **more: patched(*args, tile=tile, **more))
+    k = np.array(I.gaussian_1d(1.0, 4))
+    num, den = np.nan_to_num(v), (~np.isnan(v)).astype(float)
+    have = np.ones(v.shape, bool)
+    for p in gone:
+        have[p], num[p], den[p] = False, 0, 0
+    for axis, n in ((0, 40), (1, 33)):
+        at = np.clip(np.arange(n)[:, None] + np.arange(-4, 5), 0, n - 1)
+        num, den = (np.where(have, np.moveaxis(np.take(z, at, axis=axis) if axis else z[at], axis + 1, -1) @ k, 0) for z in (num, den))
+    got = {(r["y"], r["x"]): r["smooth"] for r in I.smooth_image(img, 1.0).collect()}
+    assert set(got) == {(y, x) for y, x in np.argwhere(have)} and all(got[y, x] == pytest.approx(num[y, x] / den[y, x]) for y, x in got)
+    ok = have & ~np.isnan(v)
+    s = {(int(y), int(x)): float(v[y, x]) for y, x in np.argwhere(ok)}
+    signal = img.selectExpr("target_id", "arm", "y", "x", "value signal", "1.5D noise", "value is not null valid")
+    found = {(r["y"], r["x"]): r["significance"] for r in I.smoothed_significance(signal, 1.0).collect()}
+    assert set(found) == set(s)
+    for y, x in list(s)[::37]:
+        near = [(k[dy + 4] * k[dx + 4], s[y + dy, x + dx]) for dy in range(-4, 5) for dx in range(-4, 5) if (y + dy, x + dx) in s]
+        assert found[y, x] == pytest.approx(sum(w * z for w, z in near) / math.sqrt(sum((1.5 * w) ** 2 for w, _ in near)))
+    a, b = ({p: z for p, z in s.items() if (p[0] + p[1]) % m} for m in (5, 3))
+    as_rows = lambda d: frame(spark, [("t", y, x, z) for (y, x), z in d.items()], "target_id string, y int, x int, v double")
+    sums = {(r["ly"], r["lx"]): (r["s"], r["n"]) for r in J.shift_pairs(as_rows(a), as_rows(b), 2, 3).collect()}
+    for (ly, lx), (total, n) in sums.items():
+        pairs = [a[y + ly, x + lx] * z for (y, x), z in b.items() if (y + ly, x + lx) in a]
+        assert n == len(pairs) and total == pytest.approx(sum(pairs))
+    assert len(sums) == 35
+
+
 def test_transfer_identity(spark):
     members = frame(spark, [("t", y, x, (y * 5 + x) % 3) for y in range(5) for x in range(5)], "target_id string, y int, x int, bin_id int")
     wcs = frame(spark, [("t", 150.0, 2.0, 1.0, 1.0, -0.3 / 3600, 0.0, 0.0, 0.3 / 3600)], "target_id string, crval1 double, crval2 double, crpix1 double, crpix2 double, cd11 double, cd12 double, cd21 double, cd22 double")
