@@ -12,7 +12,7 @@ from skyloom.operators import aggregates as A
 from skyloom.operators import sampling as P
 from skyloom.operators import sorts as S
 from skyloom.operators.grids import AXES, basins
-from skyloom.sources.scratch import small_side
+from skyloom.sources.scratch import materialize, small_side
 
 BIN = ("target_id", "bin_id")
 
@@ -173,19 +173,32 @@ def radial_profile(points: DataFrame, space: float, pa: float, incl: float, keys
     return A.group_interval(points.withColumn("ring", F.floor(r / space).cast("int")), [*keys, "ring"], value)
 
 
+def match_basins(coarse: DataFrame, fine: DataFrame, factor: int, keys: Sequence[str] = BIN, axes: Sequence[str] = AXES) -> DataFrame:
+    """(keys, c_<axis>, f_<axis>, n, matched): coarse and fine minima whose basins share cells, and how many fine cells they share.
+
+    A fine cell lies in the coarse cell `factor` times as wide, and so in its basin. A pair is
+    matched where each minimum is the other's largest partner; ties go to the lower minimum in grid order.
+    """
+    keys = list(keys)
+    a = basins(coarse, keys, axes).select(*keys, *axes, *[F.col(f"m_{x}").alias(f"c_{x}") for x in axes])
+    b = basins(fine, keys, axes).select(*keys, *[F.floor(F.col(x) / factor).cast("int").alias(x) for x in axes], *[F.col(f"m_{x}").alias(f"f_{x}") for x in axes])
+    c, f = [f"c_{x}" for x in axes], [f"f_{x}" for x in axes]
+    shared = materialize(a.join(b, [*keys, *axes]).groupBy(*keys, *c, *f).agg(F.count("*").alias("n")), "shared-basins")
+    best = lambda own, other: shared.groupBy(*keys, *own).agg(F.min(F.struct((-F.col("n")).alias("n"), *other)).alias("b")).select(*keys, *own, *[F.col(f"b.{x}").alias(x) for x in other])
+    mutual = best(c, f).join(best(f, c), [*keys, *c, *f]).withColumn("matched", F.lit(True))
+    return shared.join(mutual, [*keys, *c, *f], "left").fillna(False, ["matched"])
+
+
 def grid_resolution_compare(coarse: DataFrame, fine: DataFrame, factor: int, keys: Sequence[str] = BIN, axes: Sequence[str] = AXES) -> DataFrame:
-    """Per key the number of basins on both grids, and of coarse minima whose fine minimum is within one coarse cell."""
+    """Per key: basins on both grids, how many are matched, coarse basins over several fine ones, and the share of cells in matched basins."""
     keys = list(keys)
-    a, b = basins(coarse, keys, axes), basins(fine, keys, axes)
-    ends = [f"m_{x}" for x in axes]
-    ca, cb = a.select(*keys, *ends).distinct(), b.select(*keys, *ends).distinct()
-    inside = b.select(*keys, *[F.floor(F.col(x) / factor).cast("int").alias(f"m_{x}") for x in axes], *[F.floor(F.col(e) / factor).cast("int").alias(f"f_{e}") for e in ends])
-    near = F.lit(True)
-    for e in ends:
-        near = near & (F.abs(F.col(e) - F.col(f"f_{e}")) <= 1)
-    same = ca.join(inside, [*keys, *ends]).where(near).select(*keys, *ends).distinct()
-    count = lambda d, n: d.groupBy(*keys).agg(F.count("*").alias(n))
-    return count(ca, "n_coarse").join(count(cb, "n_fine"), keys).join(count(same, "n_same"), keys, "left").fillna(0, ["n_same"])
+    pairs = match_basins(coarse, fine, factor, keys, axes)
+    c, f = F.struct(*[f"c_{x}" for x in axes]), F.struct(*[f"f_{x}" for x in axes])
+    several = pairs.groupBy(*keys, c.alias("c")).agg(F.count("*").alias("k")).groupBy(*keys).agg(F.count_if(F.col("k") > 1).alias("n_split"))
+    whole = pairs.groupBy(*keys).agg(
+        F.count_distinct(c).alias("n_coarse"), F.count_distinct(f).alias("n_fine"), F.count_if("matched").alias("n_matched"), (F.sum(F.when(F.col("matched"), F.col("n")).otherwise(0)) / F.sum("n")).alias("agreement")
+    )
+    return whole.join(several, keys)
 
 
 def robustness_summary(rows: DataFrame, variants: Sequence[str], baseline: str, keys: Sequence[str] = ("target_id", "quantity")) -> DataFrame:

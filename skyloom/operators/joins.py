@@ -27,15 +27,17 @@ def with_wcs(pixels: DataFrame, wcs_a: DataFrame, wcs_b: DataFrame) -> DataFrame
     """Pixels of image b with their 0-based position (px, py) in image a; one WCS row per target on each side."""
     a = small_side(wcs_a.select("target_id", *[F.col(c).alias(f"a_{c}") for c in WCS_COLUMNS]))
     b = small_side(wcs_b.select("target_id", *[F.col(c).alias(f"b_{c}") for c in WCS_COLUMNS]))
-    rows = pixels.join(a, "target_id").join(b, "target_id")
+    rows = pixels.join(b, "target_id")
     ra, dec = pixel_to_world("x", "y", {c: F.col(f"b_{c}") for c in WCS_COLUMNS})
-    px, py = world_to_pixel(ra, dec, {c: F.col(f"a_{c}") for c in WCS_COLUMNS})
-    return rows.withColumns({"px": px, "py": py}).drop(*[f"{s}_{c}" for s in "ab" for c in WCS_COLUMNS])
+    # the sky position is a column before the second projection: each of its terms is then found once, not wherever it is used
+    sky = rows.withColumns({"sky_ra": ra, "sky_dec": dec}).drop(*[f"b_{c}" for c in WCS_COLUMNS])
+    px, py = world_to_pixel("sky_ra", "sky_dec", {c: F.col(f"a_{c}") for c in WCS_COLUMNS})
+    return sky.join(a, "target_id").withColumns({"px": px, "py": py}).drop("sky_ra", "sky_dec", *[f"a_{c}" for c in WCS_COLUMNS])
 
 
 def nearest_members(projected: DataFrame, membership: DataFrame, scale: float, max_distance: float, keys: Sequence[str] = ("target_id",)) -> DataFrame:
     """Pixels with (px, py) in the bin of the nearest pixel, if within `max_distance` (arcsec): adds bin_id, match_distance."""
-    yi, xi = F.rint("py").cast("int"), F.rint("px").cast("int")
+    yi, xi = (F.coalesce(F.rint(c).cast("int"), F.lit(-1 << 31)) for c in ("py", "px"))  # never NULL: else the projection is repeated in tests for it
     d = F.hypot(F.col("px") - F.rint("px"), F.col("py") - F.rint("py")) * scale
     rows = projected.withColumns({"yi": yi, "xi": xi, "match_distance": d})
     m = membership.select(*keys, F.col("y").alias("yi"), F.col("x").alias("xi"), "bin_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, col, inclination, relative_likelihood
 from skyloom.operators.sorts import delta_chi2
+from skyloom.sources.scratch import materialize
 
 
 def normalize_weights(states: DataFrame, keys: Sequence[str] = ("target_id", "bin_id"), weight="weight", mask=None) -> DataFrame:
@@ -40,13 +41,13 @@ def hash_uniform(*columns) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def draw_states(states: DataFrame, n: int, seed: int = 0, keys: Sequence[str] = ("target_id", "bin_id"), cell: str = "cell", p="p", grid: int = 256) -> DataFrame:
-    """n draws per key with replacement, in proportion to p: (keys, draw_id, cell).
+def draw_states(states: DataFrame, n: int, seed: int = 0, keys: Sequence[str] = ("target_id", "bin_id"), cell: str = "cell", p="p", grid: int = 256, first: int = 0) -> DataFrame:
+    """The draws from `first` to n - 1 per key, with replacement, in proportion to p: (keys, draw_id, cell).
 
     Inverse distribution function as an equi-join: cumulative intervals and uniforms meet in
     cells of a grid over (0, 1); an interval appears once in each grid cell that it overlaps.
     """
-    if n < 1:
+    if n <= first:
         raise ValueError("at least one draw")
     keys = list(keys)
     order = Window.partitionBy(*keys).orderBy(cell)
@@ -56,7 +57,7 @@ def draw_states(states: DataFrame, n: int, seed: int = 0, keys: Sequence[str] =
     hi = F.when(F.col("last"), F.lit(1.0)).otherwise(F.least(F.col("hi"), F.lit(1.0)))
     at = lambda v: F.least(F.lit(grid - 1), F.floor(v * grid)).cast("int")
     spread = rows.select(*keys, cell, "lo", hi.alias("hi"), F.explode(F.sequence(at(F.col("lo")), F.greatest(at(F.col("lo")), at(hi)))).alias("g"))
-    draws = states.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw_id"))
+    draws = states.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(first), F.lit(n - 1))).alias("draw_id"))
     draws = draws.withColumn("u", hash_uniform(F.lit(seed), *keys, "draw_id")).withColumn("g", at(F.col("u")))
     return draws.join(spread, [*keys, "g"]).where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select(*keys, "draw_id", cell)
 
@@ -91,15 +92,53 @@ def quantile_convergence(batches: DataFrame, keys: Sequence[str], fraction: floa
     return rows.withColumn("passes", run).withColumn("done", F.col("passes") >= passes).drop("island")
 
 
+#: Steps of a plane-filling Kronecker sequence, powers of the plastic number.
+PLASTIC = (0.7548776662466927, 0.5698402909980532)
+
+
 def inclination_prior(targets: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Percentiles of the inclination for Gaussian axis ratio q +- qe and thickness q0 +- q0e, per target."""
+    """Percentiles of the inclination for Gaussian axis ratio q +- qe and thickness q0 +- q0e, per target.
+
+    The draws fill the plane evenly (a Kronecker sequence, moved on by the seed), so few of them
+    give what many random ones do, and reruns agree.
+    """
     draws = targets.select("target_id", "q", "qe", "q0", "q0e", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
+    u, v = (F.lit(0.5) + (F.col("draw") + float(seed)) * s for s in PLASTIC)
+    radius, turn = F.sqrt(-2 * F.log(u - F.floor(u))), 2 * F.pi() * (v - F.floor(v))
+    q = F.least(F.lit(1.0), F.greatest(F.lit(1e-4), F.col("q") + F.col("qe") * radius * F.cos(turn)))
+    q0 = F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.col("q0") + F.col("q0e") * radius * F.sin(turn)))
+    p = F.percentile(inclination(q, q0), F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)))  # n draws a target
+    return draws.groupBy("target_id").agg(p.alias("p")).select("target_id", *[F.col("p")[k].alias(c) for k, c in enumerate(("p16", "p50", "p84"))])
 
-    def normal(tag: int) -> Column:
-        u, v = hash_uniform(F.lit(seed), F.lit(tag), "target_id", "draw"), hash_uniform(F.lit(seed), F.lit(tag + 1), "target_id", "draw")
-        return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
 
-    q = F.least(F.lit(1.0), F.greatest(F.lit(1e-4), F.col("q") + F.col("qe") * normal(0)))
-    q0 = F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.col("q0") + F.col("q0e") * normal(2)))
-    p = F.percentile(inclination(q, q0), F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)))
-    return draws.groupBy("target_id").agg(p.alias("p")).select("target_id", *[F.col("p")[k].alias(c) for k, c in enumerate(("p16", "p50", "p84"))])
+def sample_until_converged(
+    states: DataFrame, x: str, *, least: int = 1000, batch: int = 500, most: int = 20_000, fraction: float = 0.05, floor: float = 0.0, passes: int = 1, seed: int = 0,
+    keys: Sequence[str] = ("target_id", "bin_id"), cell: str = "cell", p: str = "p",
+) -> tuple[DataFrame, DataFrame]:
+    """(summary, history): draws from each surface until the percentiles of `x` settle or the draws run out.
+
+    All bins start with `least` draws; those that have not converged get `batch` more in each round,
+    so a round works on the bins that are left. history: keys, batch, n_draws and the percentiles of all
+    draws so far, with the change; summary: the last batch of each bin, converged, and at_limit where
+    `most` draws did not do. `states`: keys, cell, p, x; p sums to 1 over a bin.
+    """
+    if not 0 < least <= most or batch < 1:
+        raise ValueError("draws start at one or more, grow, and are not beyond their limit")
+    keys, number, n = list(keys), 0, least
+    states = materialize(states.select(*keys, cell, p, x), "draw-states")
+    active, drawn, history, seen = states, None, None, 0
+    while True:
+        new = draw_states(active, n, seed=seed, keys=keys, cell=cell, p=p, first=seen).join(active.select(*keys, cell, x), [*keys, cell])
+        new = materialize(new.select(*keys, clean(x).alias(x)), "draws")
+        drawn = new if drawn is None else drawn.join(active.select(*keys).distinct(), keys, "left_semi").unionByName(new)
+        found = drawn.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("v"))  # at most `most` draws a bin
+        found = found.select(*keys, F.lit(number).alias("batch"), F.lit(n).alias("n_draws"), *[F.col("v")[k].alias(c) for k, c in enumerate(("p16", "p50", "p84"))])
+        history = materialize(found if history is None else history.unionByName(found), "draw-history")
+        judged = quantile_convergence(history, keys, fraction, floor, passes=passes)
+        open_ = materialize(judged.where((F.col("batch") == number) & ~F.col("done")).select(*keys), "draw-open")
+        if n >= most or open_.isEmpty():
+            break
+        active, seen, number, n = states.join(open_, keys, "left_semi"), n, number + 1, min(n + batch, most)
+    judged = judged.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("batch").desc())))
+    last = judged.where("nth = 1").select(*keys, "n_draws", "p16", "p50", "p84", F.col("done").alias("converged"), (~F.col("done")).alias("at_limit"))
+    return last, judged.drop("nth")

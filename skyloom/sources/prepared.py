@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean, poly_eval
 from skyloom.model import nan_to_null
-from skyloom.sources.scratch import small_side
+from skyloom.operators import aggregates as A
+from skyloom.sources.scratch import materialize, small_side
 
 REQUIRED = ("y", "x", "chan", "wave", "flux", "unc", "good", "good_spaxel")
 STEP = 1
@@ -84,15 +85,59 @@ def misplaced_coordinates(coordinates: DataFrame, pixels: DataFrame) -> DataFram
     return pixels.select("target_id", "y", "x").join(coordinates.select("target_id", "y", "x"), ["target_id", "y", "x"], "left_anti")
 
 
-def line_width_table(models: DataFrame, n: int = 2048) -> DataFrame:
-    """(target_id, arm, wave, fwhm): width polynomials sampled over their support; alias columns of older tables are accepted."""
-    pick = lambda *names: F.coalesce(*[F.col(c) for c in names if c in models.columns])
-    low, high = pick("support_min", "wave_min"), pick("support_max", "wave_max")
-    rows = models.select("target_id", "arm", pick("coeffs", "coefficients").alias("coeffs"), low.alias("lo"), high.alias("hi"))
-    rows = rows.where(F.assert_true(F.col("lo") < F.col("hi"), "invalid support").isNull())
-    grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / F.lit(float(n - 1)))
-    sampled = rows.select("target_id", "arm", "coeffs", F.explode(grid).alias("wave")).withColumn("fwhm", poly_eval("coeffs", "wave"))
-    return sampled.where(F.assert_true(F.col("fwhm") > 0, "a width is not positive").isNull()).drop("coeffs")
+#: Column names of width products, the current one first.
+WIDTH_COLUMNS = {
+    "coeffs": ("coeffs", "polynomial_coefficients", "poly_coefficients", "coefficients"),
+    "lo": ("support_min", "measurement_wavelength_min", "empirical_wavelength_min", "empirical_wave_min", "empirical_min", "wave_min"),
+    "hi": ("support_max", "measurement_wavelength_max", "empirical_wavelength_max", "empirical_wave_max", "empirical_max", "wave_max"),
+    "grid_wave": ("model_wavelength", "model_wave", "wavelength_model", "wavelength_grid", "wave_grid"),
+    "grid_fwhm": ("model_fwhm", "fwhm_model", "fwhm_grid"),
+    "line_wave": ("wavelength", "line_wavelength", "line_wavelengths", "accepted_wavelength", "wavelengths"),
+    "line_fwhm": ("fwhm_angstrom", "line_fwhm", "line_fwhms", "accepted_fwhm", "fwhm_values"),
+}
+
+
+def line_width_table(models: DataFrame, n: int = 2048, order: int = 2, keys: Sequence[str] = ("target_id", "arm")) -> DataFrame:
+    """(keys, wave, fwhm, form) of width models, whichever form a row has; never beyond its support.
+
+    1, polynomial: coefficients with both ends of their support, sampled on `n` points.
+    2, grid: two arrays of one length, four samples at least.
+    3, lines: arrays of accepted lines, enough for a polynomial of the order, which is fitted and sampled.
+    The support of 2 and 3 is the one given, else that of the lines, else that of the grid. A row
+    without a form, with an empty support or with fewer than four positive widths in it is an error.
+    """
+    keys, has = list(keys), set(models.columns)
+    types = {"coeffs": "array<double>", "lo": "double", "hi": "double"}
+    pick = lambda c: F.coalesce(*[F.col(x).cast(types.get(c, "array<double>")) for x in WIDTH_COLUMNS[c] if x in has], F.lit(None).cast(types.get(c, "array<double>")))
+    rows = models.select(*keys, *[pick(c).alias(c) for c in WIDTH_COLUMNS])
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    pairs = lambda a, b: F.filter(F.zip_with(a, b, lambda w, v: F.struct(w.alias("wave"), v.alias("fwhm"))), lambda x: finite(x["wave"]) & finite(x["fwhm"]) & (x["fwhm"] > 0))
+    matched = lambda a, b: F.coalesce(F.size(a) == F.size(b), F.lit(False))
+    lines = F.when(matched("line_wave", "line_fwhm"), pairs("line_wave", "line_fwhm"))
+    rows = rows.withColumn("lines", lines).withColumn("lines", F.when(F.size("lines") >= max(4, order + 2), F.col("lines")))
+    rows = rows.withColumn("grid", F.when(matched("grid_wave", "grid_fwhm") & (F.size("grid_wave") >= 4), pairs("grid_wave", "grid_fwhm")))
+    form = F.when(F.col("coeffs").isNotNull() & F.col("lo").isNotNull() & F.col("hi").isNotNull(), "polynomial").when(F.col("grid").isNotNull(), "grid").when(F.col("lines").isNotNull(), "lines")
+    rows = rows.withColumn("form", form).where(F.assert_true(F.col("form").isNotNull(), "a width product has no usable form").isNull())
+    given = F.col("lo").isNotNull() & F.col("hi").isNotNull()
+    samples = F.coalesce("lines", "grid")
+    end = lambda c, f: F.when(given, F.col(c)).otherwise(f(F.transform(samples, lambda x: x["wave"])))
+    rows = materialize(rows.withColumns({"lo": end("lo", F.array_min), "hi": end("hi", F.array_max)}), "width-models")
+    sound = F.coalesce((F.col("lo") < F.col("hi")) & ~F.exists(F.coalesce("coeffs", F.array()), lambda c: ~finite(c)), F.lit(False))
+    rows = rows.where(F.assert_true(sound, "invalid support or coefficients").isNull())
+
+    lined = rows.where("form = 'lines'").select(*keys, "lo", "hi", F.inline("lines"))
+    fits = A.robust_polyfit(lined, order, rounds=0, keys=keys, x="wave", y="fwhm").select(*keys, "coeffs", F.col("x_mean").alias("x0"))
+    smooth = rows.where("form = 'polynomial'").select(*keys, "form", "lo", "hi", "coeffs", F.lit(0.0).alias("x0"))
+    smooth = smooth.unionByName(rows.where("form = 'lines'").select(*keys, "form", "lo", "hi").join(fits, keys))
+    points = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / F.lit(float(n - 1)))
+    sampled = smooth.select(*keys, "form", "lo", "hi", "coeffs", "x0", F.explode(points).alias("wave"))
+    sampled = sampled.select(*keys, "form", "lo", "hi", "wave", poly_eval("coeffs", F.col("wave") - F.col("x0")).alias("fwhm"))
+    saved = rows.where("form = 'grid'").select(*keys, "form", "lo", "hi", F.inline_outer("grid"))
+    every = sampled.unionByName(saved)
+    good = (F.col("fwhm") > 0) & F.col("wave").between(F.col("lo"), F.col("hi"))
+    sizes = every.groupBy(*keys).agg(F.count_if(good).alias("n_good"))
+    sizes = sizes.where(F.assert_true(F.col("n_good") >= 4, "fewer than four positive widths in the support").isNull())
+    return every.where(good).join(materialize(sizes, "width-sizes"), keys).select(*keys, "wave", "fwhm", "form")
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, int]]:
@@ -110,10 +155,15 @@ def arc_pixels(arc: DataFrame, wave: DataFrame, slices: DataFrame, pos: DataFram
     return rows.where(F.assert_true(F.coalesce(whole, F.lit(False)), "the maps differ in shape").isNull()).select(*keys, "value", "wave", "slice_id", "pos")
 
 
-def consolidated(states: DataFrame, one_component: DataFrame, keys: Sequence[str] = ("target_id", "bin_id")) -> DataFrame:
-    """Per bin its best two-component chi2, its one-component chi2 and their difference."""
-    best = states.groupBy(*keys).agg(F.min(clean("chi2")).alias("chi2_two"), F.count("*").alias("n_states"))
-    return best.join(one_component.select(*keys, F.col("chi2").alias("chi2_one")), list(keys), "left").withColumn("delta", F.col("chi2_one") - F.col("chi2_two"))
+def consolidated(states: DataFrame, one_component: DataFrame, keys: Sequence[str] = ("target_id", "bin_id"), axes: Sequence[str] = ()) -> DataFrame:
+    """Per bin its best two-component chi2 and where it is, its one-component chi2, their difference, and counts of failed states."""
+    keys = list(keys)
+    best = states.groupBy(*keys).agg(
+        F.min(clean("chi2")).alias("chi2_two"), F.count("*").alias("n_states"), F.count_if(clean("chi2").isNull()).alias("n_failed"),
+        *([F.min(F.when(clean("chi2").isNotNull(), F.struct(clean("chi2").alias("c"), *axes))).alias("at")] if axes else []),
+    )
+    best = best.select(*keys, "chi2_two", "n_states", "n_failed", *[F.col(f"at.{a}").alias(a) for a in axes])
+    return best.join(one_component.select(*keys, F.col("chi2").alias("chi2_one")), keys, "left").withColumn("delta", F.col("chi2_one") - F.col("chi2_two"))
 
 
 def write_lines(fits: DataFrame, path: str) -> None:

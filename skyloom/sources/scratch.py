@@ -6,10 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows of a few numbers, so a few megabytes.
-BROADCAST_ROWS = 100_000
 _own: dict[str, str] = {}
 
 
@@ -33,7 +30,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, at_most: int = BROADCAST_ROWS) -> DataFrame:
-    """A table with a row per target or channel, for a join: written, counted, and broadcast while it has at most so many rows."""
-    table = materialize(df, "side")
-    return F.broadcast(table) if table.count() <= at_most else table
+def small_side(df: DataFrame) -> DataFrame:
+    """A table with a row per target or channel, for a join: written, so that the planner knows its size, and broadcast only below the planner's limit."""
+    return materialize(df, "side")
