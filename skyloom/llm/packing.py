@@ -32,7 +32,7 @@ from skyloom.llm.common import in_slices, materialize, texts_of, whole_text
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_WORDS = 200_000
+MEMO_WORDS = 60_000
 BROADCAST_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -128,7 +128,7 @@ def cut_documents(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", t
         arrays = [batch.column("doc_id").take(pa.array(k)), pa.array(n, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return in_slices(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("the_text")), work, PIECES)
+    return in_slices(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("the_text")), work, PIECES, done=lambda: pa.default_memory_pool().release_unused())
 
 
 def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
