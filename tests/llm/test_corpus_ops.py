@@ -96,6 +96,28 @@ def test_near_duplicates(request, spark, which):
     assert found == sorted((i, n, c, i == c) for i, n, c in plain_components(rows))
 
 
+def test_near_duplicates_of_long_texts_at_the_threshold(spark):
+    """520 to 1,000 shingles, where sketches rule pairs out too: pairs from 0.73 to 0.77, equal to brute force."""
+    rng, rows = np.random.default_rng(23), []
+    for f in range(60):
+        n = int(rng.integers(524, 1005))
+        base = [f"f{f}w{k}" for k in range(n)]
+        rows.append((f * 10, " ".join(base)))
+        for c in range(1, 4):
+            words, at = list(base), np.arange(5, n - 5, 5)
+            for j in rng.choice(at, round(n / 35 + rng.integers(-1, 2)), replace=False):  # n / 35 changed words apart leave 0.75
+                words[j] = f"f{f}c{c}x{j}"
+            rows.append((f * 10 + c, " ".join(words)))
+    sims = []
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    for f in range(60):
+        a = sets[f * 10]
+        sims += [len(a & sets[f * 10 + c]) / len(a | sets[f * 10 + c]) for c in range(1, 4)]
+    assert all(len(x) > near_dedup.LONG for x in sets.values()) and sum(0.74 <= x <= 0.76 for x in sims) > 100 and min(sims) < 0.75 < max(sims)
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == sorted(plain_components(rows))
+
+
 def test_near_duplicates_in_a_hot_template(spark):
     # all share a template at 0.72, which links none of them; planted pairs are at 0.76
     rng, rows, planted = np.random.default_rng(8), [], 60
