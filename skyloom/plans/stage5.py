@@ -36,14 +36,14 @@ def q_bins_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     chi2 = A.total_chi2(spec.where("good").withColumn("zero", F.lit(0.0)), key, "flux", "zero", "unc").select("bin_id", r6("chi2", 4).alias("chi2"), F.col("n").alias("n_samples"))
     sn = spec.where("good").groupBy("bin_id").agg((F.avg("flux") * 100).alias("sn"), F.count("*").alias("n_good"))
     whole = A.sn_summary(sn, ()).select("n_valid", r6("median_sn").alias("median_sn"), r6("max_sn").alias("max_sn"))
-    few = L.enough_pixels(spec, 60_000_000, key).select("bin_id", F.lit(True).alias("too_few"))
+    few = L.enough_pixels(spec, 2_950, key).select("bin_id", F.lit(True).alias("too_few"))
     rows = D.final_table(geometry, scale, chi2, sn.select("bin_id", r6("sn").alias("sn")), few, keys=key)
     return rows.crossJoin(F.broadcast(whole)).select("bin_id", "n_a", "n_b", r6("area").alias("area"), r6("coverage").alias("coverage"), "scale", "chi2", "n_samples", "sn", "too_few", "n_valid", "median_sn", "max_sn")
 
 
 BINS_TABLE = f"""WITH {SPEC}, m AS (SELECT DISTINCT bin_id, spaxel FROM spec), g AS (SELECT bin_id, count(*) AS n_a, count(*) FILTER (spaxel % 3 = 0) AS n_b FROM m GROUP BY 1),
     b AS (SELECT bin_id, median(abs(flux)) AS sc, sum(flux * flux / var) AS chi2, count(*) AS n, avg(flux) * 100 AS sn FROM spec WHERE good GROUP BY 1), w AS (SELECT count(*) AS n_valid, median(sn) AS md, max(sn) AS mx FROM b)
-    SELECT bin_id, n_a, n_b, round(n_a * 0.09::DOUBLE, 6) AS area, round(n_b / n_a, 6) AS coverage, round(sc, 6) AS scale, round(chi2, 4) AS chi2, n AS n_samples, round(sn, 6) AS sn, true AS too_few, n_valid, round(md, 6) AS median_sn, round(mx, 6) AS max_sn
+    SELECT bin_id, n_a, n_b, round(n_a * 0.09::DOUBLE, 6) AS area, round(n_b / n_a, 6) AS coverage, round(sc, 6) AS scale, round(chi2, 4) AS chi2, n AS n_samples, round(sn, 6) AS sn, CASE WHEN n < 2950 THEN true END AS too_few, n_valid, round(md, 6) AS median_sn, round(mx, 6) AS max_sn
     FROM g JOIN b USING (bin_id), w"""
 
 
@@ -53,15 +53,16 @@ def q_spaxel_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = spark.createDataFrame([(4900.0, 4950.0), (5200.0, 5210.0)], "lo double, hi double")
     left = L.apply_range_masks(spec, ranges, (4820.0, 5400.0)).where(L.positive_finite("flux")).groupBy("spaxel").agg(F.count("*").alias("n_left"))
     bad = R.with_bad_fraction(spec).groupBy("spaxel").agg(r6(F.sum("bad_fraction"), 5).alias("bad"))
-    valid = L.validate_spectrum(spec, ("spaxel",), 60).select("spaxel", "n_good", "n_invalid", "n_not_rising", "valid")
+    broken = {"unc": F.when((F.col("spaxel") % 17 != 3) | (F.col("chan") % 10 != 1), F.col("unc")).otherwise(0.0), "wave": F.when((F.col("spaxel") % 19 == 5) & (F.col("chan") == 30), 4800.0).otherwise(F.col("wave"))}
+    valid = L.validate_spectrum(spec.withColumns(broken), ("spaxel",), 60).select("spaxel", "n_good", "n_invalid", "n_not_rising", "valid")
     rows = A.exposure_map(spec, ("spaxel",)).join(left, "spaxel", "left").join(bad, "spaxel").join(valid, "spaxel")
     return rows.select("spaxel", r6("exposure").alias("exposure"), r6("coverage_fraction").alias("coverage_fraction"), "n_left", "bad", "n_good", "n_invalid", "n_not_rising", "valid", L.aperture_clip_radius(F.col("spaxel") % 50 - 25, F.col("spaxel") % 7, 20.0).alias("inside"))
 
 
 SPAXEL_MAPS = f"""WITH {SPEC}, a AS (SELECT *, CASE WHEN good THEN var * 100 ELSE 0 END AS e FROM spec), c AS (SELECT chan, 1 - avg(CASE WHEN good THEN 1.0 ELSE 0 END) FILTER (spaxel % 4 <> 0) AS bad FROM spec GROUP BY 1),
     s AS (SELECT spaxel, median(e) FILTER (chan % 5 <> 0) AS exposure, avg(CASE WHEN e > 0 THEN 1.0 ELSE 0 END) FILTER (chan % 5 <> 0) AS cf, count(*) FILTER (good) AS n_good, sum(bad) AS bad,
-        count(*) FILTER (wave BETWEEN 4820 AND 5400 AND NOT wave BETWEEN 4900 AND 4950 AND NOT wave BETWEEN 5200 AND 5210 AND flux > 0) AS n_left FROM a JOIN c USING (chan) GROUP BY 1)
-    SELECT spaxel, round(exposure, 6) AS exposure, round(cf, 6) AS coverage_fraction, nullif(n_left, 0) AS n_left, round(bad, 5) AS bad, n_good, 0 AS n_invalid, 0 AS n_not_rising, n_good >= 60 AS valid, sqrt((spaxel % 50 - 25) ** 2 + (spaxel % 7) ** 2) <= 20 AS inside FROM s"""
+        count(*) FILTER (good AND spaxel % 17 = 3 AND chan % 10 = 1) AS n_invalid, max(CASE WHEN spaxel % 19 = 5 THEN 1 ELSE 0 END) AS n_not_rising, count(*) FILTER (wave BETWEEN 4820 AND 5400 AND NOT wave BETWEEN 4900 AND 4950 AND NOT wave BETWEEN 5200 AND 5210 AND flux > 0) AS n_left FROM a JOIN c USING (chan) GROUP BY 1)
+    SELECT spaxel, round(exposure, 6) AS exposure, round(cf, 6) AS coverage_fraction, nullif(n_left, 0) AS n_left, round(bad, 5) AS bad, n_good, n_invalid, n_not_rising, n_good >= 60 AND n_invalid = 0 AND n_not_rising = 0 AS valid, sqrt((spaxel % 50 - 25) ** 2 + (spaxel % 7) ** 2) <= 20 AS inside FROM s"""
 
 
 def q_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,19 +98,21 @@ def q_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = V.headers(spark, sf_dir)
     names = F.element_at(F.array(*[F.lit(k) for k in list(Q.FLAGS)[:5]]), (F.col("l_linenumber") % 5 + 1).cast("int"))
     flags = S.distinct_flags(li.select(F.col("l_suppkey").alias("run_id"), F.lit("t").alias("target_id"), names.alias("flag"), F.col("l_orderkey").alias("seq"), F.col("l_linestatus").alias("detail")))
-    told = Q.describe_flags(flags).where("length(description) > 10")
+    told = Q.describe_flags(flags).where("length(description) > 55")
     messages = S.top_messages(li.select((F.col("l_returnflag") != "N").cast("int").alias("status"), F.col("l_shipdate").cast("date").cast("string").alias("message")), 3)
     return (
         arms.select(F.concat(F.lit("arm "), F.col("component")).alias("what"), "n").union(count("difference", S.difference(every, present))).union(count("pending", S.pending(every, present, ("run_id",))))
-        .union(count("both", S.intersect_masks(every, present.distinct(), ("run_id",)))).union(count("keys", S.header_key_union(heads, heads.where("key <> 'CTYPE'")))).union(count("flags", flags)).union(count("described", told))
+        .union(count("both", S.intersect_masks(every, present.distinct(), ("run_id",)))).union(count("keys", S.header_key_union(heads.where("key = 'GRATING' and file_id % 3 = 0").select(F.col("value").alias("key")), heads.where("key in ('GRATING', 'CTYPE') and file_id % 50 = 1").select(F.col("value").alias("key"))))).union(count("flags", flags)).union(count("described", told))
         .union(flags.agg(F.sum("seq")).select(F.lit("first places"), F.col("sum(seq)"))).union(messages.select(F.concat(F.lit("message "), F.col("message")), "n"))
     )
 
 
-SETS = """WITH d AS (SELECT DISTINCT o_orderkey FROM orders), p AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 3), f AS (SELECT l_suppkey, l_linenumber % 5 AS k, min(l_orderkey) AS seq FROM lineitem GROUP BY 1, 2)
+#: Places of the flags whose meaning takes more than a few words.
+LONG_FLAGS = ", ".join(str(k) for k, text in enumerate(list(Q.FLAGS.values())[:5]) if len(text) > 55)
+SETS = f"""WITH d AS (SELECT DISTINCT o_orderkey FROM orders), p AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 3), f AS (SELECT l_suppkey, l_linenumber % 5 AS k, min(l_orderkey) AS seq FROM lineitem GROUP BY 1, 2)
     SELECT 'arm 0' AS what, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'arm 1', count(*) FROM lineitem WHERE l_returnflag = 'N'
     UNION ALL SELECT 'difference', count(*) FROM d ANTI JOIN p ON o_orderkey = l_orderkey UNION ALL SELECT 'pending', count(*) FROM orders ANTI JOIN p ON o_orderkey = l_orderkey UNION ALL SELECT 'both', count(*) FROM orders SEMI JOIN p ON o_orderkey = l_orderkey
-    UNION ALL SELECT 'keys', 4 UNION ALL SELECT 'flags', count(*) FROM f UNION ALL SELECT 'described', count(*) FROM f UNION ALL SELECT 'first places', sum(seq)::BIGINT FROM f
+    UNION ALL SELECT 'keys', count(*) FROM (SELECT p_brand FROM part WHERE p_partkey % 3 = 0 UNION SELECT p_brand FROM part WHERE p_partkey % 50 = 1 UNION SELECT p_type FROM part WHERE p_partkey % 50 = 1) UNION ALL SELECT 'flags', count(*) FROM f UNION ALL SELECT 'described', count(*) FROM f WHERE k IN ({LONG_FLAGS}) UNION ALL SELECT 'first places', sum(seq)::BIGINT FROM f
     UNION ALL (SELECT 'message ' || l_shipdate::DATE::VARCHAR, count(*) FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_shipdate::DATE ORDER BY count(*) DESC, l_shipdate::DATE LIMIT 3)"""
 
 
