@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents through five stages, each over all that the one before kept."""
+"""The corpus pipeline: documents through five stages, each over all that the one before kept.
+
+Every stage takes a table with the columns of documents, of which any may be null but none may be
+absent; other columns are left behind. An empty table passes through all stages as one. Rows that
+repeat, ids included, are rows of their own until a stage says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -16,27 +21,27 @@ from skyloom.llm.queries import tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned rules reject go."""
+    """Documents that the learned rules reject go. Null and empty texts have no words and go; ids do not matter but for the labels."""
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of equal texts the one with the largest doc_id stays, exactly one row on ties; null texts are empty ones, null ids the smallest."""
     return exact_dedup(docs, payload=DOC_COLUMNS[1:]).where("kept").select(*DOC_COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the one with the smallest doc_id stays."""
+    """Of each group of near-duplicates the one with the smallest doc_id stays; where all ids are null, the text of the least hash. Texts without words all stay."""
     return keep_one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that reveal it give way to their kind."""
+    """Personal data and the terms that reveal it give way to their kind, n_chars is recounted where text changed; all rows stay, null texts null."""
     return sanitise_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in packed sequences."""
+    """Token pieces and their places in packed sequences; a null or empty text is a piece of the end id alone."""
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
