@@ -116,8 +116,26 @@ APERTURE = f"""WITH RECURSIVE {IMG}, {K1}, {SIG_CTE}, p AS (SELECT y, x, y * 104
 
 
 def q_adaptive_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of about equal capacity: seeds along a Morton curve, then three rounds of assignment to the nearest generator."""
     pixels = V.image(spark, sf_dir).select("target_id", "y", "x", F.greatest(F.col("value"), F.lit(1.0)).alias("signal"), F.lit(1000.0).alias("noise"))
-    return I.bin_table(I.adaptive_bins(pixels, 15.0)).drop("target_id")
+    found = I.bin_table(I.adaptive_bins(pixels, 15.0))
+    return found.select("bin_id", "npix", *[r6(c).alias(c) for c in ("sn", "capacity", "x_mean", "y_mean", "radius")], "single")
+
+
+def assignment_sql(before: str, after: str) -> str:
+    """CTEs of one round: the generators of the bins in `before` (y, x, bin_id), and in `after` each pixel's least d^2 - r^2."""
+    d = "pow(x - gx, 2) + pow(y - gy, 2) - r * r"
+    return f"""{after}_g AS MATERIALIZED (SELECT bin_id, avg(x) AS gx, avg(y) AS gy, sqrt(count(*) / pi()) * 0.5 AS r FROM {before} GROUP BY 1),
+    {after} AS MATERIALIZED (SELECT p.y, p.x, arg_min(bin_id, ({d}, bin_id)) AS bin_id FROM pix p, {after}_g GROUP BY 1, 2)"""
+
+
+MORTON = " + ".join(f"(((x >> {b}) & 1)::BIGINT << {2 * b}) + (((y >> {b}) & 1)::BIGINT << {2 * b + 1})" for b in range(12))
+ADAPTIVE_BINS = f"""WITH {IMG}, pix AS MATERIALIZED (SELECT y, x, greatest(value, 1.0) AS s, 1000.0::DOUBLE AS n FROM img),
+    b0 AS MATERIALIZED (SELECT y, x, CAST(floor(sum(pow(s / n, 2)) OVER (ORDER BY {MORTON}) / 225.0 - 1e-9) AS BIGINT) AS bin_id FROM pix),
+    {assignment_sql("b0", "b1")}, {assignment_sql("b1", "b2")}, {assignment_sql("b2", "b3")},
+    f AS (SELECT b3.y, b3.x, s, n, dense_rank() OVER (ORDER BY bin_id) - 1 AS bin_id FROM b3 JOIN pix USING (y, x)),
+    t AS (SELECT bin_id, count(*) AS npix, sum(s) / sqrt(sum(n * n)) AS sn, avg(x) AS xm, avg(y) AS ym FROM f GROUP BY 1)
+    SELECT CAST(bin_id AS INT) AS bin_id, npix, round(sn, 6) AS sn, round(greatest(sn, 0) ** 2, 6) AS capacity, round(xm, 6) AS x_mean, round(ym, 6) AS y_mean, round(sqrt(npix / pi()), 6) AS radius, npix = 1 AS single FROM t"""
 
 
 def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,5 +284,5 @@ LOW_FLUX = f"""WITH {IMG}, g AS (SELECT * FROM img WHERE bin_id % 2 = 0), l AS (
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
 ORACLES = {
     "q_transfer": TRANSFER, "q_reproject": REPROJECT, "q_smooth": SMOOTH, "q_significance": SIGNIFICANCE, "q_shift": SHIFT, "q_components": COMPONENTS, "q_aperture": APERTURE, "q_interp": INTERP, "q_residuals": RESIDUALS,
-    "q_correlation": CORRELATION, "q_rebin": REBIN, "q_likelihood_grid": LIKELIHOOD_GRID, "q_one_component": ONE_COMPONENT, "q_polyfit": POLYFIT, "q_headers": HEADERS, "q_conventions": CONVENTIONS, "q_low_flux": LOW_FLUX,
+    "q_adaptive_bins": ADAPTIVE_BINS, "q_correlation": CORRELATION, "q_rebin": REBIN, "q_likelihood_grid": LIKELIHOOD_GRID, "q_one_component": ONE_COMPONENT, "q_polyfit": POLYFIT, "q_headers": HEADERS, "q_conventions": CONVENTIONS, "q_low_flux": LOW_FLUX,
 }
