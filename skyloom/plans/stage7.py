@@ -14,8 +14,10 @@ from skyloom.operators import filters as Q
 from skyloom.operators import lines as L
 from skyloom.operators import sampling as P
 from skyloom.operators import windows as W
-from skyloom.plans.stage2 import EVT, GRID, LINE, MIN_SLICE, SPEC, spec_coadd
+from skyloom.plans.stage2 import COADD, EVT, GRID, IMG, LINE, MIN_SLICE, SPEC, spec_coadd
+from skyloom.plans.stage3 import wcs_row
 from skyloom.sources import prepared as R
+from skyloom.sources import products as T
 from skyloom.sources import registry as G
 from skyloom.sources import views as V
 from skyloom.sources.scratch import materialize, shared_dir
@@ -234,8 +236,43 @@ FIR_SMOOTH = f"""WITH {LINE}, m AS (SELECT bin_id, chan, avg(flux) AS v FROM lin
     c AS (SELECT bin_id, k, greatest(2, least(n - 3, k)) AS mid FROM n), w AS (SELECT c.bin_id, c.k, c.k - mid AS off, n.k - mid AS d, n.v FROM c JOIN n ON n.bin_id = c.bin_id AND abs(n.k - mid) <= 2)
     SELECT bin_id, CAST(k AS INT) AS chan, round(sum(v) * 17 / 35.0 - sum(v * d * d) / 7.0 + any_value(off) * sum(v * d) / 10.0 + any_value(off) ** 2 * (sum(v * d * d) / 14.0 - sum(v) / 7.0), 3) AS smooth FROM w GROUP BY 1, 2"""
 
+def q_master_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table of bins, written with the maps and spectra and read again."""
+    img = V.image(spark, sf_dir)
+    members = img.select("target_id", "bin_id", "y", "x", F.col("value").alias("signal"), F.lit(900.0).alias("noise"))
+    coadd = materialize(spec_coadd(spark, sf_dir), "coadd")
+    sn = [A.achieved_sn(coadd, low, low + 300, 0.0, require_positive=positive).drop("arm") for low, positive in ((4850.0, True), (5100.0, False))]
+    bins = T.master_bins(members, img.where("x % 3 = 0"), *sn, wcs_row(spark, 0.3, 25.0, 12.0), centre=(10.0, 24.0), scale=0.3)
+    at = f"{shared_dir(spark)}/skyloom/bins-{uuid.uuid4().hex}"
+    T.write_bins(bins, f"{at}/bins")
+    back = spark.read.parquet(f"{at}/bins")
+    moved = img.where("x % 3 = 0").select("target_id", "y", "x", "bin_id", (F.col("x") * 0.01).alias("match_distance"))
+    T.write_bin_products(at, members, moved, back, coadd)
+    maps = spark.read.parquet(f"{at}/maps").groupBy("bin_id").agg(F.count_if(F.col("arm") == "a").alias("n_map_a"), F.count_if(F.col("arm") == "b").alias("n_map_b"), r6(F.sum("bin_area"), 4).alias("map_area"), r6(F.sum("match_distance"), 4).alias("map_distance"))
+    spectra = spark.read.parquet(f"{at}/spectra").groupBy("bin_id").agg(F.sum("n_contrib").alias("n_contrib"))
+    whole = ("bin_id", "npix_a", "npix_b", "n_channels_a", "n_channels_b", "single")
+    return back.join(maps, "bin_id").join(spectra, "bin_id", "left").select(*whole, *[r6(c, 5).alias(c) for c in T.BIN_COLUMNS if c not in whole], "n_map_a", "n_map_b", "map_area", "map_distance", "n_contrib")
+
+
+def arm_sql(low: float, positive: bool, arm: str) -> str:
+    keep = "CASE WHEN f > 0 THEN f / u END" if positive else "f / u"
+    return f"""{arm}0 AS (SELECT bin_id, count(*) AS k, median(flux) AS f, median(unc) AS u, min(unc) AS m, median(flux / unc) AS l, avg(CASE WHEN flux < 0 THEN 1.0 ELSE 0 END) AS neg FROM coadd WHERE good AND unc > 0 AND wave BETWEEN {low} AND {low + 300} GROUP BY 1),
+    {arm} AS (SELECT bin_id, k AS n_channels_{arm}, {keep} AS sn_{arm}, f / u AS sn_signed_{arm}, l AS sn_legacy_{arm}, f AS median_flux_{arm}, u AS median_unc_{arm}, m AS min_unc_{arm}, neg AS negative_fraction_{arm} FROM {arm}0)"""
+
+
+_ROUNDED = ", ".join(f"round({c}, 5) AS {c}" for c in T.BIN_COLUMNS if c not in ("bin_id", "npix_a", "npix_b", "n_channels_a", "n_channels_b", "single"))
+MASTER_BINS = f"""WITH {COADD}, {IMG}, {arm_sql(4850.0, True, "a")}, {arm_sql(5100.0, False, "b")},
+    w AS (SELECT *, CASE WHEN sum(greatest(value, 0)) OVER g > 0 THEN greatest(value, 0) / sum(greatest(value, 0)) OVER g ELSE 1.0 / count(*) OVER g END AS w FROM img WINDOW g AS (PARTITION BY bin_id)),
+    e AS (SELECT bin_id, count(*) AS npix_a, count(*) FILTER (x % 3 = 0) AS npix_b, count(*) * 0.09::DOUBLE AS area, count(*) FILTER (x % 3 = 0) / count(*) AS coverage, avg(x) AS xm, avg(y) AS ym, sum(w * x) / sum(w) AS xl, sum(w * y) / sum(w) AS yl,
+        greatest(sum(value) / sqrt(count(*) * 810000.0), 0) AS power_sn, sum(x * 0.01::DOUBLE) FILTER (x % 3 = 0) AS md FROM w GROUP BY 1),
+    t AS (SELECT *, radians(-0.3 / 3600 * (xl + 1 - 25)) AS xi, radians(0.3 / 3600 * (yl + 1 - 12)) AS eta, radians(2.0::DOUBLE) AS d0 FROM e),
+    s AS (SELECT *, power_sn ** 2 AS capacity, npix_a = 1 AS single, (xm - 24) * 0.3 AS x_geom, (ym - 10) * 0.3 AS y_geom, (xl - 24) * 0.3 AS x_flux, (yl - 10) * 0.3 AS y_flux, 150.0::DOUBLE + degrees(atan2(xi, cos(d0) - eta * sin(d0))) AS ra,
+        degrees(atan2(sin(d0) + eta * cos(d0), sqrt(xi * xi + (cos(d0) - eta * sin(d0)) ** 2))) AS dec FROM t), nc AS (SELECT bin_id, CAST(sum(n_contrib) AS BIGINT) AS n_contrib FROM coadd GROUP BY 1)
+    SELECT s.bin_id, npix_a, npix_b, n_channels_a, n_channels_b, single, {_ROUNDED}, npix_a AS n_map_a, npix_b AS n_map_b, round(area * npix_a, 4) AS map_area, round(md, 4) AS map_distance, n_contrib
+    FROM s LEFT JOIN a USING (bin_id) LEFT JOIN b USING (bin_id) LEFT JOIN nc USING (bin_id)"""
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
 ORACLES = {
     "q_consolidate": CONSOLIDATE, "q_process_available": PROCESS_AVAILABLE, "q_width_models": WIDTH_MODELS, "q_grid_resolution": GRID_RESOLUTION, "q_contrasts": CONTRASTS, "q_inclination": INCLINATION, "q_cumulative": CUMULATIVE,
-    "q_report": REPORT, "q_optional_correlation": OPTIONAL_CORRELATION, "q_sidecars": SIDECARS, "q_log_pixels": LOG_PIXELS, "q_fir_smooth": FIR_SMOOTH,
+    "q_report": REPORT, "q_optional_correlation": OPTIONAL_CORRELATION, "q_sidecars": SIDECARS, "q_log_pixels": LOG_PIXELS, "q_fir_smooth": FIR_SMOOTH, "q_master_bins": MASTER_BINS,
 }

@@ -66,10 +66,11 @@ def assemble_extensions(primary: DataFrame, uncert: DataFrame, mask: DataFrame |
 
 
 def read_templates(spark: SparkSession, path: str, meta_path: str | None = None) -> DataFrame:
-    """(template_id, pix, wave, value, fwhm), a single width serving all pixels; age and metallicity where the counts agree."""
+    """(template_id, pix, wave, value, fwhm); a missing width is its template's median, else that of all; age and metallicity where the counts agree."""
     df = require(spark.read.parquet(path), ("template_id", "pix", "wave", "value", "fwhm"), "the template table")
-    typical = df.agg(F.percentile("fwhm", F.lit(0.5)).alias("typical"))
-    df = df.crossJoin(F.broadcast(typical)).withColumn("fwhm", F.coalesce("fwhm", "typical")).drop("typical")  # one row
+    own = small_side(df.groupBy("template_id").agg(A.median("fwhm").alias("own")))  # one template's pixels
+    typical = A.exact_percentiles(df, (), "fwhm", {"typical": 0.5}).select("typical")
+    df = df.join(own, "template_id").crossJoin(F.broadcast(typical)).withColumn("fwhm", F.coalesce("fwhm", "own", "typical")).drop("own", "typical")  # one row
     return df if meta_path is None else df.join(small_side(spark.read.parquet(meta_path)), "template_id", "left")
 
 
