@@ -26,7 +26,7 @@ def projected(spark: SparkSession, sf_dir: str, ax: float, bx: float, ay: float,
 def q_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = J.nearest_members(projected(spark, sf_dir, 0.98, 0.3, 1.02, -0.2), V.image(spark, sf_dir).select("target_id", "y", "x", "bin_id"), 0.3, 0.1234)
     whole = J.transfer_fraction(near, 0.1234)
-    found = near.where("match_distance <= 0.1234").join(F.broadcast(whole), "target_id")
+    found = near.where("match_distance <= 0.1234").join(whole, "target_id")
     bins = A.bin_capacity(V.image(spark, sf_dir).withColumn("signal", F.col("value")).withColumn("noise", F.lit(100.0)), ("bin_id",))
     return J.bin_values_on_map(found, bins, ("bin_id",)).select("y", "x", "bin_id", r6("match_distance").alias("match_distance"), r6("fraction").alias("fraction"), "n_inside", r6("sn", 4).alias("sn"))
 

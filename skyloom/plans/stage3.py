@@ -94,7 +94,7 @@ def q_transfer_wcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = wcs_row(spark, 0.3, 25.0, 12.0), wcs_row(spark, 0.303, 25.37, 11.71)
     got = J.transfer_membership(img.drop("bin_id"), img, a, b, scale=0.3, max_distance=0.12)
     check = J.check_sampling(a, b, 0.015).select("target_id", r6("difference").alias("difference"), "same")
-    return got.join(F.broadcast(check), "target_id").select("y", "x", "bin_id", r6("match_distance", 5).alias("match_distance"), "difference", "same")
+    return got.join(check, "target_id").select("y", "x", "bin_id", r6("match_distance", 5).alias("match_distance"), "difference", "same")
 
 
 TRANSFER_WCS = f"""WITH {IMG}, p AS (SELECT y, x, (x + 1 - 25.37::DOUBLE) * 0.303::DOUBLE / 0.3::DOUBLE + 24 AS px, (y + 1 - 11.71::DOUBLE) * 0.303::DOUBLE / 0.3::DOUBLE + 11 AS py FROM img WHERE value > 0),
