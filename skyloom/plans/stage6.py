@@ -197,10 +197,11 @@ REGISTER = f"""WITH {IMG}, {K1}, ia AS (SELECT y, x, CASE WHEN value > -900 THEN
         FROM e ORDER BY c DESC, ly, lx LIMIT 1),
     df AS (SELECT sqrt(avg((a - b) ** 2)) AS rms, sum(a - b) AS total, count(*) AS n FROM n), o AS (SELECT count(*) FILTER (va IS NOT NULL AND vb IS NOT NULL) / count(va) AS part FROM ab),
     {smooth_sql("img", "value", "si")}, top AS (SELECT y, x, sm FROM si ORDER BY sm DESC, y, x LIMIT 1), lim AS (SELECT quantile_cont(sm, 0.9) AS lim FROM si WHERE sm > 0),
-    ct AS (SELECT sum(sm * y) / sum(sm) AS cy, sum(sm * x) / sum(sm) AS cx, count(*) AS n_bright FROM si, lim WHERE sm >= lim)
-    SELECT 'demo' AS target_id, round(ca.contrast, 6) AS contrast_a, round(cb.contrast, 6) AS contrast_b, round(best.c, 6) AS correlation, round(part, 6) AS overlap_fraction, round(rms, 6) AS rms_difference, round(best.dy, 4) AS dy, round(best.dx, 4) AS dx,
-        round(top.sm, 4) AS top, round(cy, 4) AS cy, round(cx, 4) AS cx, round(sqrt((cy - top.y) ** 2 + (cx - top.x) ** 2), 4) AS separation, round(total, 4) AS sum_difference, true AS valid, 'ok' AS reason, df.n AS n_difference, top.y AS y, top.x AS x, n_bright,
-        sqrt((cy - top.y) ** 2 + (cx - top.x) ** 2) > 5 AS warn FROM ca, cb, best, df, o, top, ct"""
+    ct AS (SELECT sum(sm * y) / sum(sm) AS cy, sum(sm * x) / sum(sm) AS cx, count(*) AS n_bright FROM si, lim WHERE sm >= lim),
+    vd AS (SELECT CASE WHEN least(ca.contrast, cb.contrast) < 0.5 THEN 'low contrast' WHEN greatest(abs(best.dy), abs(best.dx)) >= 3.25 THEN 'shift at the limit' ELSE 'ok' END AS reason FROM ca, cb, best)
+    SELECT 'demo' AS target_id, round(ca.contrast, 6) AS contrast_a, round(cb.contrast, 6) AS contrast_b, round(best.c, 6) AS correlation, round(part, 6) AS overlap_fraction, round(rms, 6) AS rms_difference, CASE WHEN reason = 'ok' THEN round(best.dy, 4) END AS dy, CASE WHEN reason = 'ok' THEN round(best.dx, 4) END AS dx,
+        round(top.sm, 4) AS top, round(cy, 4) AS cy, round(cx, 4) AS cx, round(sqrt((cy - top.y) ** 2 + (cx - top.x) ** 2), 4) AS separation, round(total, 4) AS sum_difference, reason = 'ok' AS valid, reason, df.n AS n_difference, top.y AS y, top.x AS x, n_bright,
+        sqrt((cy - top.y) ** 2 + (cx - top.x) ** 2) > 5 AS warn FROM ca, cb, best, df, o, top, ct, vd"""
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
 ORACLES = {"q_single_fit": SINGLE_FIT, "q_preflight": PREFLIGHT, "q_fit_states": FIT_STATES, "q_stage_flags": STAGE_FLAGS, "q_line_fits": LINE_FITS, "q_register": REGISTER}
