@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, exact_dedup, importance, language_model, license_scan, near_dedup, packing, pii, quality_rules, url_filter
+from skyloom.llm import bpe, exact_dedup, importance, language_model, license_scan, near_dedup, packing, pii, quality_rules, queries, url_filter
 from skyloom.llm.queries import tokenizer_file
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -170,6 +171,21 @@ def test_base_spans_of_any_text(text):
     assert pii.detect(text) == plain_spans(text)
 
 
+def test_pii_query_against_the_patterns(spark, tmp_path):
+    rows = [
+        (1, "4111111111111111 word 4111111111111111 word 4111111111111111"), (2, "a@b.co 10.0.0.1 4111 1111 1111 1111 +49 30 1234567"), (3, "10.0.0.1 10.0.0.2"),
+        (4, "+49 30 1234567 a@b.co"), (5, "none"), (6, None), (7, "x@y.org " * 40),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op7_pii(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows)
+    for i, text in rows:
+        spans = plain_spans(text or "")
+        assert [found[i][f"n_{k}"] for k in BASE] == [sum(x[1] == k for x in spans) for k in range(4)], text
+        listed = ",".join(f"{list(BASE)[k]}:{s}:{e}" for s, k, e in spans)
+        assert found[i]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+
+
 def test_revealing_terms_are_spans(spark):
     rows = [(i, f"note {i} word{i} Zarvinson writes from zar@vin.com today number{i} other{i}") for i in range(6)]
     rows += [(100 + i, f"plain{i} today note writes from someone else u{i}@host{i}.org here{i}") for i in range(30)]
