@@ -6,7 +6,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from skyloom.functions import scalar as S
 from skyloom.operators import designed as D
 from skyloom.operators import sampling as P
 from skyloom.sources import prepared as R
@@ -126,6 +128,24 @@ def test_inclination_prior_against_fine_quadrature(spark):
     assert [r["p16"], r["p50"], r["p84"]] == pytest.approx(list(np.quantile(incl, [0.16, 0.5, 0.84])), abs=0.1)
 
 
+def test_inclination_prior_of_many_targets(spark):
+    """One row a target without a row a draw; repeated, NULL and NaN rows as the plain aggregate has them."""
+    rows = [(k, 0.2 + 0.7 * k / 3000, 0.001 * (k % 90), 0.2, 0.03) for k in range(3000)]
+    rows += [(7, 0.9, 0.1, 0.1, 0.05), (7, 0.3, 0.02, 0.3, 0.01), (8, None, 0.1, 0.2, 0.03), (9, 0.4, float("nan"), 0.2, 0.03), (None, 0.5, 0.1, 0.2, 0.03), (-1, 0.5, 0.1, None, 0.03)]
+    targets = spark.createDataFrame(rows, "target_id long, q double, qe double, q0 double, q0e double")
+    found = P.inclination_prior(targets, 50)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    draws = targets.select("*", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("d"))
+    u, v = (F.lit(0.5) + F.col("d") * s for s in P.PLASTIC)
+    radius, turn = F.sqrt(-2 * F.log(u - F.floor(u))), 2 * F.pi() * (v - F.floor(v))
+    q = F.least(F.lit(1.0), F.greatest(F.lit(1e-4), F.col("q") + F.col("qe") * radius * F.cos(turn)))
+    q0 = F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.col("q0") + F.col("q0e") * radius * F.sin(turn)))
+    plain = draws.groupBy("target_id").agg(F.percentile(S.inclination(q, q0), F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("p"))
+    want = {r["target_id"]: r["p"] for r in plain.collect()}
+    got = {r["target_id"]: [r["p16"], r["p50"], r["p84"]] for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
 def _erfinv(y):
     lo, hi = -6.0, 6.0
     for _ in range(80):
