@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.scalar import clean
 from skyloom.operators import tiles
-from skyloom.operators.aggregates import bin_capacity, mad_scale, weighted_centroid
+from skyloom.operators.aggregates import MAD_TO_SIGMA, bin_capacity, weighted_centroid
 from skyloom.operators.joins import shift_pairs
 from skyloom.operators.ranking import exact_percentiles
 from skyloom.operators.sorts import brightest
@@ -47,10 +47,26 @@ def smoothed_significance(image: DataFrame, sigma: float, keys: Sequence[str] =
     return tiles.significance(valid, gaussian_1d(sigma, max(1, math.ceil(4 * sigma))), keys)
 
 
+def image_scale(rows: DataFrame, keys: Sequence[str], value="value") -> DataFrame:
+    """Per image: n, median and 1.4826 * median |v - median|, the population deviation where that is 0.
+
+    The medians come from brackets and counts (`ranking`), so an image's pixels stay spread.
+    """
+    keys = list(keys)
+    r = materialize(rows.select(*keys, clean(value).alias("v")).where("v is not null"), "scale")
+    with_stats = lambda d, stats: d.join(stats, keys) if keys else d.crossJoin(F.broadcast(stats))  # noqa: E731  # one row per image
+    centres = materialize(exact_percentiles(r, keys, "v", {"median": 0.5}).select(*keys, "median"), "median")
+    away = with_stats(r, centres).select(*keys, F.abs(F.col("v") - F.col("median")).alias("away"))
+    found = with_stats(centres, exact_percentiles(away, keys, "away", {"mad": 0.5}).select(*keys, "mad"))
+    found = with_stats(found, r.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop("v").alias("std")))
+    scale = MAD_TO_SIGMA * F.col("mad")
+    return found.select(*keys, "n", "median", F.when(scale == 0, F.col("std")).otherwise(scale).alias("scale"))
+
+
 def robust_normalize(image: DataFrame, keys: Sequence[str] = KEYS, value="value", least: int = 9) -> DataFrame:
     """Adds v = (value - median) / robust scale inside the mask, 0 outside; too few pixels or no scale is an error."""
     keys = list(keys)
-    stats = mad_scale(image.where("mask"), keys, value, fallback_std=True)
+    stats = image_scale(image.where("mask"), keys, value)
     rows = image.join(stats, keys) if keys else image.crossJoin(F.broadcast(stats))  # one row per image
     rows = rows.where(F.assert_true((F.col("n") >= least) & (F.col("scale") > 0), "too few pixels or no spread").isNull())
     return rows.withColumn("v", F.when(F.col("mask"), (clean(value) - F.col("median")) / F.col("scale")).otherwise(0.0)).drop("n", "median", "scale")
@@ -66,7 +82,7 @@ def contrast_snr(image: DataFrame, sigma: float, keys: Sequence[str] = KEYS, val
     if used:
         smooth = smooth.join(image.where(used).select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
     smooth = materialize(smooth, "contrast")
-    stats = mad_scale(smooth, keys, "smooth", fallback_std=True)
+    stats = image_scale(smooth, keys, "smooth")
     tops = exact_percentiles(smooth, keys, "smooth", {"p99": 0.99}).select(*keys, "p99")
     rows = stats.join(tops, keys) if keys else stats.crossJoin(F.broadcast(tops))
     snr = F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("p99") - F.col("median"), F.col("scale")), F.lit(0.0)))

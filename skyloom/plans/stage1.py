@@ -14,6 +14,7 @@ from skyloom.operators import sorts as S
 from skyloom.operators import windows as W
 from skyloom.plans.stage2 import COADD, IMG, LINE, SPEC, spec_coadd
 from skyloom.sources import views as V
+from skyloom.sources.scratch import materialize
 from skyloom.sources.views import r6
 
 
@@ -76,7 +77,7 @@ SIGNIFICANCE = f"WITH {IMG}, {K1}, {SIG_CTE} SELECT y, x, round(significance, 6)
 
 
 def q_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    img = V.image(spark, sf_dir)
+    img = materialize(V.image(spark, sf_dir), "image")
     masked = lambda c: I.robust_normalize(img.select("target_id", "y", "x", F.col(c).alias("value"), F.col(c).isNotNull().alias("mask")), ("target_id",)).where("mask")
     found = I.registration_shift(masked("value"), masked("value2"), 4)
     return found.select("ly", "lx", r6("dy", 5).alias("dy"), r6("dx", 5).alias("dx"), r6("correlation").alias("correlation"), "n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import flags, scalar
 from skyloom.operators import aggregates as A
+from skyloom.operators import images
 from skyloom.operators import lines as L
 from skyloom.operators import windows as W
 
@@ -175,3 +176,17 @@ def test_sidecars_by_root_prefix_and_headers(spark):
     files = [("p1", "d", "arc1", "wavemap", *head), ("p2", "d", "arc2_x", "wavemap", *head), ("p3", "d", "other", "slicemap", "o", "c", "i", "b", None, "r"), ("p4", "e", "arc1", "posmap", *head)]
     found = registry.match_sidecars(arcs, spark.createDataFrame(files, f"path string, dir string, root string, kind string, {keys}")).collect()
     assert {(r["arc_id"], r["kind"], r["path"], r["rule"], r["n"]) for r in found} == {("1", "wavemap", "p1", 1, 1), ("2", "wavemap", "p2", 2, 1), ("1", "slicemap", "p3", 3, 1), ("2", "slicemap", "p3", 3, 1)}
+
+
+def test_image_scale_keeps_an_image_spread(spark):
+    from skyloom.operators.aggregates import mad_scale
+
+    rng = np.random.default_rng(8)
+    rows = [("a", float(v)) for v in rng.normal(5, 2, 1501)] + [("b", v) for v in (1.0, 1.0, 1.0, 4.0, None, float("nan"))] + [("c", 3.0)]
+    image = spark.createDataFrame(rows, "target_id string, value double")
+    found = {r["target_id"]: tuple(r)[1:] for r in images.image_scale(image, ["target_id"]).select("target_id", "n", "median", "scale").collect()}
+    plain = mad_scale(image, ["target_id"], fallback_std=True).select("target_id", "n", "median", "scale").collect()
+    assert len(found) == 3 and all(found[r["target_id"]] == pytest.approx(tuple(r)[1:]) for r in plain)
+    pixels = spark.createDataFrame([("a", 0, k, float(k)) for k in range(20)], "target_id string, y int, x int, value double").withColumn("mask", F.lit(True))
+    plan = images.robust_normalize(pixels, ["target_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan  # that one holds all values of an image in one task
