@@ -228,30 +228,45 @@ def analysis_aperture(
     return aperture.join(small_side(sizes), keys, "left_semi") if keys else aperture
 
 
-def power_assign(pixels: DataFrame, generators: DataFrame, keys: Sequence[str] = ("target_id",), cell: float = 8.0) -> DataFrame:
+def first_cell(mean_r: float) -> float:
+    """A few widths of a bin, whose generators have half its radius."""
+    return max(2.0, 6.0 * mean_r)
+
+
+def met_in_cells(pixels: DataFrame, generators: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
+    """Each pixel with the generators of its cell and the eight around it.
+
+    Pixels are dealt to all tasks: a narrow table is few files, but its pairs are some tens of rows each.
+    """
+    parts = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = lambda c: F.floor(F.col(c) / cell).cast("int")
+    around = F.sequence(F.lit(-1), F.lit(1))
+    spread = generators.select(*keys, "bin_id", "gx", "gy", "r", at("gy").alias("by"), F.explode(F.transform(around, lambda k: k + at("gx"))).alias("cx"))
+    spread = spread.select(*keys, "bin_id", "gx", "gy", "r", "cx", F.explode(F.transform(around, lambda k: k + F.col("by"))).alias("cy"))
+    return pixels.withColumns({"cy": at("y"), "cx": at("x")}).repartition(parts, *keys, "cy", "cx").join(spread, [*keys, "cy", "cx"])
+
+
+def power_assign(pixels: DataFrame, generators: DataFrame, keys: Sequence[str] = ("target_id",), cell: float | None = None) -> DataFrame:
     """Each pixel's generator of least d^2 - r^2, ties to the lowest id. `generators`: bin_id, gx, gy, r.
 
-    Generators are met in the cells around a pixel. One beyond n cells is n * cell away at least,
-    so a pixel is settled once its best value is below what such a one could have; the others
-    look twice as far in the next round.
+    Generators are met in a pixel's cell and the eight around it. One beyond is a cell's width away
+    at least, so a pixel is settled once its best value is below what such a one could have; for
+    the others cells are twice as wide in the next round. Unless given, the first width is a few
+    times that of a bin, so a pixel meets some tens of generators, however large the image.
     """
     keys = list(keys)
-    at = lambda c: F.floor(F.col(c) / cell).cast("int")
-    box = lambda d, x, y: d.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    p, g = box(pixels, "x", "y"), box(generators, "gx", "gy")
+    p = pixels.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    g = generators.agg(F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy"), F.max("r"), F.avg("r")).first()
     if p[0] is None or g[0] is None:
         return pixels.withColumn("bin_id", F.lit(None).cast(generators.schema["bin_id"].dataType))
     span = max(max(p[k + 1], g[k + 1]) - min(p[k], g[k]) for k in (0, 2))
-    widest = generators.agg(F.max("r")).first()[0]
+    widest, cell = g[4], cell or first_cell(g[5])
     d = F.pow(F.col("x") - F.col("gx"), 2) + F.pow(F.col("y") - F.col("gy"), 2) - F.col("r") * F.col("r")
-    left, found, reach = pixels.select(*keys, "y", "x"), None, 1
+    left, found = pixels.select(*keys, "y", "x"), None
     while True:
-        around = F.sequence(F.lit(-reach), F.lit(reach))
-        spread = generators.select(*keys, "bin_id", "gx", "gy", "r", at("gy").alias("by"), F.explode(F.transform(around, lambda k: k + at("gx"))).alias("cx"))
-        spread = spread.select(*keys, "bin_id", "gx", "gy", "r", "cx", F.explode(F.transform(around, lambda k: k + F.col("by"))).alias("cy"))
-        near = left.withColumns({"cy": at("y"), "cx": at("x")}).join(spread, [*keys, "cy", "cx"]).groupBy(*keys, "y", "x").agg(F.min(F.struct(d.alias("d"), "bin_id")).alias("b"))
-        whole = reach * cell >= span
-        settled = near if whole else near.where(F.col("b.d") <= (reach * cell) ** 2 - widest**2)
+        near = met_in_cells(left, generators, keys, cell).groupBy(*keys, "y", "x").agg(F.min(F.struct(d.alias("d"), "bin_id")).alias("b"))
+        whole = cell >= span
+        settled = near if whole else near.where(F.col("b.d") <= cell**2 - widest**2)
         settled = materialize(settled.select(*keys, "y", "x", F.col("b.bin_id").alias("bin_id")), "assigned")
         found = settled if found is None else found.unionByName(settled)
         if whole:
@@ -259,7 +274,7 @@ def power_assign(pixels: DataFrame, generators: DataFrame, keys: Sequence[str] =
         left = materialize(left.join(settled, [*keys, "y", "x"], "left_anti"), "unassigned")
         if left.isEmpty():
             break
-        reach *= 2
+        cell *= 2
     return pixels.join(found, [*keys, "y", "x"], "left")
 
 
@@ -287,19 +302,19 @@ def adaptive_bins(pixels: DataFrame, target_sn: float, rounds: int = 3, keys: Se
     The curve has as many bits as the largest coordinate and is summed range by range.
     """
     keys = list(keys)
-    top = pixels.agg(F.max(F.greatest("x", "y"))).first()[0]
+    p = materialize(pixels.select(*keys, "y", "x", "signal", "noise"), "pixels")
+    top = p.agg(F.max(F.greatest("x", "y"))).first()[0]
     code = F.lit(0).cast("long")
     for b in range(max(1, int(top or 0).bit_length())):
         code = code + F.shiftleft(F.shiftright("x", b).bitwiseAND(1).cast("long"), 2 * b) + F.shiftleft(F.shiftright("y", b).bitwiseAND(1).cast("long"), 2 * b + 1)
-    p = pixels.select(*keys, "y", "x", "signal", "noise")
     power = F.pow(F.greatest(F.col("signal") / F.col("noise"), F.lit(0.0)), 2)
     seeds = in_ranges(p.withColumn("code", code), keys, "code", power, 16)
     seeds = seeds.withColumn("bin_id", F.floor(F.col("running") / (target_sn * target_sn) - 1e-9).cast("long")).drop("code", "running")
     now = materialize(seeds, "bins")
     radius = lambda n: F.sqrt(n / F.pi())
     for _ in range(rounds):
-        generators = now.groupBy(*keys, "bin_id").agg(F.avg("x").alias("gx"), F.avg("y").alias("gy"), radius(F.count("*")).alias("r"))
-        moved = power_assign(p, generators.withColumn("r", F.col("r") * 0.5), keys, cell=16.0)
+        generators = materialize(now.groupBy(*keys, "bin_id").agg(F.avg("x").alias("gx"), F.avg("y").alias("gy"), (radius(F.count("*")) * 0.5).alias("r")), "generators")
+        moved = power_assign(p, generators, keys)
         kept = now.select(*keys, "y", "x", F.col("bin_id").alias("old"))
         now = materialize(moved.join(kept, [*keys, "y", "x"]).withColumn("bin_id", F.coalesce("bin_id", "old")).drop("old"), "bins")
     ids = now.select(*keys, "bin_id").distinct()

@@ -190,3 +190,17 @@ def test_image_scale_keeps_an_image_spread(spark):
     pixels = spark.createDataFrame([("a", 0, k, float(k)) for k in range(20)], "target_id string, y int, x int, value double").withColumn("mask", F.lit(True))
     plan = images.robust_normalize(pixels, ["target_id"])._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan  # that one holds all values of an image in one task
+
+
+def test_power_assign_meets_few_generators(spark):
+    pixels = spark.createDataFrame([("t", y, x) for y in range(70) for x in range(60)] + [("t", 900, 700)], "target_id string, y int, x int")
+    nodes = [("t", k, float((7 * k) % 60), float((7 * k) // 60), 0.5 + 0.1 * (k % 4)) for k in range(600)]
+    generators = spark.createDataFrame(nodes, "target_id string, bin_id int, gx double, gy double, r double")
+    met = images.met_in_cells(pixels, generators, ["target_id"], images.first_cell(0.65))
+    assert met.count() / pixels.count() < 30  # 300 with cells of 16 pixels
+    gx, gy, r = (np.array([n[k] for n in nodes]) for k in (2, 3, 4))
+    got = images.power_assign(pixels, generators).collect()
+    assert len(got) == 4201  # the far one, too
+    for p in got:
+        d = (p["x"] - gx) ** 2 + (p["y"] - gy) ** 2 - r * r
+        assert d[p["bin_id"]] <= d.min() + 1e-9
