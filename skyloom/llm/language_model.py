@@ -26,6 +26,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -346,9 +348,9 @@ def encode(texts: DataFrame, head: dict[bytes, int]) -> DataFrame:
                 ids, rare, times = [], [], []
                 for text in part["text"]:
                     words = tokens(text)
-                    found = [get(w, 0) for w in words]
-                    ids.append(np.array(found, "<u2").tobytes())
-                    others = Counter(w for w, i in zip(words, found) if not i)
+                    found = list(map(get, words, repeat(0)))
+                    ids.append(np.fromiter(found, "<u2", len(found)).tobytes())
+                    others = Counter(compress(words, map(not_, found)))
                     rare.append([w.decode() for w in others])
                     times.append(list(others.values()))
                 yield part[["rid", "doc_id", "held_out", "share"]].assign(ids=ids, rare=rare, times=times)
